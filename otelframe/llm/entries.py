@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from otelframe.llm import bpe, exact_dedup
+from otelframe.llm import audio, bpe, exact_dedup, language, packing, secrets, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.op1_language_id,
         "op2_bpe": bpe.op2_bpe,
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_token_store": token_store.op4_token_store,
+        "op5_audio_features": audio.op5_audio_features,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from otelframe.llm import audio, bpe, exact_dedup, language, packing, secrets, token_store
+from otelframe.llm import audio, bpe, exact_dedup, jaccard, language, lines, packing, secrets, token_store
 
 
 def queries() -> dict:
@@ -13,9 +13,11 @@ def queries() -> dict:
         "op4_token_store": token_store.op4_token_store,
         "op5_audio_features": audio.op5_audio_features,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_line_dedup": lines.op8_line_dedup,
+        "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_line_dedup": lines.OP8_SQL}

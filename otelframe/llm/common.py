@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,31 +46,21 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def map_texts(df: DataFrame, columns: list, schema: str, rows: Callable[[dict], dict]) -> DataFrame:
-    """Map-only job over ``columns`` of ``df``: ``rows`` gets a dict of Python
-    lists for one Arrow batch and returns a dict of lists or arrays."""
-    out = df.select(*columns)
-    fields = pa_schema(df.sparkSession, schema)
+def map_texts(df: DataFrame, columns: list, schema: str | StructType, rows: Callable[[dict], dict], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map-only job over ``columns`` of ``df``: ``rows`` gets a dict of Python lists for
+    one Arrow batch and returns a dict of lists or arrays for the columns of ``schema``.
+    Columns in ``keep`` pass by as they are (then a row gives a row)."""
+    made = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    source = df.select(*columns)
+    result = StructType([source.schema[k] for k in keep] + made.fields)
+    fields = to_arrow_schema(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = rows(batch.to_pydict())
-                yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in fields], schema=fields)
+            if not batch.num_rows:
+                continue
+            out = rows(batch.select([n for n in batch.schema.names if n not in keep]).to_pydict())
+            arrays = [batch.column(f.name).cast(f.type) if f.name in keep else pa.array(out[f.name], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays(arrays, schema=fields)
 
-    return out.mapInArrow(run, schema)
-
-
-_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
-
-
-def arrow_type(name: str) -> pa.DataType:
-    name = name.strip()
-    if name.startswith("array<"):
-        return pa.list_(arrow_type(name[6:-1]))
-    return _TYPES[name]
-
-
-def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    """Arrow schema of a flat DDL text (``name type, name array<type>``)."""
-    return pa.schema([(p.split()[0], arrow_type(p.split(None, 1)[1])) for p in ddl.split(",")])
+    return source.mapInArrow(run, result)

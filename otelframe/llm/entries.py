@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from otelframe.llm import audio, bpe, exact_dedup, jaccard, language, lines, packing, secrets, token_store
+import corpus_pipeline
+from otelframe.llm import audio, bpe, exact_dedup, jaccard, language, lines, packing, passages, secrets, token_store
 
 
 def queries() -> dict:
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_token_store": token_store.op4_token_store,
         "op5_audio_features": audio.op5_audio_features,
+        "op6_substring_dedup": passages.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -31,9 +31,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from otelframe.llm import shingles
-from otelframe.llm.common import documents, map_texts, materialize, pa_schema
+from otelframe.llm.common import documents, map_texts, materialize
 from otelframe.llm.components import connected_components
 from otelframe.llm.exact_dedup import keep_set_bits, repeat_bitmap
 
@@ -50,7 +52,7 @@ def sets_and_counts(docs: DataFrame) -> DataFrame:
     """For each document id, size, sig; and for each task its bucket counts (how many
     documents have a shingle of the bucket), as SLICES rows with slice and counts."""
     ddl = "id long, size long, sig long, slice int, counts binary"
-    schema = pa_schema(docs.sparkSession, ddl)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)

@@ -149,14 +149,13 @@ def predict(docs: DataFrame, profiles: DataFrame, carry: dict[str, Column] | Non
         raise ValueError(f"more than {MOST_LANGUAGES} languages: is this a column of labels?")
     known = Profiles(table, profile)
     carry = carry or {}
-    schema = docs.select(*[c.alias(k) for k, c in carry.items()]).schema
-    ddl = ", ".join([f"{f.name} {'long' if f.dataType.simpleString() == 'bigint' else f.dataType.simpleString()}" for f in schema.fields] + ["lang_pred string", "score double", "margin double"])
 
     def rows(batch: dict) -> dict:
-        found = [known.predict(t) for t in batch.pop("_text")]
-        return batch | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found]}
+        found = [known.predict(t) for t in batch["_text"]]
+        return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found]}
 
-    return map_texts(docs, [*[c.alias(k) for k, c in carry.items()], F.col(text_column).alias("_text")], ddl, rows)
+    columns = [*[c.alias(k) for k, c in carry.items()], F.col(f"`{text_column}`").alias("_text")]
+    return map_texts(docs, columns, "lang_pred string, score double, margin double", rows, keep=tuple(carry))
 
 
 def held_out(id_column: str = "doc_id") -> Column:

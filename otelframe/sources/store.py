@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from otelframe.functions.window import MINUTE, duration
 from otelframe.schemas import SCHEMAS, SORT_KEYS, TIME_COLUMN, conform
@@ -50,7 +51,7 @@ def scan(spark: SparkSession, root: str, signal: str, since: int | None = None)
     schema = SCHEMAS[signal]
     if not _exists(spark, f"{root}/{signal}"):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema.add("date", "date") if "date" not in schema.names else schema).parquet(f"{root}/{signal}")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("date", DateType())])).parquet(f"{root}/{signal}")
     if since is not None:
         rows = rows.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(since - SLACK))))
     return conform(rows, signal)

@@ -12,7 +12,6 @@ occurrence of a line in the corpus, by id and position, always stays.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +52,20 @@ def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     return map_texts(docs.where(text.isNotNull()), [F.coalesce(F.col("id"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text")], ddl, rows)
 
 
-@F.pandas_udf("array<struct<first: int, n: int>>")
-def kept_runs(deleted: pd.Series, lines: pd.Series) -> pd.Series:
-    """Runs of lines that stay, from the starts of deleted windows of RUN lines given as
-    the covered positions."""
-    out = []
-    for at, n in zip(deleted, lines):
-        stays = np.ones(n, np.int8)
-        stays[np.asarray(at, np.int64)] = 0
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], stays, [0]))))
-        out.append([{"first": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2])])
-    return pd.Series(out)
+def kept_runs(covered: DataFrame) -> DataFrame:
+    """id, copy, lines, removed, kept: runs of lines that stay, of rows with the array
+    ``deleted`` of line numbers."""
+
+    def rows(batch: dict) -> dict:
+        kept = []
+        for at, n in zip(batch["deleted"], batch["lines"]):
+            stays = np.ones(n, np.int8)
+            stays[np.asarray(at, np.int64)] = 0
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], stays, [0]))))
+            kept.append([{"first": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2])])
+        return {"removed": [len(at) for at in batch["deleted"]], "kept": kept} | {k: batch[k] for k in ("id", "copy", "lines")}
+
+    return map_texts(covered, ["id", "copy", "lines", "deleted"], "id long, copy long, lines int, removed int, kept array<struct<first: int, n: int>>", rows)
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -77,7 +79,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     later = matched.withColumn("deal", F.xxhash64("content")).join(first, ["deal", "content"]).where(place > F.col("first"))
     covered = later.select("id", "copy", "lines", F.explode(F.sequence("at", F.col("at") + (run - 1))).alias("line"))
     by_doc = covered.groupBy("id", "copy").agg(F.first("lines").alias("lines"), F.collect_set("line").alias("deleted"))
-    return by_doc.select("id", "copy", "lines", F.size("deleted").alias("removed"), kept_runs("deleted", "lines").alias("kept"))
+    return kept_runs(by_doc)
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN) -> DataFrame:
@@ -92,12 +94,12 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    found = repeated_lines(boxed.select("id", "text"), run).withColumnRenamed("id", "r_id").withColumnRenamed("copy", "r_copy")
+    found = repeated_lines(boxed.select("id", "text"), run).withColumnRenamed("id", "r_id").withColumnRenamed("copy", "r_copy").withColumnRenamed("lines", "r_lines")
     keyed = boxed.withColumn("key", F.coalesce(F.col("id"), F.lit(_LAST))).withColumn("copy", F.xxhash64("text"))
     joined = keyed.join(found, (F.col("key") == F.col("r_id")) & (F.col("copy") == F.col("r_copy")), "left")
     rest = F.array_join(F.flatten(F.transform("kept", lambda r: F.slice(F.split("text", "\n", -1), r["first"] + 1, r["n"]))), "\n")
     cleaned = F.when(F.col("kept").isNull(), F.col("text")).otherwise(rest)
-    lines = F.coalesce("lines", F.size(F.split("text", "\n", -1)))
+    lines = F.coalesce("r_lines", F.size(F.split("text", "\n", -1)))
     info = F.struct(F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("lines"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
     return joined.select(*[cleaned.alias(c) if c == text_column else F.col("_row").getField(c).alias(c) for c in names], info.alias("_dedup"))
 

@@ -27,8 +27,9 @@ from otelframe.llm.common import documents, text_or_empty
 
 # The base kinds in their order, pattern, and length that a match must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# (runs are maximal, so a bound on the run drops the same matches as one on the match)
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
 BASE = (("assign", ASSIGN, 12), ("access", ACCESS, 18), ("hex", HEX, 16))
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"

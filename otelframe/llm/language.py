@@ -41,7 +41,7 @@ def letters() -> np.ndarray:
 
 def grams(text: str) -> np.ndarray:
     """All n-grams of the text, repeats included. Words are runs of letters; a word's
-    border is one code 0 that may only start or end an n-gram."""
+    border is one code that may only start or end an n-gram."""
     code = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     code = np.concatenate(([0], code, [0])).astype(np.uint64)
     keep = np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))
@@ -50,6 +50,7 @@ def grams(text: str) -> np.ndarray:
         return np.empty(0, np.uint64)
     letter = a != 0
     out = [a[letter]]
+    a = np.where(letter, a, np.uint64(1))  # a border is no letter's code, and not 0: n-grams of all lengths differ
     packed, inside = a, letter
     for n in range(2, LONGEST + 1):
         shifted = a[n - 1 :]

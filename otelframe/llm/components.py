@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from otelframe.llm.common import materialize
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of the component) for all nodes of edges (a, b).
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, label (the least node of the component) for all nodes of edges (a, b), and
+    of ``known``, labels of an earlier call that the edges join further.
 
     Rounds alternate: each edge moves its larger end's root to the smaller root (a
     root keeps the least offer), then every node follows its root's root until nothing
     changes. The number of rounds grows with the logarithm of a path's length.
     """
     edges = edges.select("a", "b").where("a <> b")
-    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    if known is not None:
+        labels = known.unionByName(labels.join(known.select("node"), "node", "left_anti"))
+    labels = materialize(labels)
     open_edges = edges
     while True:
         named = open_edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
@@ -27,8 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         offers = open_edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).groupBy("node").agg(F.min("to").alias("to"))
         # roots point at smaller roots; jump until each offer ends at a root that got none
         while True:
-            jumped = offers.alias("o").join(offers.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left")
-            jumped = materialize(jumped.select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+            jumped = offers
+            for _ in range(2):
+                above = jumped.select(F.col("node").alias("to"), F.col("to").alias("further"))
+                jumped = jumped.select("node", "to").join(above, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+            jumped = materialize(jumped)
             offers = jumped.select("node", "to")
             if jumped.where("moved").isEmpty():
                 break

@@ -10,7 +10,9 @@ linear in a group of many similar sets:
 
 * index lists are skipped by position: list entries hold the shingle's place and the
   set's size, and pairs that cannot reach the needed overlap from there, or whose
-  sizes differ too much, are never looked at;
+  sizes differ too much, are never looked at; what is left is met by a parity bitmap
+  of each set, whose differing bits are a lower bound of the sets' difference, and
+  only pairs below that bound are compared by their whole sets;
 * answers are derived from a similar set's answers: all sets of a list are first
   compared with the list's one leader. What links to it is in its class, and lists
   whose sets are in one class by then are done. For sets of different classes in a
@@ -48,25 +50,46 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity bitmap: bit i tells whether an odd number of shingles fall on it. It has
+    about as many bits as the set has shingles, 64 to 65536, a power of two."""
+    bits = 1 << min(16, max(6, (len(h) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, the longer one folded: a lower bound of
+    the number of shingles that only one set has."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, n = int.from_bytes(x, "big"), len(x)
+    while n > len(y):
+        n //= 2
+        a = (a >> (8 * n)) ^ (a & ((1 << (8 * n)) - 1))
+    return (a ^ int.from_bytes(y, "big")).bit_count()
+
+
 def sets_and_counts(docs: DataFrame) -> DataFrame:
-    """For each document id, size, sig; and for each task its bucket counts (how many
-    documents have a shingle of the bucket), as SLICES rows with slice and counts."""
-    ddl = "id long, size long, sig long, slice int, counts binary"
+    """For each document id, size, sig, sketch; and for each task its bucket counts (how
+    many documents have a shingle of the bucket), as SLICES rows with slice and counts."""
+    ddl = "id long, size long, sig long, sketch binary, slice int, counts binary"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            out: dict[str, list] = {"size": [], "sig": []}
+            out: dict[str, list] = {"size": [], "sig": [], "sketch": []}
             for text in batch.column("text").to_pylist():
                 h = shingles.distinct(text)
                 np.add.at(counts, bucket_of(h), 1)
                 out["size"].append(len(h))
                 out["sig"].append(shingles.signature(h) if len(h) else None)
+                out["sketch"].append(sketch(h))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out["size"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out["size"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["sketch"], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = [p.astype("<u4").tobytes() for p in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return docs.select("id", "text").mapInArrow(run, ddl)
 
@@ -105,11 +128,11 @@ def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             length = n - -(-NEAR * n // WHOLE) + 1
             chosen = h[np.lexsort((h, table.value[bucket_of(h)]))[:length]]
             grams.append(chosen.view(np.int64))
-            sigs += [shingles.signature(h)] * length
-            sizes += [n] * length
+            sigs.append(np.full(length, shingles.signature(h), np.int64))
+            sizes.append(np.full(length, n, np.int32))
             places.append(np.arange(length, dtype=np.int32))
-        none = np.empty(0, np.int64)
-        return {"gram": np.concatenate([none, *grams]), "sig": np.array(sigs, np.int64), "size": np.array(sizes, np.int32), "place": np.concatenate([none.astype(np.int32), *places])}
+        long, short = np.empty(0, np.int64), np.empty(0, np.int32)
+        return {"gram": np.concatenate([long, *grams]), "sig": np.concatenate([long, *sigs]), "size": np.concatenate([short, *sizes]), "place": np.concatenate([short, *places])}
 
     return map_texts(docs, ["text"], "gram long, sig long, size int, place int", rows)
 
@@ -136,29 +159,51 @@ def contents(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
     return made.join(wanted.select("sig", F.col("id").alias("w_id")), "sig").where(F.col("id").eqNullSafe(F.col("w_id"))).dropDuplicates(["sig"]).select("sig", "grams")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of ``sets`` (sig, size, sketch): those that sizes and bitmaps allow."""
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.where(WHOLE * F.least("size_a", "size_b") >= NEAR * F.greatest("size_a", "size_b"))
+
+    def rows(batch: dict) -> dict:
+        ok = [
+            (WHOLE + NEAR) * differing_bits(x, y) <= (WHOLE - NEAR) * (m + n)
+            for x, y, m, n in zip(batch["sketch_a"], batch["sketch_b"], batch["size_a"], batch["size_b"])
+        ]
+        keep = np.flatnonzero(ok).tolist()
+        return {"a": [batch["a"][i] for i in keep], "b": [batch["b"][i] for i in keep]}
+
+    return map_texts(both, ["a", "b", "size_a", "size_b", "sketch_a", "sketch_b"], "a long, b long", rows)
+
+
+def compared(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b): those that link, by their whole sets."""
-    left = pairs.join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("grams_b")), "b")
-    both = left.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("grams_a")), "a")
+    close = materialize(near_enough(pairs, sets))
+    wanted = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "id"), "sig")
+    whole = materialize(contents(docs, wanted))
+    left = close.join(whole.select(F.col("sig").alias("b"), F.col("grams").alias("grams_b")), "b")
+    both = left.join(whole.select(F.col("sig").alias("a"), F.col("grams").alias("grams_a")), "a")
 
     def rows(batch: dict) -> dict:
-        ok = []
-        for x, y in zip(batch["grams_a"], batch["grams_b"]):
+        out: dict[str, list] = {"a": [], "b": []}
+        for a, b, x, y in zip(batch["a"], batch["b"], batch["grams_a"], batch["grams_b"]):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             if len(x) > len(y):
                 x, y = y, x
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             common = int((y[at] == x).sum())
-            ok.append(WHOLE * common >= NEAR * (len(x) + len(y) - common))
-        return {"a": batch["a"], "b": batch["b"], "linked": ok}
+            if WHOLE * common >= NEAR * (len(x) + len(y) - common):
+                out["a"].append(a)
+                out["b"].append(b)
+        return out
 
-    return map_texts(both, ["a", "b", "grams_a", "grams_b"], "a long, b long, linked boolean", rows).where("linked").select("a", "b")
+    return materialize(map_texts(both, ["a", "b", "grams_a", "grams_b"], "a long, b long", rows))
 
 
-def with_deal(df: DataFrame, *keys: str) -> DataFrame:
-    """A hash of the keys as one more join key: Spark then deals both sides anew and
-    can split a hot key's rows."""
-    return df.withColumn("deal", F.xxhash64(*keys))
+def dealt_anew(column: str = "gram") -> Column:
+    """The same value in an expression that Spark does not see through: a join on it
+    deals its side anew and can then split a hot key's rows, at no cost in bytes."""
+    return F.bitwise_not(F.bitwise_not(column))
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -171,41 +216,33 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     found = materialize(sets_and_counts(docs))
-    members = found.where("slice is null").select("id", "size", "sig")
-    classes = order_classes(found)
+    members = found.where("slice is null").select("id", "size", "sig", "sketch")
+    sets = materialize(members.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
 
-    entries = prefixes(docs, classes)
-    lists = entries.groupBy("gram").agg(F.min("sig").alias("leader"), F.max("sig").alias("other")).where("leader <> other")
-    lists = with_deal(lists.select("gram", "leader"), "gram")
-    shared = materialize(with_deal(entries, "gram").join(lists, ["deal", "gram"]).select("gram", "sig", "size", "place", "leader").distinct())
+    entries = materialize(prefixes(docs, order_classes(found)))
+    met = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew().alias("gram"))
+    several = entries.join(met, "gram", "left_semi").distinct()
+    lists = several.groupBy("gram").agg(F.min("sig").alias("leader"), F.max("sig").alias("other")).where("leader <> other").select(dealt_anew().alias("gram"), "leader")
+    shared = materialize(several.join(lists, "gram"))
 
-    wanted = members.groupBy("sig").agg(F.min("id").alias("id")).join(shared.select("sig").distinct(), "sig", "left_semi")
-    sets = materialize(contents(docs, wanted))
-
-    first = shared.where("sig <> leader").select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct()
-    sizes = shared.select("sig", "size").distinct()
-    first = first.join(sizes.select(F.col("sig").alias("b"), F.col("size").alias("size_b")), "b").join(sizes.select(F.col("sig").alias("a"), F.col("size").alias("size_a")), "a")
-    first = first.where(WHOLE * F.least("size_a", "size_b") >= NEAR * F.greatest("size_a", "size_b")).select("a", "b")
-    links = materialize(compared(first, sets))
-    labels = connected_components(links)
+    head = shared.where("sig = leader").select(dealt_anew().alias("gram"), "size", "place").alias("a")
+    rest = shared.where("sig <> leader").alias("b")
+    first = rest.join(head, (F.col("a.gram") == F.col("b.gram")) & reachable("a", "b"))
+    linked = compared(docs, first.select(F.col("b.leader").alias("a"), F.col("b.sig").alias("b")).distinct(), sets)
+    labels = connected_components(linked)
 
     for exhaustive in (False, True):
         pairs = between_classes(shared, labels, exhaustive)
-        more = materialize(compared(pairs, sets))
-        if more.isEmpty():
-            if exhaustive:
-                break
-            continue
-        links = links.unionByName(more)
-        labels = connected_components(links)
-
-    by_sig = members.where("sig is not null").groupBy("sig").agg(F.min("id").alias("low"))
-    classed = by_sig.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    low = classed.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = with_deal(with_deal(classed, "label").join(with_deal(low, "label"), ["deal", "label"]).select("sig", "component_id"), "sig")
+        more = compared(docs, pairs, sets)
+        if not more.isEmpty():
+            labels = connected_components(more, labels)
+
+    classed = sets.select("sig", F.col("id").alias("low")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    low = classed.groupBy("label").agg(F.min("low").alias("component_id")).select(dealt_anew("label").alias("label"), "component_id")
+    named = classed.join(low, "label").select(dealt_anew("sig").alias("key"), "component_id")
     # rows without words join nothing; keys of their own spread them
-    spread = members.withColumn("deal", F.coalesce(F.xxhash64(F.col("sig")) + F.when(F.col("sig").isNull(), F.xxhash64("id")).otherwise(F.lit(0)), F.lit(0)))
-    done = spread.join(named, ["deal", "sig"], "left")
+    keyed = members.select("id", "size", "sig", F.coalesce("sig", F.xxhash64("id")).alias("key"))
+    done = keyed.join(named, "key", "left")
     return done.select(F.col("id").alias(id_column), "size", F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -216,15 +253,15 @@ def between_classes(shared: DataFrame, labels: DataFrame, exhaustive: bool) -> D
     A list's largest class is not paired with itself by the join: one side of it
     takes the other sets only.
     """
-    labelled = shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    labelled = shared.drop("leader").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lists = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    mixed = with_deal(labelled, "gram").join(with_deal(lists.select("gram"), "gram"), ["deal", "gram"], "left_semi").select("gram", "sig", "size", "place", "label")
+    mixed = labelled.join(lists.select(dealt_anew().alias("gram")), "gram", "left_semi").select("gram", "sig", "size", "place", "label")
     mixed = materialize(mixed)
     per_class = mixed.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = per_class.groupBy("gram").agg(F.expr("max_by(label, named_struct('n', n, 'label', label))").alias("largest"))
-    strays = with_deal(mixed, "gram").join(with_deal(largest, "gram"), ["deal", "gram"]).where("label <> largest")
-    a, b = strays.alias("a"), with_deal(mixed, "gram").alias("b")
-    each = (F.col("a.deal") == F.col("b.deal")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") != F.col("b.label"))
+    strays = mixed.join(largest.select(dealt_anew().alias("gram"), "largest"), "gram").where("label <> largest")
+    a, b = strays.withColumn("gram", dealt_anew()).alias("a"), mixed.alias("b")
+    each = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") != F.col("b.label"))
     once = (F.col("b.label") == F.col("a.largest")) | (F.col("a.sig") < F.col("b.sig"))
     met = a.join(b, each & once & reachable("a", "b")).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("b.label").alias("label_b"))
     if exhaustive:

@@ -1,8 +1,9 @@
-"""Word shingles as 64-bit integers.
+"""Word shingles as 64-bit integers, computed for a whole text at a time.
 
-Words are runs of bytes without ASCII white space, A-Z lower-cased. Each word has a
-64-bit hash, kept in a bounded memo per worker; a shingle combines the hashes of its
-words, so two different shingles are taken for one with chance 2**-64.
+Words are runs of bytes without ASCII white space, A-Z lower-cased. A word's hash is
+a polynomial over its bytes, taken from prefix sums over the text, and mixed; a
+shingle combines the hashes of its words. Two different shingles are taken for one
+with chance 2**-64.
 """
 
 from __future__ import annotations
@@ -11,24 +12,12 @@ import functools
 import hashlib
 
 import numpy as np
-import xxhash
 
 WORDS = 5
-CACHE_WORDS = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
-        return h
-
-
-@functools.lru_cache(maxsize=1)
-def _memo() -> _Hashes:
-    return _Hashes()
+#: Bytes that are taken at a time; longer texts are cut between words.
+BLOCK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,17 +27,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=1)
+def _byte_values() -> np.ndarray:
+    """A spread value for each byte, the same for a letter in both cases."""
+    folded = np.arange(256, dtype=np.uint64)
+    folded[65:91] += np.uint64(32)
+    values = mix(folded + np.uint64(0x632BE59BD9B4E019))
+    values[_SPACE] = 0
+    return values
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    space = _SPACE[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    n = max(BLOCK, 1 << (len(raw) - 1).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_byte_values()[raw] * _powers(n, _BASE)[: len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _powers(n, pow(_BASE, -1, 1 << 64))[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, in order."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= BLOCK:
+        return _word_hashes(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            step = np.flatnonzero(_SPACE[raw[end : end + BLOCK]])
+            end = end + int(step[0]) if len(step) else min(len(raw), end + BLOCK)
+        parts.append(_word_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
 def sequence(text: str | None, words: int = WORDS) -> np.ndarray:
     """Hashes of the shingles in order; a text with fewer words has its whole sequence
     as one shingle, a text without words none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_memo().__getitem__, found), np.uint64, len(found))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     size = min(words, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
+        h = h * np.uint64(_BASE) + w[k : len(w) - size + 1 + k]
         h ^= h >> np.uint64(29)
     return mix(h)
 

@@ -46,19 +46,17 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def map_texts(df: DataFrame, columns: list, schema: str | StructType, rows: Callable[[dict], dict], keep: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, columns: list, schema: str | StructType, rows: Callable[[dict], dict], keep: tuple[str, ...] = (), at_once: int = 2000) -> DataFrame:
     """Map-only job over ``columns`` of ``df``: ``rows`` gets a dict of Python lists for
-    one Arrow batch and returns a dict of lists or arrays for the columns of ``schema``.
-    Columns in ``keep`` pass by as they are (then a row gives a row)."""
+    ``at_once`` rows at most and returns a dict of lists or arrays for the columns of
+    ``schema``. Columns in ``keep`` pass by as they are (then a row gives a row)."""
     made = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     source = df.select(*columns)
     result = StructType([source.schema[k] for k in keep] + made.fields)
     fields = to_arrow_schema(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, at_once) for b in batches for i in range(0, b.num_rows, at_once)):
             out = rows(batch.select([n for n in batch.schema.names if n not in keep]).to_pydict())
             arrays = [batch.column(f.name).cast(f.type) if f.name in keep else pa.array(out[f.name], f.type) for f in fields]
             yield pa.RecordBatch.from_arrays(arrays, schema=fields)

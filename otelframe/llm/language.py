@@ -102,7 +102,7 @@ def learn(rows: DataFrame, text_column: str = "text", lang_column: str = "lang",
         return {"lang": out["lang"], "gram": np.concatenate(out["gram"]), "n": np.concatenate(out["n"])}
 
     rows = rows.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
-    counts = map_texts(rows, ["text", "lang"], "lang string, gram long, n long", count).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_texts(rows, ["text", "lang"], "lang string, gram long, n long", count, at_once=20_000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("place", place - 1).where(F.col("place") < profile).select("lang", "gram", "place")
 

@@ -136,7 +136,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_column: st
             out["data"].append([parts[k] for k in fresh])
         return out | {"doc_id": batch["id"]}
 
-    staged = materialize(map_texts(docs, [F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")], ddl, rows))
+    staged = materialize(map_texts(docs, [F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")], ddl, rows, at_once=20_000))
     root = shared_dir(spark)
     store = Store(f"{root}/chunks", f"{root}/recipes", f"{root}/manifest")
 

@@ -43,7 +43,7 @@ from otelframe.llm.exact_dedup import keep_set_bits, repeat_bitmap
 
 #: Similarity 80/100 as integers; shingle counts are kept for 2**COUNT_BITS hash buckets.
 NEAR, WHOLE = 80, 100
-COUNT_BITS, SLICES = 18, 64
+COUNT_BITS, SLICES = 22, 64
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
@@ -222,13 +222,13 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
     entries = materialize(prefixes(docs, order_classes(found)))
     met = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew().alias("gram"))
     several = entries.join(met, "gram", "left_semi").distinct()
-    lists = several.groupBy("gram").agg(F.min("sig").alias("leader"), F.max("sig").alias("other")).where("leader <> other").select(dealt_anew().alias("gram"), "leader")
-    shared = materialize(several.join(lists, "gram"))
+    # the leader is the set that has the list's shingle first: it has the fewest rarer
+    # shingles of its own, so it is the one in the middle of a group of edited copies
+    lists = several.groupBy("gram").agg(F.min(F.struct("place", "sig", "size")).alias("head"), F.min("sig").alias("least"), F.max("sig").alias("most")).where("least <> most")
+    shared = materialize(several.join(lists.select(dealt_anew().alias("gram"), "head"), "gram"))
 
-    head = shared.where("sig = leader").select(dealt_anew().alias("gram"), "size", "place").alias("a")
-    rest = shared.where("sig <> leader").alias("b")
-    first = rest.join(head, (F.col("a.gram") == F.col("b.gram")) & reachable("a", "b"))
-    linked = compared(docs, first.select(F.col("b.leader").alias("a"), F.col("b.sig").alias("b")).distinct(), sets)
+    first = shared.withColumn("a", F.struct("head.size", "head.place")).withColumn("b", F.struct("size", "place")).where((F.col("sig") != F.col("head.sig")) & reachable("a", "b"))
+    linked = compared(docs, first.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), sets)
     labels = connected_components(linked)
 
     for exhaustive in (False, True):
@@ -253,7 +253,7 @@ def between_classes(shared: DataFrame, labels: DataFrame, exhaustive: bool) -> D
     A list's largest class is not paired with itself by the join: one side of it
     takes the other sets only.
     """
-    labelled = shared.drop("leader").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    labelled = shared.drop("head").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     lists = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     mixed = labelled.join(lists.select(dealt_anew().alias("gram")), "gram", "left_semi").select("gram", "sig", "size", "place", "label")
     mixed = materialize(mixed)

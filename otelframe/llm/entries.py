@@ -16,6 +16,7 @@ def queries() -> dict:
         "op6_substring_dedup": passages.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op8_line_dedup_short": lines.op8_line_dedup_short,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "pipeline": corpus_pipeline.run,
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_line_dedup": lines.OP8_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_short": lines.OP8_SHORT_SQL}

@@ -1,8 +1,9 @@
 """Cases that the operators once left out."""
 
 import duckdb
+import numpy as np
 
-from otelframe.llm import lines
+from otelframe.llm import lines, passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,26 @@ def test_long_lines_and_short_documents_count(spark):
     rows = [(1, f"a\n{long}\nb\n{half} x\n{half}"), (2, f"c\n{long}\nd\ne"), (3, f"{half} x\n{half}"), (4, "one line"), (5, "one line"), (6, "one line\nq\nr"), (7, " \n"), (8, " \n"), (9, "w0 w1\nc")]
     got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows) | {2: "c\nd\ne", 3: "", 5: ""}
+
+
+def planted(rng, n):
+    return [f"w{x}" for x in rng.integers(1 << 40, size=n)]
+
+
+def passage_pairs(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {(r.doc_id, r.source_id) for r in passages.repeated_passages(df).collect()}
+
+
+def test_passages_of_a_document_that_repeats_them(spark):
+    rng = np.random.default_rng(2)
+    texts, want = {}, set()
+    for k in range(6):
+        p = planted(rng, 50)
+        parts = [planted(rng, 300), p[:25], planted(rng, 300), p, planted(rng, 300), p[20:45], planted(rng, 300), p[10:30]]
+        texts[10 * k] = " ".join(sum(parts, []))
+        texts[10 * k + 1] = " ".join(planted(rng, 90) + p + planted(rng, 90))
+        want.add((10 * k + 1, 10 * k))
+    assert passage_pairs(spark, texts) == want
+    spots = [{"key": j, "l": at, "c": at + 9 + j, "r": at + 60} for at in (0, 400, 900) for j in (0, 1)]
+    assert passages.agreeing(spots) == passages.agreeing(spots[::-1]) == [(at, at + 60, {0, 1}) for at in (0, 400, 900)]

@@ -32,6 +32,20 @@ def passage_pairs(spark, texts):
     return {(r.doc_id, r.source_id) for r in passages.repeated_passages(df).collect()}
 
 
+def test_passages_with_other_first_holders(spark):
+    """For each hash of a passage of two documents an earlier document holds a few words of it."""
+    rng = np.random.default_rng(1)
+    texts, want = {}, set()
+    for k in range(6):
+        p = planted(rng, 50)
+        for i in range(0, 46, 3):  # eight words have at most four shingles of the passage
+            texts[1000 * k + i] = " ".join(planted(rng, 60) + p[i : i + 8] + planted(rng, 60))
+        for d in (900, 901):
+            texts[1000 * k + d] = " ".join(planted(rng, 100) + p + planted(rng, 100))
+        want.add((1000 * k + 901, 1000 * k + 900))
+    assert passage_pairs(spark, texts) == want
+
+
 def test_passages_of_a_document_that_repeats_them(spark):
     rng = np.random.default_rng(2)
     texts, want = {}, set()

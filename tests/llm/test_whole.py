@@ -58,3 +58,19 @@ def test_passages_of_a_document_that_repeats_them(spark):
     assert passage_pairs(spark, texts) == want
     spots = [{"key": j, "l": at, "c": at + 9 + j, "r": at + 60} for at in (0, 400, 900) for j in (0, 1)]
     assert passages.agreeing(spots) == passages.agreeing(spots[::-1]) == [(at, at + 60, {0, 1}) for at in (0, 400, 900)]
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 50 words, one word changed so that 41 of 46 shingles stay (the threshold)."""
+    rng = np.random.default_rng(3)
+    texts, want = {}, set()
+    for k in range(600):
+        p = planted(rng, 50)
+        texts[2 * k] = " ".join(planted(rng, 60) + p + planted(rng, 60))
+        q = list(p)
+        q[int(rng.integers(4, 46))] = "changed"
+        texts[2 * k + 1] = " ".join(planted(rng, 60) + q + planted(rng, 60))
+        want.add((2 * k + 1, 2 * k))
+    sets = {d: set(zip(*[t.split()[i:] for i in range(5)])) for d, t in texts.items()}
+    assert all(len(sets[a] & sets[b]) == 41 for a, b in want)
+    assert passage_pairs(spark, texts) == want

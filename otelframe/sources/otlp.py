@@ -231,9 +231,10 @@ def stamp_tenants(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
 
     ``keys`` has sender_key and tenants (null or empty: all tenants). A key of one
     tenant overwrites the row's tenant; a key of all tenants passes it; a key of some
-    tenants rejects others; an unknown key rejects. Keys are a short table, broadcast.
+    tenants rejects others; an unknown key rejects. All keys are read, however many;
+    Spark broadcasts them if they are few.
     """
-    known = F.broadcast(keys.limit(100_000).select("sender_key", F.coalesce("tenants", F.expr("cast(array() as array<string>)")).alias("_tenants")))
+    known = keys.select("sender_key", F.coalesce("tenants", F.expr("cast(array() as array<string>)")).alias("_tenants"))
     joined = rows.join(known, "sender_key", "left")
     entries = F.map_entries(F.coalesce(F.from_json("resource_attributes", "map<string,string>"), F.expr("cast(map() as map<string,string>)")))
     sent = F.get_json_object("resource_attributes", f"$['{TENANT_KEY}']")

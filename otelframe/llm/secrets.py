@@ -95,17 +95,17 @@ def _tested(candidates: str) -> str:
     named = "case " + " ".join(f"when c.m rlike {_quote(p)} then {_quote(name)}" for name, p, _ in ENCODINGS if p) + " else 'base64' end"
     alphabet = "case v.enc " + " ".join(f"when {_quote(name)} then {_quote(a)}" for name, _, a in ENCODINGS) + " end"
     body = "if(v.enc in ('hex', 'letters'), upper(v.m), translate(v.m, '-_', '+/'))"
-    steps = f"transform({candidates}, c -> named_struct('s', c.s, 'e', c.e, 'm', c.m, 'enc', {named}))"
-    steps = f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'enc', v.enc, 'alpha', {alphabet}, 'body', {body}))"
+    steps = f"transform({candidates}, c -> named_struct('s', c.s, 'e', c.e, 'm', c.m, 'h', xxhash64(c.m), 'enc', {named}))"
+    steps = f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'alpha', {alphabet}, 'body', {body}))"
     steps = (
-        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'enc', v.enc, 'k', cast(length(v.alpha) as double), 'n', cast(length(v.body) as double), "
+        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'k', cast(length(v.alpha) as double), 'n', cast(length(v.body) as double), "
         "'codes', transform(filter(split(v.body, ''), x -> x <> ''), x -> cast(instr(v.alpha, x) - 1 as double)), "
         "'squares', aggregate(sequence(1, length(v.alpha)), 0D, (a, i) -> a + power(length(v.body) - length(replace(v.body, substr(v.alpha, i, 1), '')), 2))))"
     )
     half = "x -> if(x * 2 >= v.k, 1, 0)"
     mean = "(aggregate(v.codes, 0D, (a, x) -> a + x) / v.n)"
     steps = (
-        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'enc', v.enc, 'k', v.k, 'n', v.n, 'chi', v.k * v.squares / v.n - v.n, 'codes', v.codes, 'mean', {mean}, "
+        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'k', v.k, 'n', v.n, 'chi', v.k * v.squares / v.n - v.n, 'codes', v.codes, 'mean', {mean}, "
         f"'high', cast(aggregate(transform(v.codes, {half}), 0, (a, x) -> a + x) as double), "
         f"'runs', 1 + aggregate(zip_with(slice(v.codes, 1, size(v.codes) - 1), slice(v.codes, 2, size(v.codes)), (x, y) -> if((x * 2 >= v.k) <> (y * 2 >= v.k), 1, 0)), 0, (a, x) -> a + x)))"
     )
@@ -117,7 +117,7 @@ def _tested(candidates: str) -> str:
     z_runs = f"if({variance} > 0, abs(v.runs - {expected}) / sqrt({variance}), 40D)"
     z_serial = f"if({spread} > 0, abs(({product}) / ({spread})) * sqrt(v.n), 40D)"
     p = f"least(1D, 3 * least({_tail(z_chi)}, 2 * {_tail(z_runs)}, 2 * {_tail(z_serial)}))"
-    return f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'cls', concat(v.enc, ':', cast(floor(2 * log2(v.n)) as int)), 'n', v.n, 'k', v.k, 'p', {p}))"
+    return f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'cls', concat(v.enc, ':', cast(floor(2 * log2(v.n)) as int)), 'n', v.n, 'k', v.k, 'p', {p}))"
 
 
 def scanned(docs: DataFrame, text_column: str, carry: list[Column]) -> DataFrame:
@@ -132,13 +132,14 @@ def scanned(docs: DataFrame, text_column: str, carry: list[Column]) -> DataFrame
 
 def accepted_classes(tested: DataFrame, fdr: float = FDR) -> list[str]:
     """Encoding and length classes whose expected share of false discoveries is at most
-    ``fdr``: at most 62 classes an encoding, counted over all rows.
+    ``fdr``: at most 62 classes an encoding, counted over the distinct runs of all rows
+    (by a 64-bit hash), so that copies weigh once.
 
     In a class, ordinary runs pass with chance beta (the chi-squared test's miss rate
     for text whose symbols coincide as often as ordinary letters do). The rejected
     runs, divided by 1 - beta, estimate how many ordinary runs there are.
     """
-    runs = tested.select(F.explode("tested").alias("t")).select("t.*")
+    runs = tested.select(F.explode("tested").alias("t")).select("t.*").groupBy("cls", "h").agg(*[F.first(c).alias(c) for c in ("k", "n", "p")])
     # critical value at ALPHA / 3 (normal quantile 2.713), by Wilson-Hilferty
     critical = F.expr("(k - 1) * power(1 - 2 / (9 * (k - 1)) + 2.713 * sqrt(2 / (9 * (k - 1))), 3)")
     shift = F.col("n0") * (F.col("k") * COINCIDENCE - 1)
@@ -155,8 +156,8 @@ def find_secrets(docs: DataFrame, text_column: str = "text", carry: list[Column]
     assign, access, hex and random, by start, then kind in this order.
 
     Base spans of different kinds may overlap; random ones touch no other. Null and
-    empty texts have no spans; rows are independent but for the class counts, which
-    repeated rows raise; an empty table gives an empty result.
+    empty texts have no spans; rows are independent but for the class counts, to
+    which repeated rows add nothing; an empty table gives an empty result.
     """
     found = scanned(docs, text_column, carry or [F.col("doc_id")])
     classes = accepted_classes(found, fdr)

@@ -3,7 +3,8 @@
 import duckdb
 import numpy as np
 
-from otelframe.llm import lines, passages
+from otelframe.llm import lines, passages, secrets
+from otelframe.sources import otlp
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,20 @@ def test_recall_of_near_passages(spark):
     sets = {d: set(zip(*[t.split()[i:] for i in range(5)])) for d, t in texts.items()}
     assert all(len(sets[a] & sets[b]) == 41 for a, b in want)
     assert passage_pairs(spark, texts) == want
+
+
+def test_copies_of_a_run_weigh_once(spark):
+    rng = np.random.default_rng(4)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    random = ["".join(rng.choice(alphabet, 40)) for _ in range(60)]
+    rows = list(enumerate(random + ["/usr/local/lib/python/dist/packages/site"] * 4000))
+    find = lambda r: {d for d, s in ((x.doc_id, x.spans) for x in secrets.find_secrets(spark.createDataFrame(r, "doc_id long, text string")).collect()) if s}
+    few = find(rows[:61])
+    assert len(few) >= 50 and find(rows) == few
+
+
+def test_all_sender_keys_count(spark):
+    keys = spark.range(150_000).selectExpr("cast(id as string) as sender_key", "cast(array() as array<string>) as tenants")
+    rows = keys.selectExpr("sender_key", "'{}' as resource_attributes")
+    accepted, rejected = otlp.stamp_tenants(rows, keys)
+    assert (accepted.count(), rejected.count()) == (150_000, 0)

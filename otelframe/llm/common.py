@@ -33,15 +33,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/otelframe-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go as soon as the job that made them has been written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
     lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Give back the space of materialized tables that nothing reads any more: each is
+    overwritten by an empty one."""
+    for table in tables:
+        path = table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else None
+        if path:
+            write_parquet(table.sparkSession.createDataFrame([], table.schema), path)
+
+
+def dealt_anew(column: str = "gram") -> Column:
+    """The same value in an expression that Spark does not see through: a join on it
+    deals its side anew and can then split a hot key's rows, at no cost in bytes."""
+    return F.bitwise_not(F.bitwise_not(column))
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from otelframe.llm import shingles
-from otelframe.llm.common import documents, map_texts, materialize
+from otelframe.llm.common import dealt_anew, documents, map_texts, materialize
 from otelframe.llm.components import connected_components
 from otelframe.llm.exact_dedup import keep_set_bits, repeat_bitmap
 
@@ -200,12 +200,6 @@ def compared(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(map_texts(both, ["a", "b", "grams_a", "grams_b"], "a long, b long", rows))
 
 
-def dealt_anew(column: str = "gram") -> Column:
-    """The same value in an expression that Spark does not see through: a join on it
-    deals its side anew and can then split a hot key's rows, at no cost in bytes."""
-    return F.bitwise_not(F.bitwise_not(column))
-
-
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, size (of its set), component_id.
 

@@ -20,6 +20,11 @@ _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
+def odd(k: int) -> int:
+    """The k-th of a row of odd multipliers."""
+    return (_BASE * (2 * k + 1) ^ (0xD1342543DE82EF95 * k)) % (1 << 64) | 1
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -57,8 +57,6 @@ def test_passages_of_a_document_that_repeats_them(spark):
         texts[10 * k + 1] = " ".join(planted(rng, 90) + p + planted(rng, 90))
         want.add((10 * k + 1, 10 * k))
     assert passage_pairs(spark, texts) == want
-    spots = [{"key": j, "l": at, "c": at + 9 + j, "r": at + 60} for at in (0, 400, 900) for j in (0, 1)]
-    assert passages.agreeing(spots) == passages.agreeing(spots[::-1]) == [(at, at + 60, {0, 1}) for at in (0, 400, 900)]
 
 
 def test_recall_of_near_passages(spark):

@@ -6,50 +6,64 @@ DataFrame operations only. Each pass keeps what can still have an equal partner:
 2. group the rest by (length, hash of the first characters): single ones are done;
 3. the full SHA-256 is computed for rows of surviving groups only.
 
-What survives a pass reaches the next one as a bitmap of ``2**bits`` bits: each
-key that occurs more than once sets one bit, and a row goes on where its bit is
-set. Bitmaps have a fixed size, so they may be broadcast; two keys on one bit only
-cost a hash that was not needed. No text is ever shuffled, and every group by is
-on counts that are summed before they travel.
+What survives a pass reaches the next one as a bitmap: each key that occurs more
+than once sets one bit, and a row goes on where its bit is set. A bitmap has 16 bits
+a key, and ``2**MOST_BITS`` at most, so it may be broadcast; two keys on one bit only
+cost a hash that was not needed. Beyond some millions of keys a full bitmap lets more
+rows through, which is still less work than to shuffle their texts. No text is ever
+shuffled, and every group by is on counts that are summed before they travel.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otelframe.llm.common import materialize, text_or_empty
 
 PREFIX_CHARS = 64
-#: 2**22 bits are 512 kB in 64-bit words.
-BITMAP_BITS = 22
+#: Bounds of a bitmap's size: 2**26 bits are 8 MB in 64-bit words.
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def _bit(key: Column, bits: int) -> Column:
     return F.pmod(key, F.lit(1 << bits))
 
 
-def repeat_bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """Bits of the values of ``key`` (long) that occur more than once, as at most
-    2**bits / 4096 rows: slice, masks (map of word number to 64 bits)."""
-    repeated = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+class Bitmap(NamedTuple):
+    rows: DataFrame
+    bits: int
+
+
+def repeat_bitmap(keys: DataFrame, bits: int | None = None) -> Bitmap:
+    """Bits of the values of ``key`` (long) that occur more than once."""
+    repeated = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return bitmap(materialize(repeated), bits)
+
+
+def bitmap(keys: DataFrame, bits: int | None = None) -> Bitmap:
+    """A bit for each value of ``key`` (long), as at most 2**bits / 4096 rows: slice,
+    masks (map of word number to 64 bits). Without ``bits`` the keys are counted."""
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
     words = (
-        repeated.select(_bit(F.col("key"), bits).alias("bit"))
+        keys.select(_bit(F.col("key"), bits).alias("bit"))
         .groupBy(F.expr("bit div 64").alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
     )
     slices = words.groupBy(F.expr("word div 64").alias("slice")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).alias("k"), "mask"))).alias("masks"))
-    return materialize(slices)
+    return Bitmap(materialize(slices), bits)
 
 
-def keep_set_bits(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int, flag: str) -> DataFrame:
+def keep_set_bits(rows: DataFrame, key: Column, known: Bitmap, flag: str) -> DataFrame:
     """``rows`` with a boolean ``flag``: whether the bit of ``key`` is set."""
     hit = F.expr("(shiftright(try_element_at(masks, cast(_bit div 64 % 64 as bigint)), cast(_bit % 64 as int)) & 1L) = 1L")
-    joined = rows.withColumn("_bit", _bit(key, bits)).join(F.broadcast(bitmap), F.expr("_bit div 4096") == F.col("slice"), "left")
+    joined = rows.withColumn("_bit", _bit(key, known.bits)).join(F.broadcast(known.rows), F.expr("_bit div 4096") == F.col("slice"), "left")
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_bit", "slice", "masks")
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: dict[str, Column] | None = None, bits: int = BITMAP_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: dict[str, Column] | None = None, bits: int | None = None) -> DataFrame:
     """One row per input row: id, length, keep_id, group_size, kept, full_hash.
 
     Texts are equal when identical; null counts as empty. The row with the largest
@@ -65,10 +79,10 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     by_prefix = F.xxhash64(by_length, F.substring("text", 1, PREFIX_CHARS))
 
     lengths = repeat_bitmap(base.select(by_length.alias("key")), bits)
-    same_length = keep_set_bits(base, by_length, lengths, bits, "alive")
+    same_length = keep_set_bits(base, by_length, lengths, "alive")
     prefixes = repeat_bitmap(same_length.where("alive").select(by_prefix.alias("key")), bits)
     # a prefix key holds the length, so its bit stands for both passes
-    marked = keep_set_bits(base, by_prefix, prefixes, bits, "alive")
+    marked = keep_set_bits(base, by_prefix, prefixes, "alive")
 
     full = F.when(F.col("alive"), F.unhex(F.sha2("text", 256)))
     rows = marked.select(

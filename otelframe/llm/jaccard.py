@@ -8,11 +8,12 @@ first (by counts of hash buckets, then by hash), and only its prefix is indexed:
 that link share a shingle of both prefixes. Two kinds of skipping keep the work
 linear in a group of many similar sets:
 
-* index lists are skipped by position: list entries hold the shingle's place and the
-  set's size, and pairs that cannot reach the needed overlap from there, or whose
-  sizes differ too much, are never looked at; what is left is met by a parity bitmap
-  of each set, whose differing bits are a lower bound of the sets' difference, and
-  only pairs below that bound are compared by their whole sets;
+* index lists are skipped by blocks and position: a list is dealt into blocks of
+  sets whose sizes are within a factor of 0.8, and an entry only meets its own block
+  and the next ones; entries hold the shingle's place too, and pairs that cannot reach
+  the needed overlap from there go; what is left is met by a parity bitmap of each set,
+  whose differing bits are a lower bound of the sets' difference, and only pairs below
+  that bound are compared by their whole sets;
 * answers are derived from a similar set's answers: all sets of a list are first
   compared with the list's one leader. What links to it is in its class, and lists
   whose sets are in one class by then are done. For sets of different classes in a
@@ -26,24 +27,29 @@ lost; a large group costs as many comparisons as it has sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from otelframe.llm import shingles
-from otelframe.llm.common import dealt_anew, documents, map_texts, materialize
+from otelframe.llm.common import dealt_anew, documents, map_texts, materialize, release
 from otelframe.llm.components import connected_components
-from otelframe.llm.exact_dedup import keep_set_bits, repeat_bitmap
+from otelframe.llm.exact_dedup import bitmap, keep_set_bits
 
 #: Similarity 80/100 as integers; shingle counts are kept for 2**COUNT_BITS hash buckets.
 NEAR, WHOLE = 80, 100
 COUNT_BITS, SLICES = 22, 64
+_LAST = (1 << 63) - 1
+#: Tasks whose counts are added up in one group.
+ADDED = 128
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
@@ -72,8 +78,9 @@ def differing_bits(x: bytes, y: bytes) -> int:
 
 def sets_and_counts(docs: DataFrame) -> DataFrame:
     """For each document id, size, sig, sketch; and for each task its bucket counts (how
-    many documents have a shingle of the bucket), as SLICES rows with slice and counts."""
-    ddl = "id long, size long, sig long, sketch binary, slice int, counts binary"
+    many documents have a shingle of the bucket), as SLICES rows with slice, counts and
+    the task's number ``part``."""
+    ddl = "id long, copy long, size long, sig long, sketch binary, slice int, counts binary, part int"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +94,13 @@ def sets_and_counts(docs: DataFrame) -> DataFrame:
                 out["sig"].append(shingles.signature(h) if len(h) else None)
                 out["sketch"].append(sketch(h))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out["size"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["sketch"], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-        parts = [p.astype("<u4").tobytes() for p in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(out["size"], pa.int64()), pa.array(out["sig"], pa.int64()), pa.array(out["sketch"], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], schema=schema)
+        if counts.any():
+            parts = [p.astype("<u4").tobytes() for p in np.split(counts, SLICES)]
+            task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 4, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), task], schema=schema)
 
-    return docs.select("id", "text").mapInArrow(run, ddl)
+    return docs.select("id", "copy", "text").mapInArrow(run, ddl)
 
 
 def order_classes(found: DataFrame) -> np.ndarray:
@@ -99,24 +108,33 @@ def order_classes(found: DataFrame) -> np.ndarray:
     count: 2**COUNT_BITS bytes, whatever the size of the corpus."""
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        sums = np.zeros((1 << COUNT_BITS) // SLICES, np.int64)
+        sums = np.zeros((1 << COUNT_BITS) // SLICES, np.uint64)
         for data in part["counts"]:
             sums += np.frombuffer(data, "<u4")
-        classes = np.minimum(255, np.round(4 * np.log2(1 + sums))).astype(np.uint8)
-        return pd.DataFrame({"slice": part["slice"].iloc[:1], "classes": [classes.tobytes()]})
-
-    rows = found.where("slice is not null").groupBy("slice").applyInPandas(add, "slice int, classes binary").collect()
+        total = np.minimum(sums, np.iinfo(np.uint32).max).astype("<u4").tobytes()
+        return pd.DataFrame({"slice": part["slice"].iloc[:1], "counts": [total], "part": part["part"].iloc[:1] // ADDED})
+
+    # added up as a tree, so that no group grows with the number of tasks
+    rows = found.where("slice is not null").select("slice", "counts", "part")
+    left = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        rows = rows.groupBy("slice", F.expr(f"part div {ADDED}").alias("_of")).applyInPandas(add, "slice int, counts binary, part int")
+        left = -(-left // ADDED)
+        if left == 1:
+            break
+        rows = materialize(rows)
     table = np.zeros(1 << COUNT_BITS, np.uint8)
     width = len(table) // SLICES
-    for r in rows:
-        table[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.classes, np.uint8)
+    for r in rows.toLocalIterator():
+        sums = np.frombuffer(r.counts, "<u4")
+        table[r.slice * width : (r.slice + 1) * width] = np.minimum(255, np.round(4 * np.log2(1 + sums.astype(np.float64))))
     return table
 
 
-def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, table: Broadcast) -> DataFrame:
     """Index entries: gram, sig, size, place (in the set's global order), for the
-    ``size - ceil(0.8 size) + 1`` first shingles of each set."""
-    table = docs.sparkSession.sparkContext.broadcast(classes)
+    ``size - ceil(0.8 size) + 1`` first shingles of each set. ``table`` has the class of
+    each bucket of shingles."""
 
     def rows(batch: dict) -> dict:
         grams, sigs, sizes, places = [], [], [], []
@@ -144,12 +162,11 @@ def reachable(a: str, b: str) -> Column:
     return (WHOLE * small >= NEAR * large) & ((NEAR + WHOLE) * rest >= NEAR * (F.col(f"{a}.size") + F.col(f"{b}.size")))
 
 
-def contents(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
+def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sig, grams (sorted shingles as bytes) of the sets in ``wanted`` (sig, id): documents
-    are picked by a bitmap of fixed size, so that no text is shuffled."""
-    twice = wanted.select(F.xxhash64("id").alias("key"))
-    bitmap = repeat_bitmap(twice.unionByName(twice), bits)
-    picked = keep_set_bits(docs, F.xxhash64("id"), bitmap, bits, "wanted").where("wanted")
+    are picked by a bitmap of bounded size, so that no text is shuffled."""
+    known = bitmap(wanted.select(F.xxhash64("id").alias("key")))
+    picked = keep_set_bits(docs, F.xxhash64("id"), known, "wanted").where("wanted")
 
     def rows(batch: dict) -> dict:
         sets = [shingles.distinct(t) for t in batch["text"]]
@@ -179,7 +196,7 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def compared(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b): those that link, by their whole sets."""
     close = materialize(near_enough(pairs, sets))
-    wanted = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "id"), "sig")
+    wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(sets.select("sig", "id"), "sig"))
     whole = materialize(contents(docs, wanted))
     left = close.join(whole.select(F.col("sig").alias("b"), F.col("grams").alias("grams_b")), "b")
     both = left.join(whole.select(F.col("sig").alias("a"), F.col("grams").alias("grams_a")), "a")
@@ -201,25 +218,33 @@ def compared(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, size (of its set), component_id.
-
-    Null texts and texts without words have empty sets and link with nothing: their
-    component_id is their own id. Null ids are never the smallest; a class whose ids
-    are all null has a null component_id. Repeated rows get repeated results. Tables
+    """One row per row of ``docs``: id, copy (hash of the text), size (of its set),
+    component_id, kept.
+
+    ``component_id`` is the smallest id of the class, and ``kept`` marks the row that has
+    it (of several texts with that id, the one of least ``copy``). Null texts and texts
+    without words have empty sets and link with nothing: their component_id is their own
+    id, and they are kept. Null ids are never the smallest; a class whose ids are all null
+    has a null component_id. Rows that repeat id and text share their results. Tables
     without rows give no rows; other columns are not read.
     """
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("copy"), F.col(text_column).alias("text"))
     found = materialize(sets_and_counts(docs))
-    members = found.where("slice is null").select("id", "size", "sig", "sketch")
-    sets = materialize(members.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-
-    entries = materialize(prefixes(docs, order_classes(found)))
+    members = found.where("slice is null").select("id", "copy", "size", "sig", "sketch")
+    place = F.struct(F.coalesce("id", F.lit(_LAST)).alias("at"), "copy")
+    sets = members.where("sig is not null").groupBy("sig").agg(F.min(place).alias("o"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.select("sig", F.nullif("o.at", F.lit(_LAST)).alias("id"), "o", "size", "sketch"))
+
+    table = docs.sparkSession.sparkContext.broadcast(order_classes(found))
+    entries = materialize(prefixes(docs, table))
+    table.unpersist()
     met = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(dealt_anew().alias("gram"))
     several = entries.join(met, "gram", "left_semi").distinct()
     # the leader is the set that has the list's shingle first: it has the fewest rarer
     # shingles of its own, so it is the one in the middle of a group of edited copies
     lists = several.groupBy("gram").agg(F.min(F.struct("place", "sig", "size")).alias("head"), F.min("sig").alias("least"), F.max("sig").alias("most")).where("least <> most")
     shared = materialize(several.join(lists.select(dealt_anew().alias("gram"), "head"), "gram"))
+    release(entries)
 
     first = shared.withColumn("a", F.struct("head.size", "head.place")).withColumn("b", F.struct("size", "place")).where((F.col("sig") != F.col("head.sig")) & reachable("a", "b"))
     linked = compared(docs, first.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), sets)
@@ -231,13 +256,16 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
         if not more.isEmpty():
             labels = connected_components(more, labels)
 
-    classed = sets.select("sig", F.col("id").alias("low")).join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    low = classed.groupBy("label").agg(F.min("low").alias("component_id")).select(dealt_anew("label").alias("label"), "component_id")
-    named = classed.join(low, "label").select(dealt_anew("sig").alias("key"), "component_id")
+    classed = sets.select("sig", "o").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    low = classed.groupBy("label").agg(F.min("o").alias("low")).select(dealt_anew("label").alias("label"), "low")
+    named = classed.join(low, "label").select(dealt_anew("sig").alias("key"), "low")
     # rows without words join nothing; keys of their own spread them
-    keyed = members.select("id", "size", "sig", F.coalesce("sig", F.xxhash64("id")).alias("key"))
+    keyed = members.select("id", "copy", "size", "sig", F.coalesce("sig", F.xxhash64("id")).alias("key"))
     done = keyed.join(named, "key", "left")
-    return done.select(F.col("id").alias(id_column), "size", F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("sig").isNull()
+    return done.select(
+        F.col("id").alias(id_column), "copy", "size", F.when(alone, F.col("id")).otherwise(F.nullif("low.at", F.lit(_LAST))).alias("component_id"), (alone | (place == F.col("low"))).alias("kept")
+    )
 
 
 def between_classes(shared: DataFrame, labels: DataFrame, exhaustive: bool) -> DataFrame:
@@ -254,8 +282,11 @@ def between_classes(shared: DataFrame, labels: DataFrame, exhaustive: bool) -> D
     per_class = mixed.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = per_class.groupBy("gram").agg(F.expr("max_by(label, named_struct('n', n, 'label', label))").alias("largest"))
     strays = mixed.join(largest.select(dealt_anew().alias("gram"), "largest"), "gram").where("label <> largest")
-    a, b = strays.withColumn("gram", dealt_anew()).alias("a"), mixed.alias("b")
-    each = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") != F.col("b.label"))
+    # sets that link are in one block of sizes or in neighbouring ones
+    block = F.floor(F.log("size") / math.log(WHOLE / NEAR)).cast("int")
+    a = strays.withColumn("gram", dealt_anew()).withColumn("block", F.explode(F.array(block - 1, block, block + 1))).alias("a")
+    b = mixed.withColumn("block", block).alias("b")
+    each = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.label") != F.col("b.label"))
     once = (F.col("b.label") == F.col("a.largest")) | (F.col("a.sig") < F.col("b.sig"))
     met = a.join(b, each & once & reachable("a", "b")).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("b.label").alias("label_b"))
     if exhaustive:
@@ -266,4 +297,4 @@ def between_classes(shared: DataFrame, labels: DataFrame, exhaustive: bool) -> D
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(documents(spark, sf_dir)).withColumnRenamed("size", "n_shingles")
+    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", F.col("size").alias("n_shingles"), "component_id")

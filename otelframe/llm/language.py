@@ -86,7 +86,9 @@ def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 def learn(rows: DataFrame, text_column: str = "text", lang_column: str = "lang", profile: int = PROFILE) -> DataFrame:
     """Profiles: lang, gram, place (0 for the most frequent). Counts cover every row
-    with a text and a label; ties go by the n-gram's number."""
+    with a text and a label, long texts in blocks; a repeated row counts each time, ties
+    go by the n-gram's number. A table without such rows gives no profiles. Other columns
+    are not read, whatever they are called."""
 
     def count(batch: dict) -> dict:
         by_lang: dict[str, list] = {}
@@ -104,7 +106,9 @@ def learn(rows: DataFrame, text_column: str = "text", lang_column: str = "lang",
     rows = rows.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
     counts = map_texts(rows, ["text", "lang"], "lang string, gram long, n long", count, at_once=20_000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("place", place - 1).where(F.col("place") < profile).select("lang", "gram", "place")
+    # a bound on the rank itself lets each task drop the rest of its rows before they travel
+    top = counts.withColumn("rank", place).where(F.col("rank") <= profile)
+    return top.select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 class Profiles:
@@ -143,8 +147,11 @@ class Profiles:
 
 def predict(docs: DataFrame, profiles: DataFrame, carry: dict[str, Column] | None = None, text_column: str = "text", profile: int = PROFILE) -> DataFrame:
     """``carry`` columns plus lang_pred, score, margin for each row. Null texts and
-    texts without a letter are ``und`` with score 0. Profiles come to the driver:
-    at most ``profile`` rows a language, and at most MOST_LANGUAGES languages."""
+    texts without a letter are ``und`` with score 0, as is every text without profiles.
+    Rows are independent: repeated rows repeat, of equal distances the first language by
+    name is taken, an empty table gives an empty result, and columns that are not carried
+    are not read. Profiles come to the driver: at most ``profile`` rows a language, and at
+    most MOST_LANGUAGES languages."""
     table = profiles.limit(profile * MOST_LANGUAGES + 1).toPandas()
     if len(table) > profile * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: is this a column of labels?")
@@ -155,7 +162,8 @@ def predict(docs: DataFrame, profiles: DataFrame, carry: dict[str, Column] | Non
         found = [known.predict(t) for t in batch["_text"]]
         return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found]}
 
-    columns = [*[c.alias(k) for k, c in carry.items()], F.col(f"`{text_column}`").alias("_text")]
+    text = F.col(f"`{text_column}`").alias("_text")
+    columns = [*[c.alias(k) for k, c in carry.items()], text]
     return map_texts(docs, columns, "lang_pred string, score double, margin double", rows, keep=tuple(carry))
 
 

@@ -1,7 +1,7 @@
 """Secret scan: three base patterns, and a battery of randomness tests.
 
-SQL expressions only. Base kinds are regular expressions; their positions come from
-the lengths of the matches and of the texts between them, summed inside the row.
+DataFrame expressions only. Base kinds are regular expressions; their positions come
+from the lengths of the matches and of the texts between them, summed inside the row.
 
 The battery looks at other long runs of encoding characters. For each, the encoding
 is inferred (hex, base32, base62, base64, one case of letters), and three tests ask
@@ -12,18 +12,24 @@ whether it could be random in that alphabet:
 * serial correlation of neighbouring symbols.
 
 A run that no test rejects (at ALPHA with three tests) may be random, or may be
-ordinary text too short for the tests to tell. So discoveries are controlled by
-length: for each encoding and length class, the number of ordinary runs and the
-tests' power at that length give the share of false discoveries to expect, and only
-classes below ``fdr`` are reported.
+ordinary text too short for the tests to tell. So each such run is rated on its own: by
+the likelihood ratio of its symbols under equal frequencies against the frequencies in
+the corpus's ordinary runs, those that the tests reject. An ordinary run reaches a ratio
+of r with chance 1 / r at most, so ratios are e-values, and discoveries are controlled in
+each stratum of encoding and length by the step-up rule for e-values: of m runs, the k
+best are reported if the k-th has a ratio of m / (fdr k) or more. Longer runs give larger
+ratios, so a key stands out among any number of ordinary runs, and where runs are too
+short for that none is reported. Runs are counted once, however often they occur.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otelframe.llm.common import documents, text_or_empty
+from otelframe.llm.common import documents, materialize, text_or_empty
 
 # The base kinds in their order, pattern, and length that a match must have.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,8 +50,11 @@ ENCODINGS = (
 )
 ALPHA = 0.01
 FDR = 0.05
-#: Chance that two letters of ordinary text are equal.
-COINCIDENCE = 0.065
+# Shares of lower case, upper case, digits and signs in ordinary runs, before
+# any run is counted, and how many symbols that belief weighs.
+LOWER_SHARE, UPPER_SHARE, DIGIT_SHARE, SIGN_SHARE, BELIEF = 0.7, 0.15, 0.1, 0.05, 64
+#: Ratios are taken as whole powers of e, and no larger than this one.
+MOST_POWER = 200
 BLOCK = 64
 
 
@@ -85,87 +94,158 @@ def base_spans(kind: str, pattern: str, least: int) -> str:
     return f"filter({found}, x -> length(x.{checked}) >= {least})"
 
 
-def _tail(z: str) -> str:
+def upper_tail(z: Column) -> Column:
     """Upper tail of the normal distribution (logistic form, error under 2e-4)."""
-    return f"(1 / (1 + exp(least(700D, greatest(-700D, 1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z}))))))"
-
-
-def _tested(candidates: str) -> str:
-    """SQL: candidates (s, e, m) with encoding, length class and combined p-value."""
-    named = "case " + " ".join(f"when c.m rlike {_quote(p)} then {_quote(name)}" for name, p, _ in ENCODINGS if p) + " else 'base64' end"
-    alphabet = "case v.enc " + " ".join(f"when {_quote(name)} then {_quote(a)}" for name, _, a in ENCODINGS) + " end"
-    body = "if(v.enc in ('hex', 'letters'), upper(v.m), translate(v.m, '-_', '+/'))"
-    steps = f"transform({candidates}, c -> named_struct('s', c.s, 'e', c.e, 'm', c.m, 'h', xxhash64(c.m), 'enc', {named}))"
-    steps = f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'alpha', {alphabet}, 'body', {body}))"
-    steps = (
-        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'k', cast(length(v.alpha) as double), 'n', cast(length(v.body) as double), "
-        "'codes', transform(filter(split(v.body, ''), x -> x <> ''), x -> cast(instr(v.alpha, x) - 1 as double)), "
-        "'squares', aggregate(sequence(1, length(v.alpha)), 0D, (a, i) -> a + power(length(v.body) - length(replace(v.body, substr(v.alpha, i, 1), '')), 2))))"
-    )
-    half = "x -> if(x * 2 >= v.k, 1, 0)"
-    mean = "(aggregate(v.codes, 0D, (a, x) -> a + x) / v.n)"
-    steps = (
-        f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'enc', v.enc, 'k', v.k, 'n', v.n, 'chi', v.k * v.squares / v.n - v.n, 'codes', v.codes, 'mean', {mean}, "
-        f"'high', cast(aggregate(transform(v.codes, {half}), 0, (a, x) -> a + x) as double), "
-        f"'runs', 1 + aggregate(zip_with(slice(v.codes, 1, size(v.codes) - 1), slice(v.codes, 2, size(v.codes)), (x, y) -> if((x * 2 >= v.k) <> (y * 2 >= v.k), 1, 0)), 0, (a, x) -> a + x)))"
-    )
-    spread = "aggregate(v.codes, 0D, (a, x) -> a + (x - v.mean) * (x - v.mean))"
-    product = "aggregate(zip_with(slice(v.codes, 1, size(v.codes) - 1), slice(v.codes, 2, size(v.codes)), (x, y) -> (x - v.mean) * (y - v.mean)), 0D, (a, x) -> a + x)"
-    expected = "(1 + 2 * v.high * (v.n - v.high) / v.n)"
-    variance = "((2 * v.high * (v.n - v.high)) * (2 * v.high * (v.n - v.high) - v.n) / (v.n * v.n * (v.n - 1)))"
-    z_chi = "((power(greatest(v.chi, 0D) / (v.k - 1), 1D/3) - (1 - 2 / (9 * (v.k - 1)))) / sqrt(2 / (9 * (v.k - 1))))"
-    z_runs = f"if({variance} > 0, abs(v.runs - {expected}) / sqrt({variance}), 40D)"
-    z_serial = f"if({spread} > 0, abs(({product}) / ({spread})) * sqrt(v.n), 40D)"
-    p = f"least(1D, 3 * least({_tail(z_chi)}, 2 * {_tail(z_runs)}, 2 * {_tail(z_serial)}))"
-    return f"transform({steps}, v -> named_struct('s', v.s, 'e', v.e, 'h', v.h, 'cls', concat(v.enc, ':', cast(floor(2 * log2(v.n)) as int)), 'n', v.n, 'k', v.k, 'p', {p}))"
+    power = 1.5976 * z + 0.07056 * z * z * z
+    return 1 / (1 + F.exp(F.least(F.lit(700.0), F.greatest(F.lit(-700.0), power))))
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def chi_squared_z(body: Column, alphabet: Column) -> Column:
+    """Normal value of the chi-squared statistic of the symbol counts (Wilson-Hilferty)."""
+    n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
+    symbols = F.filter(F.split(alphabet, ""), lambda x: x != "")
+    squares = _sum(F.transform(symbols, lambda x: F.pow(F.length(body) - F.length(F.replace(body, x, F.lit(""))), F.lit(2.0))))
+    free = k - 1
+    cube = F.pow(F.greatest(k * squares / n - n, F.lit(0.0)) / free, F.lit(1 / 3))
+    return (cube - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+
+
+def symbol_numbers(body: Column, alphabet: Column) -> Column:
+    return F.transform(F.filter(F.split(body, ""), lambda x: x != ""), lambda x: (F.instr(alphabet, x) - 1).cast("double"))
+
+
+def _neighbours(codes: Column, f) -> Column:
+    return F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), f)
+
+
+def runs_z(codes: Column, k: Column) -> Column:
+    """How far the number of runs in the halves of the alphabet is from the expected one."""
+    n = F.size(codes).cast("double")
+    high = _sum(F.transform(codes, lambda x: F.when(x * 2 >= k, 1.0).otherwise(0.0)))
+    runs = 1 + _sum(_neighbours(codes, lambda x, y: F.when((x * 2 >= k) != (y * 2 >= k), 1.0).otherwise(0.0)))
+    both = 2 * high * (n - high)
+    variance = both * (both - n) / (n * n * (n - 1))
+    return F.when(variance > 0, F.abs(runs - 1 - both / n) / F.sqrt(variance)).otherwise(40.0)
+
+
+def serial_z(codes: Column, mean: Column) -> Column:
+    """Correlation of neighbouring symbols, as a normal value."""
+    spread = _sum(F.transform(codes, lambda x: (x - mean) * (x - mean)))
+    product = _sum(_neighbours(codes, lambda x, y: (x - mean) * (y - mean)))
+    return F.when(spread > 0, F.abs(product / spread) * F.sqrt(F.size(codes).cast("double"))).otherwise(40.0)
+
+
+def _choice(column: Column, pairs) -> Column:
+    out = F.lit(None)
+    for name, value in reversed(list(pairs)):
+        out = F.when(column == name, value).otherwise(out)
+    return out
+
+
+def inferred(run: Column) -> Column:
+    """Name of the first encoding whose pattern the run matches."""
+    out = F.lit(ENCODINGS[-1][0])
+    for name, pattern, _ in reversed(ENCODINGS[:-1]):
+        out = F.when(run.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def tested(candidates: Column) -> Column:
+    """Candidates (s, e, m) with encoding, stratum, body (in its alphabet) and the combined
+    p-value of the three tests."""
+    named = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), inferred(c["m"]).alias("enc")))
+
+    def spelled(c: Column) -> Column:
+        body = F.when(c["enc"].isin("hex", "letters"), F.upper(c["m"])).otherwise(F.translate(c["m"], "-_", "+/"))
+        alphabet = _choice(c["enc"], [(name, F.lit(a)) for name, _, a in ENCODINGS])
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(c["m"]).alias("h"), c["enc"].alias("enc"), body.alias("body"), alphabet.alias("alphabet"), symbol_numbers(body, alphabet).alias("codes"))
+
+    def averaged(c: Column) -> Column:
+        n = F.size(c["codes"])
+        stratum = F.concat(c["enc"], F.lit(":"), F.floor(2 * F.log2(n.cast("double"))).cast("string"))
+        return F.struct(*[c[x].alias(x) for x in ("s", "e", "h", "enc", "body", "alphabet", "codes")], stratum.alias("cls"), (_sum(c["codes"]) / n).alias("mean"))
+
+    def rated(c: Column) -> Column:
+        chi, runs, serial = chi_squared_z(c["body"], c["alphabet"]), runs_z(c["codes"], F.length(c["alphabet"]).cast("double")), serial_z(c["codes"], c["mean"])
+        p = F.least(F.lit(1.0), 3 * F.least(upper_tail(chi), 2 * upper_tail(runs), 2 * upper_tail(serial)))
+        return F.struct(*[c[x].alias(x) for x in ("s", "e", "h", "enc", "cls", "body")], p.alias("p"))
+
+    return F.transform(F.transform(F.transform(named, spelled), averaged), rated)
 
 
 def scanned(docs: DataFrame, text_column: str, carry: list[Column]) -> DataFrame:
-    """``carry`` and text, the base spans of each kind, and the tested candidates that
-    touch no base span."""
-    rows = docs.select(*carry, text_or_empty(text_column).alias("text"))
+    """``carry``, the base spans of each kind, and ``tested``: the candidates that touch no
+    base span, rated by the battery. Written once, as it is read three times."""
+    rows = docs.select(F.struct(*carry).alias("carry"), text_or_empty(text_column).alias("text"))
     for kind, pattern, least in BASE:
         rows = rows.withColumn(kind, F.expr(base_spans(kind, pattern, least)))
     free = f"filter({matches(CANDIDATE)}, c -> not (c.m rlike '^[0-9]+$') and not exists(concat(assign, access, hex), b -> b.s < c.e and c.s < b.e))"
-    return rows.withColumn("candidates", F.expr(free)).withColumn("tested", F.expr(_tested("candidates"))).drop("candidates")
-
-
-def accepted_classes(tested: DataFrame, fdr: float = FDR) -> list[str]:
-    """Encoding and length classes whose expected share of false discoveries is at most
-    ``fdr``: at most 62 classes an encoding, counted over the distinct runs of all rows
-    (by a 64-bit hash), so that copies weigh once.
-
-    In a class, ordinary runs pass with chance beta (the chi-squared test's miss rate
-    for text whose symbols coincide as often as ordinary letters do). The rejected
-    runs, divided by 1 - beta, estimate how many ordinary runs there are.
-    """
-    runs = tested.select(F.explode("tested").alias("t")).select("t.*").groupBy("cls", "h").agg(*[F.first(c).alias(c) for c in ("k", "n", "p")])
-    # critical value at ALPHA / 3 (normal quantile 2.713), by Wilson-Hilferty
-    critical = F.expr("(k - 1) * power(1 - 2 / (9 * (k - 1)) + 2.713 * sqrt(2 / (9 * (k - 1))), 3)")
-    shift = F.col("n0") * (F.col("k") * COINCIDENCE - 1)
-    by_class = runs.groupBy("cls").agg(F.first("k").alias("k"), F.min("n").alias("n0"), F.expr(f"count_if(p >= {ALPHA})").alias("found"), F.expr(f"count_if(p < {ALPHA})").alias("rejected"))
-    z = (F.col("k") - 1 + F.greatest(shift, F.lit(0.0)) - critical) / F.sqrt(2 * (F.col("k") - 1 + 2 * F.greatest(shift, F.lit(0.0))))
-    rated = by_class.withColumn("z", z).withColumn("beta", F.expr(_tail("z")))
-    false = (F.col("rejected") + 1) * F.col("beta") / (1 - F.col("beta"))
-    kept = rated.where((F.col("found") > 0) & (F.col("beta") < 0.5) & (false <= fdr * F.col("found"))).select("cls")
-    return sorted(r.cls for r in kept.collect())
+    rows = rows.withColumn("candidates", F.expr(free)).withColumn("tested", tested(F.col("candidates")))
+    return materialize(rows.select("carry", *[k for k, _, _ in BASE], "tested"))
+
+
+def symbol_weights(runs: DataFrame) -> dict[str, list[float]]:
+    """For each encoding and symbol: the logarithm of its share in a random run over its
+    share in ordinary ones. At most 64 symbols an encoding reach the driver."""
+    symbols = runs.where(F.col("p") < ALPHA).select("enc", F.explode(F.filter(F.split("body", ""), lambda x: x != "")).alias("symbol"))
+    counts = {(r.enc, r.symbol): r.n for r in symbols.groupBy("enc", "symbol").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for name, _, alphabet in ENCODINGS:
+        kinds = [LOWER if x in LOWER else UPPER if x in UPPER else DIGITS if x in DIGITS else "" for x in alphabet]
+        share = {LOWER: LOWER_SHARE, UPPER: UPPER_SHARE, DIGITS: DIGIT_SHARE, "": SIGN_SHARE}
+        belief = [share[k] / kinds.count(k) for k in kinds]
+        held = [counts.get((name, x), 0) + BELIEF * b / sum(belief) for x, b in zip(alphabet, belief)]
+        out[name] = [math.log(sum(held) / (len(alphabet) * h)) for h in held]
+    return out
+
+
+def power_of(run: Column, weights: dict[str, list[float]]) -> Column:
+    """Whole part of the logarithm of a run's likelihood ratio, MOST_POWER at most."""
+    table = _choice(run["enc"], [(name, F.array(*map(F.lit, w))) for name, w in weights.items()])
+    alphabet = _choice(run["enc"], [(name, F.lit(a)) for name, _, a in ENCODINGS])
+    total = _sum(F.transform(F.filter(F.split(run["body"], ""), lambda x: x != ""), lambda x: F.element_at(table, F.instr(alphabet, x))))
+    return F.floor(F.least(F.lit(float(MOST_POWER)), F.greatest(F.lit(-1.0), total))).cast("int")
+
+
+def thresholds(runs: DataFrame, weights: dict[str, list[float]], fdr: float = FDR) -> dict[str, int]:
+    """For each stratum the least power that is reported. What reaches the driver is a
+    number of runs for each stratum and power: at most 62 strata an encoding."""
+    passed = F.when(F.col("p") >= ALPHA, power_of(F.struct("enc", "body"), weights)).otherwise(-1)
+    counts = runs.groupBy("cls", passed.alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for cls in {r.cls for r in counts}:
+        mine = sorted(((r.power, r.n) for r in counts if r.cls == cls), reverse=True)
+        total, so_far = sum(n for _, n in mine), 0
+        for power, n in mine:  # all runs of one power stand or fall together
+            so_far += n
+            if power >= 0 and power >= math.log(total / (fdr * so_far)):
+                out[cls] = power
+    return out
 
 
 def find_secrets(docs: DataFrame, text_column: str = "text", carry: list[Column] | None = None, fdr: float = FDR) -> DataFrame:
-    """``carry`` columns, text, and ``spans``: array of (start, kind, end), kinds
-    assign, access, hex and random, by start, then kind in this order.
+    """``carry`` columns and ``spans``: array of (start, kind_no, end), kinds assign,
+    access, hex and random, by start, then kind in this order.
 
     Base spans of different kinds may overlap; random ones touch no other. Null and
-    empty texts have no spans; rows are independent but for the class counts, to
-    which repeated rows add nothing; an empty table gives an empty result.
+    empty texts have no spans; very long texts are scanned whole. Rows are independent but
+    for the frequencies and strata of runs, to which repeated rows add nothing. Only the
+    text and ``carry`` are read, so other columns may have any name; an empty table gives
+    an empty result.
     """
     found = scanned(docs, text_column, carry or [F.col("doc_id")])
-    classes = accepted_classes(found, fdr)
-    known = "array(" + ", ".join(map(_quote, classes)) + ")" if classes else "cast(array() as array<string>)"
-    random = f"filter(tested, t -> t.p >= {ALPHA} and array_contains({known}, t.cls))"
-    parts = [f"transform({kind}, x -> named_struct('start', x.s, 'kind_no', {i}, 'end', x.e))" for i, (kind, _, _) in enumerate(BASE)]
-    parts.append(f"transform({random}, x -> named_struct('start', x.s, 'kind_no', {len(BASE)}, 'end', x.e))")
-    return found.withColumn("spans", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop("tested", *[k for k, _, _ in BASE])
+    runs = materialize(found.select(F.explode("tested").alias("t")).select("t.*").groupBy("h").agg(*[F.first(c).alias(c) for c in ("enc", "cls", "body", "p")]))
+    weights = symbol_weights(runs)
+    least = thresholds(runs, weights, fdr)
+    reported = lambda t: (t["p"] >= ALPHA) & (power_of(t, weights) >= F.coalesce(_choice(t["cls"], [(c, F.lit(n)) for c, n in sorted(least.items())]), F.lit(MOST_POWER + 1)))
+    random = F.filter("tested", reported) if least else F.slice("tested", 1, 0)
+    span = lambda no: lambda x: F.struct(x["s"].alias("start"), F.lit(no).alias("kind_no"), x["e"].alias("end"))
+    parts = [F.transform(kind, span(i)) for i, (kind, _, _) in enumerate(BASE)] + [F.transform(random, span(len(BASE)))]
+    return found.select("carry.*", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 _NAMES = "array('assign', 'access', 'hex', 'random')"
@@ -179,16 +259,16 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]", f
     """``docs`` with each span replaced by ``mark``; overlapping spans are one. Rows
     without a span are unchanged (a null text stays null). All columns are kept."""
     names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_column}`").alias("_text"))
-    found = find_secrets(boxed, "_text", [F.col("_row")], fdr)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").alias("text"))
+    found = find_secrets(boxed, "text", [F.col("row"), F.col("text")], fdr)
     # pieces of text between spans, in order: a span that begins before the last end only extends it
     step = (
         "aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), "
         "(acc, x) -> named_struct('at', greatest(acc.at, x.end), 'out', if(x.start < acc.at, acc.out, concat(acc.out, array(substr(text, acc.at + 1, x.start - acc.at), " + _quote(mark) + ")))), "
         "acc -> concat(array_join(acc.out, ''), substr(text, acc.at + 1)))"
     )
-    cleaned = F.when(F.size("spans") > 0, F.expr(step)).otherwise(F.col("_row").getField(text_column))
-    return found.withColumn("_clean", cleaned).select(*[F.col("_clean").alias(c) if c == text_column else F.col("_row").getField(c).alias(c) for c in names])
+    cleaned = F.when(F.size("spans") > 0, F.expr(step)).otherwise(F.col("text"))
+    return found.select(*[cleaned.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in names])
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Cases that the operators once left out."""
 
+import math
+import re
+
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from otelframe.llm import lines, passages, secrets
 from otelframe.sources import otlp
@@ -90,3 +94,39 @@ def test_all_sender_keys_count(spark):
     rows = keys.selectExpr("sender_key", "'{}' as resource_attributes")
     accepted, rejected = otlp.stamp_tenants(rows, keys)
     assert (accepted.count(), rejected.count()) == (150_000, 0)
+
+
+def test_a_key_stands_out_among_identifiers(spark):
+    """Five random keys, alone or beside 20,000 identifiers of the same length."""
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    syllables = ["load", "user", "name", "from", "cache", "table", "index", "merge", "config", "parse", "stream", "node", "value", "list", "check", "update"]
+    keys = ["".join(rng.choice(alphabet, 40)) for _ in range(5)]
+    camel = lambda: "".join(w.capitalize() for w in rng.choice(syllables, 12))[:40]
+    rows = list(enumerate([*keys, *(camel() for _ in range(20_000))]))
+    find = lambda r: {x.doc_id for x in secrets.find_secrets(spark.createDataFrame(r, "doc_id long, text string")).collect() if x.spans}
+    found = find(rows)
+    assert len(found & set(range(5))) >= 4 and len(found - set(range(5))) <= 1
+    assert find(rows[:5]) >= found & set(range(5))
+
+
+def test_battery_equals_plain_statistics(spark):
+    rng = np.random.default_rng(6)
+    runs = ["".join(rng.choice(list(a), n)) for _, _, a in secrets.ENCODINGS for n in (20, 33, 80)] + ["thisIsAVeryLongIdentifierNameForTesting", "A" * 30, "ABABABABABABABABABABAB", "usr/local/lib/python/dist"]
+    df = spark.createDataFrame([(r,) for r in runs], "m string").select("m", secrets.tested(F.array(F.struct(F.lit(0).alias("s"), F.length("m").alias("e"), "m")))[0].alias("t"))
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for row in df.collect():
+        name, alphabet = next((n, a) for n, p, a in secrets.ENCODINGS if re.search(p, row.m))
+        body = row.m.upper() if name in ("hex", "letters") else row.m
+        codes = np.array([alphabet.index(x) for x in body], float)
+        n, k = len(codes), len(alphabet)
+        chi = sum((body.count(x) - n / k) ** 2 / (n / k) for x in alphabet)
+        z = [((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))]
+        high = codes * 2 >= k
+        h, runs_ = int(high.sum()), 1 + int((high[1:] != high[:-1]).sum())
+        var = 2 * h * (n - h) * (2 * h * (n - h) - n) / (n * n * (n - 1))
+        z.append(abs(runs_ - 1 - 2 * h * (n - h) / n) / math.sqrt(var) if var > 0 else 40)
+        c = codes - codes.mean()
+        z.append(abs((c[1:] * c[:-1]).sum() / (c * c).sum()) * math.sqrt(n) if (c * c).sum() > 0 else 40)
+        p = min(1, 3 * min(tail(z[0]), 2 * tail(z[1]), 2 * tail(z[2])))
+        assert row.t.enc == name and abs(row.t.p - p) < 2e-3, (row.m, row.t.p, p)

@@ -6,11 +6,12 @@ The store is three Parquet tables in the shared folder:
 
 * ``chunks``: chunk_id (BLAKE2b of the payload), data; each distinct chunk once;
 * ``recipes``: start, doc_id, n_tokens, chunk_ids, ends (of the chunks), root (Merkle root);
-* ``manifest``: one Merkle root over the recipes of each range of documents.
+* ``manifest``: one Merkle root over the recipes of each range of RANGE documents at most.
 
 The payload of a chunk is its ids as little-endian uint16 where all fit, else
 uint32, after a byte that tells the width. Reading back checks every chunk against
-its name and every recipe against its root. A document's CRC is put together from
+its name, every recipe against its root, and the roots and numbers of recipes of each
+range against the manifest, so that a recipe that was lost is an error. A document's CRC is put together from
 the CRCs of the chunks read, so that verifying moves a few bytes a chunk and no
 payload; ``restore`` returns the ids themselves.
 """
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from otelframe.llm.common import documents, map_texts, materialize, shared_dir
+from otelframe.llm.common import documents, map_texts, materialize, release, shared_dir, write_parquet
 from otelframe.llm.tokens import default_vocabulary, with_end
 
 #: Ids that the rolling hash sees, and the bounds and mean of a chunk's ids.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 512, 2048
+#: Documents whose recipes stand under one root of the manifest.
+RANGE = 10_000
 
 
 class Store(NamedTuple):
@@ -141,7 +144,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_column: st
     store = Store(f"{root}/chunks", f"{root}/recipes", f"{root}/manifest")
 
     fresh = staged.select(F.explode(F.arrays_zip("fresh", "data")).alias("x")).select(F.col("x.fresh").alias("chunk_id"), F.col("x.data").alias("data"))
-    fresh.groupBy("chunk_id").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(store.chunks)
+    write_parquet(fresh.groupBy("chunk_id").agg(F.first("data").alias("data")), store.chunks)
 
     recipes = staged.select("doc_id", "n_tokens", "root", "chunk_ids", "ends")
     ranged = materialize(recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "n_tokens", "root").withColumn("part", F.spark_partition_id()))
@@ -149,15 +152,32 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_column: st
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
     within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "root")
     counted = ranged.withColumn("inside", F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    placed = counted.join(F.broadcast(before), "part").select("part", (F.col("before") + F.col("inside")).alias("start"), "doc_id", "n_tokens", "chunk_ids", "ends", "root")
-    placed.write.option("compression", "zstd").parquet(store.recipes)
+    counted = counted.withColumn("range", ((F.row_number().over(within) - 1) / RANGE).cast("int"))
+    placed = counted.join(F.broadcast(before), "part").select("part", "range", (F.col("before") + F.col("inside")).alias("start"), "doc_id", "n_tokens", "chunk_ids", "ends", "root")
+    write_parquet(placed, store.recipes)
+    release(staged, ranged)
+    write_parquet(range_roots(spark, store), store.manifest)
+    return store
+
+
+def range_roots(spark, store: Store) -> DataFrame:
+    """part, range, documents, root: the Merkle root of the stored recipes of each range."""
 
     def roots(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("start")
-        return pd.DataFrame({"part": [key[0]], "documents": [len(part)], "root": [merkle(list(part["root"]))]})
+        return pd.DataFrame({"part": [key[0]], "range": [key[1]], "documents": [len(part)], "root": [merkle(list(part["root"]))]})
 
-    spark.read.parquet(store.recipes).select("part", "start", "root").groupBy("part").applyInPandas(roots, "part int, documents long, root binary").write.parquet(store.manifest)
-    return store
+    return spark.read.parquet(store.recipes).select("part", "range", "start", "root").groupBy("part", "range").applyInPandas(roots, "part int, range int, documents long, root binary")
+
+
+def check_manifest(spark, store: Store) -> None:
+    """An error where the stored recipes of a range differ from the manifest in number,
+    order or contents, or where either lacks a range."""
+    now = range_roots(spark, store).select("part", "range", F.col("documents").alias("n"), F.col("root").alias("r"))
+    both = spark.read.parquet(store.manifest).join(now, ["part", "range"], "full")
+    wrong = both.where(~(F.col("documents").eqNullSafe(F.col("n")) & F.col("root").eqNullSafe(F.col("r")))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"recipes of range {wrong[0].part}, {wrong[0].range} differ from the manifest")
 
 
 def checked_chunks(spark, store: Store) -> DataFrame:
@@ -178,7 +198,7 @@ def checked_chunks(spark, store: Store) -> DataFrame:
 
 def read_recipes(spark, store: Store) -> DataFrame:
     """Recipe rows, each checked against its Merkle root."""
-    table = spark.read.parquet(store.recipes).drop("part")
+    table = spark.read.parquet(store.recipes).drop("part", "range")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +211,9 @@ def read_recipes(spark, store: Store) -> DataFrame:
 
 
 def verify(spark, store: Store) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the stored files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the stored files, once
+    they agree with the manifest."""
+    check_manifest(spark, store)
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, bytes_after: pd.Series) -> pd.Series:
@@ -208,6 +230,7 @@ def verify(spark, store: Store) -> DataFrame:
 
 def restore(spark, store: Store) -> DataFrame:
     """doc_id, start, ids of each document, joined from its chunks."""
+    check_manifest(spark, store)
     entries = read_recipes(spark, store).select("doc_id", "start", F.posexplode("chunk_ids").alias("k", "chunk_id"))
     chunks = spark.read.parquet(store.chunks).select("chunk_id", "data")
     rows = entries.join(chunks, "chunk_id").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))

@@ -5,7 +5,9 @@ column of a Parquet table. ``features`` reads the stored bytes: a polyphase filt
 resamples them, overlapped frames go through a mel filterbank and a logarithm, and
 frame energy is cut into segments by two thresholds (a segment starts above the
 upper one and ends below the lower one). Frames are kept as patches of one fixed
-shape in an Arrow ``fixed_shape_tensor`` column with the time span of each patch.
+shape in an Arrow ``fixed_shape_tensor`` column with the time span of each patch: an
+Arrow stream for each recording, stored in a Parquet table, from which ``described``
+reads what it tells of them.
 """
 
 from __future__ import annotations
@@ -151,14 +153,25 @@ def store_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return materialize(map_texts(docs, [F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")], "doc_id long, n_bytes long, media binary", rows))
 
 
-def features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Of each stored recording: doc_id, n_bytes, payload and file digests, frames,
-    segment_start_ms and segment_end_ms, feature (a short text of rounded figures)
-    and tensors (an Arrow IPC stream with the fixed-shape patches and their spans).
-    Recordings without loud frames have no segments."""
+def patches(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tensors [n, PATCH, MELS] of a stored stream, with start_ms and end_ms."""
+    with pa.ipc.open_stream(stream) as reader:
+        batch = reader.read_all().combine_chunks()
+    column = batch.column("log_mel").chunk(0)
+    if column.type.shape != [PATCH, MELS]:
+        raise ValueError(f"patches of shape {column.type.shape}")
+    return column.to_numpy_ndarray(), batch.column("start_ms").to_numpy(), batch.column("end_ms").to_numpy()
+
+
+def features(media: DataFrame) -> DataFrame:
+    """Of each stored recording: doc_id, n_bytes, payload and file digests,
+    segment_start_ms and segment_end_ms, and tensors (an Arrow stream with the fixed-shape
+    patches and their spans). Recordings without loud frames have no segments; a recording
+    shorter than a frame is one frame; repeated rows and null ids are rows like any other.
+    An empty table gives an empty result."""
     ddl = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-        "frames int, segment_start_ms array<double>, segment_end_ms array<double>" + (", tensors binary" if with_tensors else "")
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+        "segment_start_ms array<double>, segment_end_ms array<double>, tensors binary"
     )
     ms = 1000 * HOP * DOWN / (RATE * UP)
 
@@ -168,27 +181,38 @@ def features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
             _, payload = from_wav(data)
             x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
             mels, energy = log_mel(resample(x))
-            found, patches = segments(energy), tensors(mels)
-            body = patches.column("log_mel").storage.values.to_numpy(zero_copy_only=False).tobytes()
-            spectrum = ",".join(f"{v:.2f}" for v in mels.mean(axis=0, dtype=np.float64))
-            out["doc_id"].append(doc)
-            out["n_bytes"].append(n)
-            out["payload_bytes"].append(len(payload))
-            out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-            out["tail_crc32"].append(zlib.crc32(payload[-16:]))
-            out["media_bytes"].append(len(data))
-            out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-            out["frames"].append(len(mels))
-            out["segment_start_ms"].append([a * ms for a, _ in found])
-            out["segment_end_ms"].append([b * ms for _, b in found])
-            out["feature"].append(f"frames={len(mels)};patches={patches.num_rows};segments={len(found)};loud={sum(b - a for a, b in found)};mel={spectrum};crc={zlib.crc32(body)}")
-            if with_tensors:
-                out["tensors"].append(ipc(patches))
+            found = segments(energy)
+            for k, v in zip(out, (
+                doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
+                [a * ms for a, _ in found], [b * ms for _, b in found], ipc(tensors(mels)),
+            )):
+                out[k].append(v)
         return out
 
     return map_texts(media, ["doc_id", "n_bytes", "media"], ddl, rows)
 
 
+def described(stored: DataFrame) -> DataFrame:
+    """``stored`` rows of ``features`` with ``feature``, a short text of what the stored
+    tensors, spans and segments hold, in place of these."""
+    ms = 1000 * HOP * DOWN / (RATE * UP)
+    columns = ["tensors", "segment_start_ms", "segment_end_ms"]
+    keep = [c for c in stored.columns if c not in columns]
+
+    def rows(batch: dict) -> dict:
+        out = []
+        for stream, starts, ends in zip(*(batch[c] for c in columns)):
+            cubes, first, last = patches(stream)
+            frames = round((last[-1] - first[0]) / ms)
+            spectrum = ",".join(f"{v:.2f}" for v in cubes.reshape(-1, MELS)[:frames].mean(axis=0, dtype=np.float64))
+            loud = round(sum(b - a for a, b in zip(starts, ends)) / ms)
+            out.append(f"frames={frames};patches={len(cubes)};segments={len(starts)};loud={loud};mel={spectrum};crc={zlib.crc32(cubes.tobytes())}")
+        return {"feature": out}
+
+    return map_texts(stored, [*keep, *columns], "feature string", rows, keep=tuple(keep))
+
+
 def op5_audio_features(spark, sf_dir: str) -> DataFrame:
-    done = features(store_media(documents(spark, sf_dir)), with_tensors=False)
+    media = store_media(documents(spark, sf_dir))
+    done = described(materialize(features(media)))
     return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

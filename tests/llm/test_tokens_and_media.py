@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from otelframe.llm import audio, bpe, packing, token_store
@@ -91,6 +92,16 @@ def test_token_store_finds_damage(spark, docs):
         token_store.verify(spark, store._replace(chunks=store.chunks + "-bad")).collect()
 
 
+def test_token_store_finds_lost_recipes(spark, docs):
+    store = token_store.write_store(docs, BYTES)
+    some = spark.read.parquet(store.recipes)
+    for n, kept in enumerate((some.where("doc_id % 3 > 0"), some.where("doc_id < 0"), some.withColumn("start", 10**6 - F.col("start")))):
+        kept.write.parquet(f"{store.recipes}-{n}")
+        for read in (token_store.verify, token_store.restore):
+            with pytest.raises(ValueError, match="manifest"):
+                read(spark, store._replace(recipes=f"{store.recipes}-{n}"))
+
+
 def test_equal_passages_get_equal_chunks():
     rng = np.random.default_rng(0)
     common = rng.integers(0, 50_000, 9000)
@@ -163,17 +174,77 @@ def test_packing_edges(edge, empty, spark):
     assert len(small) == len(rows)
 
 
-def test_audio_round_trip_and_digests(docs, texts):
-    for r in audio.features(audio.store_media(docs)).limit(40).collect():
+def test_equal_rows_fall_into_all_blocks(spark):
+    rows = spark.range(8000).selectExpr("cast(null as bigint) as id", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32")
+    done = packing.pack(rows, capacity=64, block_pieces=1000).collect()
+    check = {}
+    for r in done:
+        check.setdefault(r.sequence_id, set()).add(r.offset)
+    assert len(done) == 8000 and len(check) == 125 and all(v == set(range(64)) for v in check.values())
+    assert len({s >> 32 for s in check}) >= 8
+
+
+def test_documents_and_cost_bind(spark):
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 300, 2000).tolist()
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "id long, piece int, start long, length long, ids_crc32 long")
+    for how in ({}, {"rule": "dot"}, {"scored_bins": None, "scored_fills": None}):
+        done = packing.pack(rows, max_docs=6, max_cost=150_000, block_pieces=700, **how).collect()
+        bins = {}
+        for r in done:
+            bins.setdefault(r.sequence_id, []).append(r.length)
+        assert sorted(r.length for r in done) == sorted(sizes)
+        assert all(sum(b) <= 1024 and len(b) <= 6 and sum(n * n for n in b) <= 150_000 for b in bins.values())
+        assert any(len(b) == 6 for b in bins.values()) and max(sum(n * n for n in b) for b in bins.values()) > 140_000
+        least = max(sum(sizes) / 1024, len(sizes) / 6, sum(n * n for n in sizes) / 150_000)
+        assert len(bins) <= 1.2 * least + 3
+
+
+def plain_feature(payload):
+    """What is told of a recording, computed by direct sums."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = audio.phases()[:, ::-1].T.reshape(-1)
+    up = np.zeros(len(x) * audio.UP)
+    up[:: audio.UP] = x
+    y = np.convolve(up, h)[: len(up)][:: audio.DOWN]
+    n = max(1, 1 + -(-(len(y) - audio.FRAME) // audio.HOP))
+    y = np.concatenate((y, np.zeros(max(0, (n - 1) * audio.HOP + audio.FRAME - len(y)))))
+    frames = np.array([y[i * audio.HOP : i * audio.HOP + audio.FRAME] for i in range(n)]) * np.hanning(audio.FRAME)
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME), np.arange(audio.FRAME // 2 + 1)) / audio.FRAME)
+    mels = np.log(np.abs(frames @ wave) ** 2 @ audio.mel_filters().astype(float) + 1e-6)
+    energy = 10 * np.log10((frames**2).mean(axis=1) + 1e-9)
+    level, on, marks = energy - np.median(energy), False, []
+    for v in level:
+        on = v >= audio.START_DB or (on and v > audio.END_DB)
+        marks.append(on)
+    return n, mels.mean(axis=0), sum(b and not a for a, b in zip([False, *marks], marks)), sum(marks)
+
+
+def test_audio_query_equals_direct_sums(spark, texts):
+    rows = audio.op5_audio_features(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    close = 0
+    for r in rows:
         raw = texts[r.doc_id].encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         wav = audio.to_wav(payload)
         assert audio.from_wav(wav) == (8000, payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest())
+        told = dict(p.split("=") for p in r.feature.split(";"))
+        n, mels, runs, loud = plain_feature(payload)
+        assert int(told["frames"]) == n and int(told["patches"]) == -(-n // audio.PATCH)
+        assert np.allclose([float(v) for v in told["mel"].split(",")], mels, atol=0.03)
+        close += (int(told["segments"]), int(told["loud"])) == (runs, loud)
+    assert close >= 0.98 * len(rows)  # an energy on a threshold may fall to either side in single precision
+
+
+def test_stored_tensors(docs):
+    for r in audio.features(audio.store_media(docs)).limit(40).collect():
         table = pa.ipc.open_stream(r.tensors).read_all()
         assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float16(), [audio.PATCH, audio.MELS], dim_names=["frame", "mel"])
-        assert table.num_rows == -(-r.frames // audio.PATCH) and table["end_ms"][-1].as_py() > table["start_ms"][-1].as_py()
+        cubes, first, last = audio.patches(r.tensors)
+        assert cubes.shape == (table.num_rows, audio.PATCH, audio.MELS) and (last > first).all() and (first[1:] == last[:-1]).all()
 
 
 def test_resampling_is_the_direct_filter():
@@ -194,8 +265,8 @@ def test_a_tone_lands_in_its_band_and_segments_follow_energy():
 
 
 def test_audio_edges(edge, empty):
-    rows = audio.features(audio.store_media(edge), with_tensors=False).collect()
+    rows = audio.described(audio.features(audio.store_media(edge))).collect()
     assert len(rows) == edge.count() and min(r.payload_bytes for r in rows) == 192
     same = {(r.n_bytes, r.payload_sha256): r.feature for r in rows}
     assert all(same[r.n_bytes, r.payload_sha256] == r.feature for r in rows)
-    assert audio.features(audio.store_media(empty)).count() == 0
+    assert audio.described(audio.features(audio.store_media(empty))).count() == 0

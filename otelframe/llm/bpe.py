@@ -25,6 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from otelframe.llm.common import documents, map_texts
 from otelframe.llm.tokens import byte_symbols, default_vocabulary
@@ -131,12 +132,16 @@ class BacktrackingEncoder:
 class WordEncoder:
     """Whole texts of a lower-casing word BPE: NFC, white space to spaces, lower
     case, words by pattern, each word by the backtracking encoder. Special tokens
-    in a text are split off first, as the library does."""
+    in a text are split off first, as the library does. Text with code points that
+    Python's Unicode tables lack is normalised and parted by the library's own steps, as
+    its tables are newer; its words are encoded like all others."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.encoder = BacktrackingEncoder(path)
+        self.library = Tokenizer.from_file(path)
+        self.byte = {ord(c): b for c, b in byte_symbols().items()}
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
@@ -153,9 +158,9 @@ class WordEncoder:
         self.old: dict[str, tuple] = {}
         self.words: dict[str, list[int]] = {}
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, words: Iterable[str]) -> list[int]:
         out: list[int] = []
-        for w in self.word.findall(chunk):
+        for w in words:
             ids = self.words.get(w)
             if ids is None:
                 e = self.encoder
@@ -167,12 +172,20 @@ class WordEncoder:
             out += ids
         return out
 
+    @staticmethod
+    def _written(ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), "".join([f" {i}" for i in ids]), np.array(ids, "<u4").tobytes()
+
+    def _unknown(self, part: str) -> tuple[int, str, bytes]:
+        """Of a part with code points that the tables here lack."""
+        parted = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+        return self._written(self._ids(bytes(map(self.byte.__getitem__, map(ord, w))).decode() for w, _ in parted))
+
     def _piece(self, chunk: str) -> tuple[int, str, bytes]:
         """Number of ids, the ids in decimal, the ids as uint16 or wider bytes."""
         found = self.young.get(chunk) or self.old.get(chunk)
         if found is None:
-            ids = self._ids(chunk)
-            found = len(ids), "".join([f" {i}" for i in ids]), np.array(ids, "<u4").tobytes()
+            found = self._written(self._ids(self.word.findall(chunk)))
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:
@@ -187,6 +200,9 @@ class WordEncoder:
                 out.append((1, f" {i}", np.array([i], "<u4").tobytes()))
                 continue
             if not part.isascii():
+                if any(unicodedata.category(c) == "Cn" for c in set(part)):
+                    out.append(self._unknown(part))
+                    continue
                 part = unicodedata.normalize("NFC", part)
             low = part.lower() if "Σ" not in part else "".join([c.lower() for c in part])  # no word-final form
             for chunk in low.replace("\n", " ").split(" "):

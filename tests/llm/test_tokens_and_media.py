@@ -45,6 +45,32 @@ def test_byte_bpe_equals_the_library(texts, library):
         assert encoder(BYTES)(text).tolist() == library[1].encode(text, add_special_tokens=False).ids
 
 
+def odd_texts():
+    """Strings over all planes, unassigned code points and combining marks included."""
+    rng = np.random.default_rng(9)
+    pools = [(0x20, 0x3000), (0x300, 0x370), (0x900, 0xE00), (0x1AB0, 0x1B00), (0x10000, 0x20000), (0, 0x110000)]
+    for k in range(1200):
+        codes = rng.integers(*pools[k % len(pools)], int(rng.integers(1, 40)))
+        yield "".join(chr(c) for c in codes.tolist() if not 0xD800 <= c < 0xE000)
+
+
+def test_odd_texts_equal_the_library(library):
+    words, ids = bpe.word_encoder(WORDS), encoder(BYTES)
+    for text in odd_texts():
+        assert words.encode(text)[0].tolist() == library[0].encode(text, add_special_tokens=False).ids
+        assert ids(text).tolist() == library[1].encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_query_equals_the_library(spark, texts, library):
+    rows = bpe.op2_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library[0].encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library[0].decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def test_encode_decode_rows(edge, empty, texts, docs):
     rows = bpe.encode_decode(docs, WORDS, with_ids=True).collect()
     assert len(rows) == len(texts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from otelframe.llm import audio, bpe, exact_dedup, jaccard, language, lines, packing, passages, secrets, token_store
 
 
@@ -19,7 +18,6 @@ def queries() -> dict:
         "op8_line_dedup_short": lines.op8_line_dedup_short,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
-        "pipeline": corpus_pipeline.run,
     }
 
 

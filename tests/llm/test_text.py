@@ -125,6 +125,55 @@ def test_pipeline_stages_on_edges(spark, edge, empty):
         assert (1 in ids) == (source is edge) and 3 not in ids
 
 
+def test_pipeline_columns_may_have_any_name(spark):
+    """Helper names of the operators as columns, ids that repeat with other texts."""
+    words = lambda k, n=40: " ".join(f"word{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    names = ["_row", "_text", "_dedup", "_before", "row", "text2", "copy", "kept", "id", "size", "l_id", "spans", "carry", "key"]
+    rows = [(1, words(0)), (2, words(0)), (2, words(1)), (3, "secret = 0123456789abcdef0123 " + words(2)), (None, words(3)), (None, words(3) + " x"), (4, words(4, 600_000)), (5, None), (6, words(5)), (6, words(5) + " y"), (7, words(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+        kept = kept.cache()
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) and r.n_chars == len(r.text or "") for r in kept.collect())
+    left = sorted(((r.doc_id is None, r.doc_id or 0, r.text[:6]) for r in kept.collect()))
+    assert [x[:2] for x in left] == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (True, 0)]
+    assert sum(r.length for r in corpus_pipeline.best_fit_packing(spark, kept, SF).where("doc_id = 4").collect()) > 600_000
+
+
+def plain_decision(profiles, text):
+    """Language by out-of-place distance, from profiles as {lang: {gram: place}}."""
+    n = plain_grams(text)
+    numbers = {}
+    for g in n:
+        codes = [1 if c == "_" else ord(c) for c in g]
+        value = codes[0]
+        for k, c in enumerate(codes[1:], 2):
+            value = value << 21 | c if k <= 3 else ((value * 0x9E3779B97F4A7C15 ^ c * 0xC2B2AE3D27D4EB4F) % (1 << 64)) | 1 << 63
+        numbers[g] = value - (1 << 64) if value >> 63 else value
+    own = sorted(n, key=lambda g: (-n[g], numbers[g]))[: language.PROFILE]
+    far = {lang: sum(min(abs(places.get(numbers[g], 10**9) - i), language.PROFILE) for i, g in enumerate(own)) for lang, places in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (language.PROFILE * len(own))
+
+
+def test_language_equals_plain_distances(spark, texts):
+    learnt = language.learn(documents(spark, SF).where(~language.held_out()))
+    profiles = {}
+    for r in learnt.collect():
+        profiles.setdefault(r.lang, {})[r.gram] = r.place
+    assert all(sorted(p.values()) == list(range(len(p))) and len(p) <= language.PROFILE for p in profiles.values())
+    assert "WindowGroupLimit" in learnt._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r for r in language.op1_language_id(spark, SF).collect()}
+    for doc, text in texts.items():
+        if not plain_grams(text):
+            assert (rows[doc].lang_pred, rows[doc].score) == ("und", 0)
+            continue
+        lang, score = plain_decision(profiles, text)
+        assert rows[doc].lang_pred == lang and abs(rows[doc].score - score) < 1e-9
+
+
 def test_pipeline_equals_brute_force(spark, texts):
     """Each stage's decision, made again by plain Python, gives the same pieces."""
     sys.path.insert(0, __file__.rsplit("/", 1)[0])

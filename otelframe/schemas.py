@@ -3,6 +3,8 @@ microseconds, nested values are JSON text."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -33,10 +35,10 @@ TIME_COLUMN = {"traces": "start_time", "logs": "timestamp", "metrics": "timestam
 SORT_KEYS = {"traces": ["trace_id", "start_time"], "logs": ["service_name", "timestamp"], "metrics": ["metric_name", "timestamp"]}
 
 
-def conform(df: DataFrame, signal: str) -> DataFrame:
-    """``df`` with exactly the signal's columns; missing ones and nulls become the
-    absent value of their type."""
-    out = []
+def conform(df: DataFrame, signal: str, also: Sequence[str] = ()) -> DataFrame:
+    """``df`` with exactly the signal's columns, and those in ``also`` as they are; missing
+    ones and nulls become the absent value of their type."""
+    out = [F.col(c) for c in also]
     for f in SCHEMAS[signal].fields:
         kind = f.dataType.simpleString()
         absent = F.lit("" if kind == "string" else False if kind == "boolean" else 0).cast(f.dataType)

@@ -14,7 +14,9 @@ from otelframe.functions.attrs import TENANT_KEY, stored
 from otelframe.schemas import conform
 
 _ANY = "stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string"
-#: Values nest three levels deep by type; anything deeper stays text.
+#: Levels of arrays and key-value lists that are read inside a value.
+DEPTH = 6
+# arrays and lists are text at first, and parsed level by level
 _VALUE = f"struct<{_ANY}, arrayValue: string, kvlistValue: string>"
 _KV = f"array<struct<key: string, value: {_VALUE}>>"
 _RESOURCE = f"resource: struct<attributes: {_KV}>"
@@ -89,23 +91,37 @@ def _plain(v: Column) -> Column:
     )
 
 
-def value_json(v: Column, depth: int = 2) -> Column:
-    """JSON of a typed value, arrays and key-value lists included (``depth`` levels)."""
-    scalar = F.coalesce(_plain(v), F.lit("null"))
+def _entries(pairs: Column) -> Column:
+    """Attributes by key, the last of equal keys only."""
+    pairs = F.coalesce(pairs, F.expr(f"cast(array() as {_KV})"))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    return F.array_sort(last)
+
+
+def value_json(v: Column, depth: int = DEPTH) -> Column:
+    """JSON of a typed value, arrays and key-value lists included. An array is read like a
+    list of pairs without keys, so that the expression grows with ``depth`` and not with
+    its power; what nests deeper keeps the text in which it was sent."""
     if not depth:
-        return F.when(v["arrayValue"].isNotNull(), F.get_json_object(v["arrayValue"], "$.values")).otherwise(scalar)
+        return F.coalesce(_plain(v), v["arrayValue"], v["kvlistValue"], F.lit("null"))
     items = F.from_json(v["arrayValue"], f"struct<values: array<{_VALUE}>>")["values"]
     pairs = F.from_json(v["kvlistValue"], f"struct<values: {_KV}>")["values"]
-    array = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(items, F.expr(f"cast(array() as array<{_VALUE}>)")), lambda x: value_json(x, depth - 1)), ","), F.lit("]"))
-    return F.when(v["arrayValue"].isNotNull(), array).when(v["kvlistValue"].isNotNull(), attributes_json(pairs, depth - 1)).otherwise(scalar)
+    unnamed = F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    inner = _joined(F.when(v["kvlistValue"].isNotNull(), _entries(pairs)).otherwise(unnamed), depth - 1)
+    # once in the expression, between the brackets of either kind
+    bracket = lambda a, b: F.when(v["arrayValue"].isNotNull(), a).when(v["kvlistValue"].isNotNull(), b)
+    nested = F.concat(bracket("[", "{"), inner, bracket("]", "}"))
+    return F.coalesce(_plain(v), nested, F.lit("null"))
 
 
-def attributes_json(pairs: Column, depth: int = 2) -> Column:
+def _joined(entries: Column, depth: int) -> Column:
+    name = lambda e: F.when(e["key"].isNull(), "").otherwise(F.concat(_quoted(e["key"]), F.lit(":")))
+    return F.coalesce(F.array_join(F.transform(entries, lambda e: F.concat(name(e), value_json(e["value"], depth))), ","), F.lit(""))
+
+
+def attributes_json(pairs: Column, depth: int = DEPTH) -> Column:
     """JSON object of a typed attribute list, keys sorted, the last of equal keys wins."""
-    pairs = F.coalesce(pairs, F.expr(f"cast(array() as {_KV})"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    entries = F.array_sort(F.transform(last, lambda x: F.struct(x["key"].alias("k"), value_json(x["value"], depth).alias("v"))))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    return F.concat(F.lit("{"), _joined(_entries(pairs), depth), F.lit("}"))
 
 
 def text_of(pairs: Column, key: str) -> Column:
@@ -125,7 +141,7 @@ def _objects(array: Column, fields) -> Column:
 
 
 def _some(pairs: Column) -> Column:
-    return F.when(F.size(pairs) > 0, attributes_json(pairs, 1))
+    return F.when(F.size(pairs) > 0, attributes_json(pairs))
 
 
 def _zero(column: Column) -> Column:

@@ -1,7 +1,12 @@
 """Signal tables as date-partitioned Parquet: append, scan, compact, retain.
 
 Partitions are event dates (UTC), so a time-bounded scan prunes exactly; rows of any
-age may be appended. Maintenance rewrites or drops whole partitions.
+age may be appended, by batches and streams alike. A table is a set of plain files, so
+appends, micro-batches and maintenance can be mixed, and compaction replaces only the
+files that it has read.
+
+The tenant is a column of the stored rows (``TENANT``), so that a reader's tenant filter
+reaches the scan.
 """
 
 from __future__ import annotations
@@ -11,15 +16,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from otelframe.functions.window import MINUTE, duration
+from otelframe.functions.attrs import TENANT_KEY, attr
+from otelframe.functions.window import MINUTE, TimeWindow, duration
 from otelframe.schemas import SCHEMAS, SORT_KEYS, TIME_COLUMN, conform
 
 SLACK = 60 * MINUTE
 #: A partition with fewer rows a file than this is fragmented.
 LEAST_FILE_ROWS = 1000
 DAY = 24 * 60 * MINUTE
+#: Stored next to a signal's columns: its tenant, for push-down.
+TENANT = "tenant"
 
 
 def utc(spark: SparkSession) -> None:
@@ -32,36 +40,110 @@ def date_of(column: str):
     return F.to_date(F.timestamp_micros(F.col(column)))
 
 
+def stored(df: DataFrame, signal: str) -> DataFrame:
+    """Rows as they are written: the signal's columns, its tenant and its date."""
+    rows = conform(df, signal)
+    rows = rows.withColumns({TENANT: attr("resource_attributes", TENANT_KEY), "date": date_of(TIME_COLUMN[signal])})
+    return rows.hint("rebalance", "date")  # few files a day; a large day is split
+
+
 def append(df: DataFrame, root: str, signal: str) -> None:
     """Append rows to a signal's table; Spark's committer makes them visible at once."""
     utc(df.sparkSession)
-    rows = conform(df, signal).withColumn("date", date_of(TIME_COLUMN[signal]))
-    rows.write.mode("append").partitionBy("date").option("compression", "zstd").parquet(f"{root}/{signal}")
+    stored(df, signal).write.mode("append").partitionBy("date").option("compression", "zstd").parquet(f"{root}/{signal}")
+
+
+def append_batch(df: DataFrame, root: str, signal: str, batch: str) -> None:
+    """Append a micro-batch once. It is staged first, then its files are moved into the
+    table under the batch's name; a batch that is written again replaces what an earlier
+    try of it has left in its date folders."""
+    spark = df.sparkSession
+    utc(spark)
+    name = re.sub(r"[^A-Za-z0-9-]", "-", batch)
+    staged = f"{root}/.batch-{signal}-{name}"
+    stored(df, signal).write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(staged)
+    fs = _fs(spark, root)
+    days = {f.rsplit("/", 2)[1] for f in _files(spark, staged)}
+    for found in _files(spark, f"{root}/{signal}", days):
+        if f"/batch-{name}-" in found:  # of a try that broke off
+            fs.delete(_path(spark, found), False)
+    _move(spark, staged, f"{root}/{signal}", f"batch-{name}")
+    _delete(spark, staged)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return _fs(spark, path).exists(_path(spark, path))
 
 
-def scan(spark: SparkSession, root: str, signal: str, since: int | None = None) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).delete(_path(spark, path), True)
+
+
+def _files(spark: SparkSession, path: str, days: set[str] | None = None) -> list[str]:
+    """Data files of the date folders of a table, or of those in ``days``."""
+    fs = _fs(spark, path)
+    if not fs.exists(_path(spark, path)):
+        return []
+    folders = [s.getPath() for s in fs.listStatus(_path(spark, path)) if s.getPath().getName().startswith("date=")]
+    folders = [d for d in folders if days is None or d.getName() in days]
+    return [f.getPath().toString() for d in folders for f in fs.listStatus(d) if f.getPath().getName().endswith(".parquet")]
+
+
+def _move(spark: SparkSession, staged: str, table: str, name: str) -> None:
+    """Move staged files into the table's date folders under names of their own."""
+    fs = _fs(spark, table)
+    for n, source in enumerate(sorted(_files(spark, staged))):
+        folder = f"{table}/{source.rsplit('/', 2)[1]}"
+        fs.mkdirs(_path(spark, folder))
+        if not fs.rename(_path(spark, source), _path(spark, f"{folder}/{name}-{n:05d}.zstd.parquet")):
+            raise OSError(f"cannot move {source} into {folder}")
+
+
+def _table(spark: SparkSession, root: str, signal: str) -> DataFrame:
+    fields = [*SCHEMAS[signal].fields, StructField(TENANT, StringType()), StructField("date", DateType())]
+    return spark.read.schema(StructType(fields)).parquet(f"{root}/{signal}")
+
+
+def scan(spark: SparkSession, root: str, signal: str, since: int | None = None, until: int | None = None, tenant: str | None = None, keep_date: bool = False) -> DataFrame:
     """All rows of a signal under its full schema (missing columns are absent values), an
-    empty table where there is none. ``since`` (micros) prunes dates, with an hour of
-    slack; it is no row filter."""
+    empty table where there is none.
+
+    ``since`` and ``until`` (micros) prune dates, with an hour of slack; they are no row
+    filters. ``tenant`` keeps one tenant's rows by the stored column, which reaches the
+    files. ``keep_date`` leaves the partition column in the result.
+    """
     schema = SCHEMAS[signal]
     if not _exists(spark, f"{root}/{signal}"):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField("date", DateType())])).parquet(f"{root}/{signal}")
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("date", DateType())]) if keep_date else schema)
+    rows = _table(spark, root, signal)
     if since is not None:
         rows = rows.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(since - SLACK))))
-    return conform(rows, signal)
+    if until is not None:
+        rows = rows.where(F.col("date") <= F.to_date(F.timestamp_micros(F.lit(until + SLACK))))
+    if tenant is not None:
+        rows = rows.where(F.col(TENANT) == tenant)
+    return conform(rows, signal, ["date"] if keep_date else [])
+
+
+def windowed(spark: SparkSession, root: str, signal: str, window: TimeWindow, tenant: str | None = None) -> DataFrame:
+    """The rows that a search or metric query over ``window`` can need: only the days of
+    the window are listed and read."""
+    return scan(spark, root, signal, window.start, window.end if window.until else None, tenant)
 
 
 def partitions(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """date, files, rows of each partition."""
     if not _exists(spark, f"{root}/{signal}"):
         return spark.createDataFrame([], "date date, files long, rows long")
-    rows = spark.read.parquet(f"{root}/{signal}").select("date", F.col("_metadata.file_path").alias("file"))
+    rows = _table(spark, root, signal).select("date", F.col("_metadata.file_path").alias("file"))
     by_file = rows.groupBy("date", "file").agg(F.count(F.lit(1)).alias("n"))
     return by_file.groupBy("date").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
 
@@ -72,18 +154,31 @@ def fragmented(spark: SparkSession, root: str, signal: str, least: int = LEAST_F
 
 
 def compact(spark: SparkSession, root: str, signal: str, dates: DataFrame, rows_per_file: int = 5_000_000) -> None:
-    """Rewrite the partitions in ``dates`` (date) as few files, sorted by the signal's
-    keys. New files are staged next to the table and then replace the partitions."""
+    """Rewrite the partitions in ``dates`` (date) as few files, sorted by the signal's keys.
+
+    The files of these partitions are listed first, and only they are read; their rows are
+    staged, moved into the table under new names, and then the files read are deleted. What
+    is appended in the meantime is another file and stays. A reader that lists between the
+    move and the deletion sees rows twice; maintenance of one table runs once at a time.
+    """
     path = f"{root}/{signal}"
-    if dates.isEmpty():
+    wanted = {f"date={r.date}" for r in dates.select("date").distinct().collect()}  # calendar days
+    files = _files(spark, path, wanted)
+    if not files:
         return
-    read = spark.read.parquet(path).join(F.broadcast(dates.select("date").distinct()), "date", "left_semi")  # calendar days
-    sizes = partitions(spark, root, signal).select("date", F.ceil(F.col("rows") / rows_per_file).alias("pieces"))
-    dealt = read.join(F.broadcast(sizes), "date").withColumn("_piece", F.pmod(F.xxhash64(*SORT_KEYS[signal]), F.col("pieces")))
-    staged = f"{root}/.staged-{uuid.uuid4().hex}"
+    read = _table(spark, root, signal).schema
+    rows = spark.read.schema(read).option("basePath", path).parquet(*files)
+    counted = rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("pieces"))
+    dealt = rows.join(F.broadcast(counted), "date").withColumn("_piece", F.pmod(F.xxhash64(*SORT_KEYS[signal]), F.col("pieces")))
+    name = f"compact-{uuid.uuid4().hex}"
+    staged = f"{root}/.{name}"
     dealt.repartition("date", "_piece").drop("_piece", "pieces").sortWithinPartitions("date", *SORT_KEYS[signal]).write.partitionBy("date").option("compression", "zstd").parquet(staged)
-    spark.read.parquet(staged).sortWithinPartitions("date", *SORT_KEYS[signal]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").option("compression", "zstd").parquet(path)
+    _move(spark, staged, path, name)
+    fs = _fs(spark, path)
+    for f in files:
+        fs.delete(_path(spark, f), False)
     _delete(spark, staged)
+    spark.catalog.refreshByPath(path)
 
 
 def compact_closed(spark: SparkSession, root: str, signal: str, as_of: int) -> None:
@@ -98,18 +193,12 @@ def compact_recent(spark: SparkSession, root: str, signal: str, as_of: int) -> N
     compact(spark, root, signal, fragmented(spark, root, signal).where(F.col("date") >= first))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def expired(spark: SparkSession, root: str, signal: str, keep: str, as_of: int) -> list[str]:
     """Names of date folders that end before ``as_of - keep``; others are no dates."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{signal}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    path = f"{root}/{signal}"
+    if not _exists(spark, path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    names = [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
     dates = [(n,) for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n)]
     if not dates:
         return []
@@ -125,4 +214,6 @@ def retain(spark: SparkSession, root: str, keep: str, as_of: int) -> dict[str, l
     for signal, names in gone.items():
         for name in names:
             _delete(spark, f"{root}/{signal}/{name}")
+        if names:
+            spark.catalog.refreshByPath(f"{root}/{signal}")
     return gone

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from otelframe.functions.attrs import group_key
-from otelframe.schemas import TIME_COLUMN
 from otelframe.sources.otlp import FLATTEN
-from otelframe.sources.store import date_of, utc
+from otelframe.sources.store import append_batch, utc
 
 
 def requests(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -19,11 +20,17 @@ def requests(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame
 
 def ingest(spark: SparkSession, source: str, root: str, signal: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
     """Append a signal's rows to its table. Late rows are always taken (no watermark);
-    the checkpoint replays a failed batch, so that each row is written once. With
-    ``every`` None all that is there is taken at once and the query ends."""
+    the checkpoint replays a failed batch, and a replayed batch replaces what it has left
+    in the table, so that each row is written once. Files are plain ones: batch appends,
+    compaction and retention work on the same table. With ``every`` None all that is
+    there is taken at once and the query ends."""
     utc(spark)
-    rows = FLATTEN[signal](requests(spark, source)).withColumn("date", date_of(TIME_COLUMN[signal]))
-    writer = rows.writeStream.format("parquet").option("path", f"{root}/{signal}").option("checkpointLocation", f"{checkpoint}/{signal}").partitionBy("date").outputMode("append")
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, f"{checkpoint}/{signal}").hex
+
+    def take(rows: DataFrame, batch: int) -> None:
+        append_batch(rows, root, signal, f"{stream}-{batch}")
+
+    writer = FLATTEN[signal](requests(spark, source)).writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{signal}").outputMode("append")
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 

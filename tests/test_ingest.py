@@ -117,6 +117,80 @@ def test_streaming_ingest_takes_each_line_once(spark, tmp_path):
     assert store.scan(spark, str(tmp_path / "out"), "traces").count() == 4
 
 
+def test_streams_batches_and_maintenance_share_a_table(spark, tmp_path):
+    root, source = str(tmp_path / "out"), tmp_path / "in"
+    source.mkdir()
+    count = lambda: store.scan(spark, root, "traces").count()
+    rows = otlp.flatten_traces(requests(spark, TRACES)).where("start_time > 100000").cache()
+    take = lambda: ingest(spark, str(source), root, "traces", str(tmp_path / "cp"), every=None).awaitTermination()
+    (source / "a.json").write_text(json.dumps(TRACES) + "\n")
+    take()
+    assert count() == 2
+    store.append(rows.unionAll(rows), root, "traces")
+    store.append(rows.withColumn("start_time", F.col("start_time") - 9 * store.DAY), root, "traces")
+    assert count() == 5
+    store.compact(spark, root, "traces", store.partitions(spark, root, "traces"))
+    assert count() == 5 and store.partitions(spark, root, "traces").where("files > 1").count() == 0
+    (source / "b.json").write_text(json.dumps(TRACES) + "\n")
+    take()
+    store.append(rows, root, "traces")
+    assert count() == 8
+    assert store.retain(spark, root, "5d", T0 + store.DAY)["traces"] == ["date=1970-01-01", "date=2023-11-05"]
+    assert count() == 5
+    store.compact_recent(spark, root, "traces", T0 + store.DAY)
+    assert count() == 5 and store.scan(spark, root, "traces", tenant="acme").count() == 5 and store.scan(spark, root, "traces", tenant="x").count() == 0
+
+
+def test_a_batch_that_comes_again_replaces_itself(spark, tmp_path):
+    rows = otlp.flatten_traces(requests(spark, TRACES)).cache()
+    for batch in ("s-1", "s-12", "s-1"):
+        store.append_batch(rows, str(tmp_path), "traces", batch)
+    assert store.scan(spark, str(tmp_path), "traces").count() == 4
+
+
+def test_compaction_leaves_what_came_meanwhile(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = otlp.flatten_traces(requests(spark, TRACES)).where("start_time > 100000").cache()
+    for _ in range(2):
+        store.append(rows, root, "traces")
+    move = store._move
+
+    def late(*args):
+        store.append(rows, root, "traces")  # after the files were listed and read
+        move(*args)
+
+    monkeypatch.setattr(store, "_move", late)
+    store.compact(spark, root, "traces", store.partitions(spark, root, "traces"))
+    assert store.scan(spark, root, "traces").count() == 3
+
+
+def test_windows_prune_days(spark, tmp_path):
+    from otelframe.functions.window import TimeWindow
+
+    rows = otlp.flatten_traces(requests(spark, TRACES)).where("start_time > 100000").cache()
+    for days in range(6):
+        store.append(rows.withColumn("start_time", F.col("start_time") - days * store.DAY), str(tmp_path), "traces")
+    found = store.windowed(spark, str(tmp_path), "traces", TimeWindow(T0 + 1, 60), "acme")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and "PartitionFilters: [isnotnull(date" in plan and "EqualTo(tenant,acme)" in plan
+
+
+def test_values_of_any_depth(spark):
+    def deep(n):
+        return {"intValue": "1"} if not n else {"kvlistValue": {"values": [kv(f"k{n}", **deep(n - 1))]}} if n % 2 else {"arrayValue": {"values": [deep(n - 1), {"stringValue": 'q"'}, {"arrayValue": {}}]}}
+
+    def plain(n):
+        return 1 if not n else {f"k{n}": plain(n - 1)} if n % 2 else [plain(n - 1), 'q"', []]
+
+    span = {**SPAN, "attributes": [kv("a", **deep(6)), kv("b", kvlistValue={"values": []})], "events": [{"name": "e", "attributes": [kv("x", **deep(6))]}]}
+    row = otlp.flatten_traces(requests(spark, {"resourceSpans": [{"resource": RESOURCE, "scopeSpans": [{"spans": [span]}]}]})).first()
+    assert json.loads(row.attributes) == {"a": plain(6), "b": {}}
+    assert json.loads(row.events)[0]["attributes"] == {"x": plain(6)}
+    beyond = {**SPAN, "attributes": [kv("a", **deep(otlp.DEPTH + 2))]}
+    text = otlp.flatten_traces(requests(spark, {"resourceSpans": [{"resource": RESOURCE, "scopeSpans": [{"spans": [beyond]}]}]})).first().attributes
+    assert json.loads(text) and "null" not in text
+
+
 def test_live_rollup(spark, tmp_path):
     rows = spark.createDataFrame([("m", T0 + i * 10_000_000, float(i), "web") for i in range(12)], "metric_name string, timestamp long, value_double double, service_name string")
     rows.write.parquet(str(tmp_path / "points"))

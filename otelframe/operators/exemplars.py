@@ -11,6 +11,7 @@ from otelframe.functions.attrs import AttrFilter, group_key, group_keys
 from otelframe.functions.window import Range, TimeWindow, limited
 from otelframe.operators.metrics import metric_scope
 from otelframe.operators.search import latest, span_scope
+from otelframe.sources.shared import written
 
 EXEMPLARS = "array<struct<time_unix_nano: bigint, trace_id: string, span_id: string, value: double>>"
 
@@ -48,8 +49,10 @@ def slow_requests_from_spans(traces: DataFrame, tenant: str, window: TimeWindow,
 
 
 def slow_requests(traces: DataFrame, logs: DataFrame, slow: DataFrame, tenant: str) -> DataFrame:
-    """Each slow request with a brief summary of its trace."""
+    """Each slow request with a brief summary of its trace. The requests, few by then, are
+    written once."""
     from otelframe.operators.traces import BRIEF, trace_summaries
 
+    slow = written(slow)
     summaries = trace_summaries(traces, logs, slow.select("trace_id").distinct().withColumn("pos", F.lit(0)), tenant, BRIEF)
     return slow.join(summaries.drop("pos"), "trace_id", "left")

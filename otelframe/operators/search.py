@@ -61,8 +61,9 @@ def search_logs(logs: DataFrame, tenant: str, window: TimeWindow, service: str =
 
 
 def browse(signal: DataFrame, time_column: str, equal: dict[str, str], limit: int | None = None) -> DataFrame:
-    """Newest rows of a signal under equalities, without a tenant. ``status`` is short
-    for a status code; metric types are taken in lower case."""
+    """Newest rows of a signal under equalities, without a tenant; rows of one time by
+    their other columns. ``status`` is short for a status code; metric types are taken in
+    lower case."""
     conditions = []
     for key, value in equal.items():
         if not value:
@@ -74,7 +75,8 @@ def browse(signal: DataFrame, time_column: str, equal: dict[str, str], limit: in
         else:
             conditions.append(F.col(key) == value)
     n = 20 if limit is None else max(0, min(limit, 10_000))
-    return signal.where(_all(conditions)).orderBy(F.desc(time_column)).limit(n)
+    ties = [c for c in ("trace_id", "span_id", "metric_name", "service_name", "body", "attributes", "resource_attributes") if c in signal.columns]
+    return signal.where(_all(conditions)).orderBy(F.desc(time_column), *ties).limit(n)
 
 
 def list_tenants(traces: DataFrame, logs: DataFrame, metrics: DataFrame) -> DataFrame:

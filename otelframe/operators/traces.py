@@ -1,18 +1,20 @@
-"""Trace summaries: one plan per facet over the capped spans of the asked traces."""
+"""Trace summaries: facets over the capped spans of the asked traces, which are written once."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from otelframe.functions.attrs import tenant_is
+from otelframe.sources.shared import written
 
 MAX_SPANS = 5000
 ERROR = "STATUS_CODE_ERROR"
 WARN_NUMBER, BODY_CHARS = 13, 300
 MAX_DEPTH = 50
+SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service_name", "span_name", "start_time", "end_time", "duration_ms", "status_code", "status_message"]
 
 
 class Limits(NamedTuple):
@@ -33,16 +35,16 @@ def trace_ids(spark, ids: list[str]) -> DataFrame:
 
 
 def capped_spans(traces: DataFrame, ids: DataFrame, tenant: str, cap: int = MAX_SPANS) -> DataFrame:
-    """The first ``cap`` spans of each asked trace by start and id."""
+    """The first ``cap`` spans of each asked trace by start and id, with the trace's true
+    size ``span_total``."""
     own = traces.where(tenant_is(tenant)).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    first = Window.partitionBy("trace_id").orderBy("start_time", "span_id")
-    return own.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= cap).drop("rn")
+    return _capped(own, cap)
 
 
-def span_counts(traces: DataFrame, ids: DataFrame, tenant: str) -> DataFrame:
-    """True sizes of the asked traces, cap or not."""
-    own = traces.where(tenant_is(tenant)).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
-    return own.groupBy("trace_id").agg(F.count(F.lit(1)).alias("span_total"))
+def _capped(own: DataFrame, cap: int) -> DataFrame:
+    trace = Window.partitionBy("trace_id")
+    numbered = own.withColumns({"rn": F.row_number().over(trace.orderBy("start_time", "span_id")), "span_total": F.count(F.lit(1)).over(trace)})
+    return numbered.where(F.col("rn") <= cap).drop("rn")
 
 
 def roots(spans: DataFrame) -> DataFrame:
@@ -64,18 +66,34 @@ def self_times(spans: DataFrame) -> DataFrame:
     return joined.withColumn("self_us", F.greatest(F.lit(0), F.col("end_time") - F.col("start_time") - F.coalesce("covered", F.lit(0)))).drop("covered")
 
 
+def timed_spans(traces: DataFrame, tenant: str, ids: DataFrame | None = None, cap: int = MAX_SPANS) -> DataFrame:
+    """Capped spans of the asked traces (all of the tenant's without ``ids``), with their
+    self times. The capped spans are written once, as three sides of joins read them."""
+    own = traces.where(tenant_is(tenant)).select(*SPAN_COLUMNS)
+    if ids is not None:
+        own = own.join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
+    return self_times(written(_capped(own, cap)))
+
+
 def span_groups(spans: DataFrame, root: DataFrame) -> DataFrame:
     """Spans by (service, name) without the root: count, total, self and longest time,
     errors, and place in the trace's order."""
     rest = spans.join(root, "trace_id").where("span_id <> root_id")
-    groups = rest.groupBy("trace_id", "service_name", "span_name").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.sum("duration_ms"), 2).alias("total_ms"), F.round(F.sum("self_us") / 1000, 2).alias("self_ms"),
-        F.round(F.max("duration_ms"), 2).alias("max_ms"), F.count_if(F.col("status_code") == ERROR).alias("errors"),
-    )
+    groups = rest.groupBy("trace_id", "service_name", "span_name").agg(*_group_stats())
     order = Window.partitionBy("trace_id").orderBy(F.desc("self_ms"), F.desc("total_ms"), F.desc("count"), "service_name", "span_name")
     return groups.withColumn("place", F.row_number().over(order))
 
 
+def _group_stats(of: Column | None = None) -> list[Column]:
+    """Figures of a group of spans, of those that ``of`` holds for."""
+    of = F.lit(True) if of is None else of
+    only = lambda c: F.when(of, F.col(c))
+    return [
+        F.count_if(of).alias("count"), F.round(F.sum(only("duration_ms")), 2).alias("total_ms"), F.round(F.sum(only("self_us")) / 1000, 2).alias("self_ms"),
+        F.round(F.max(only("duration_ms")), 2).alias("max_ms"), F.count_if(of & (F.col("status_code") == ERROR)).alias("errors"),
+    ]
+
+
 def span_services(spans: DataFrame) -> DataFrame:
     """Spans and errors by service."""
     return spans.groupBy("trace_id", "service_name").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("status_code") == ERROR).alias("errors"))
@@ -93,18 +111,27 @@ def error_spans(spans: DataFrame, n: int) -> DataFrame:
 
 def trace_times(spans: DataFrame) -> DataFrame:
     """Start, duration and errors of each trace."""
-    times = spans.groupBy("trace_id").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end"), F.count_if(F.col("status_code") == ERROR).alias("error_count"), F.count(F.lit(1)).alias("kept"))
-    return times.withColumn("duration_ms", F.round(F.greatest(F.lit(0), F.col("end") - F.col("start_time")) / 1000, 2)).drop("end")
+    return spans.groupBy("trace_id").agg(*_time_stats())
+
+
+def _time_stats() -> list[Column]:
+    return [
+        F.min("start_time").alias("start_time"), F.round(F.greatest(F.lit(0), F.max("end_time") - F.min("start_time")) / 1000, 2).alias("duration_ms"),
+        F.count_if(F.col("status_code") == ERROR).alias("error_count"), F.count(F.lit(1)).alias("kept"),
+    ]
 
 
 def trace_logs(logs: DataFrame, ids: DataFrame, tenant: str) -> DataFrame:
     return logs.where(tenant_is(tenant)).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
 
 
+def _severity() -> Column:
+    return F.when(F.col("severity_text") == "", "UNSET").otherwise(F.upper("severity_text"))
+
+
 def log_severities(logs: DataFrame) -> DataFrame:
     """Logs by upper-case severity; an empty one is UNSET."""
-    name = F.when(F.col("severity_text") == "", "UNSET").otherwise(F.upper("severity_text"))
-    return logs.groupBy("trace_id", name.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.groupBy("trace_id", _severity().alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_problems(logs: DataFrame, n: int) -> DataFrame:
@@ -115,37 +142,48 @@ def log_problems(logs: DataFrame, n: int) -> DataFrame:
     return found.select("trace_id", "place", "timestamp", "service_name", "severity_text", body.alias("body"), "span_id")
 
 
-def _listed(df: DataFrame, order: list, fields: list[str], name: str) -> DataFrame:
-    rows = df.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("v")))).alias("rows"))
-    return rows.select("trace_id", F.transform("rows", lambda x: x["v"]).alias(name))
+def _values(rows: Column, n: int | None = None) -> Column:
+    """The fields ``v`` of the first ``n`` rows in order."""
+    ordered = F.array_sort(rows)
+    return F.transform(ordered if n is None else F.slice(ordered, 1, n), lambda x: x["v"])
 
 
 def trace_summaries(traces: DataFrame, logs: DataFrame, ids: DataFrame, tenant: str, limits: Limits = FULL, cap: int = MAX_SPANS) -> DataFrame:
     """One row per asked trace (trace_id, pos), unknown ids included with span_count 0:
-    sizes, times, root, services, groups, slowest, errors, and logs of the trace."""
-    spans = self_times(capped_spans(traces, ids, tenant, cap)).withColumn("self_ms", F.round(F.col("self_us") / 1000, 2))
-    root = roots(spans)
-    brief = ["span_id", "service_name", "span_name", "start_time", "duration_ms", "self_ms", "status_code", "status_message"]
-    root_row = spans.join(root, "trace_id").where("span_id = root_id").select(
-        "trace_id", F.struct(*brief).alias("root"), "root_missing", F.when(F.col("root_missing"), F.lit(0.0)).otherwise(F.col("self_ms")).alias("untraced_ms")
+    sizes, times, root, services, groups, slowest, errors, and logs of the trace.
+
+    Capped spans with their self times are written once and read by two group-bys: one by
+    trace, one by trace, service and name, which a third sums up by trace. Lists by trace
+    hold ``cap`` spans at most.
+    """
+    asked = written(ids.select("trace_id", "pos"))
+    spans = written(timed_spans(traces, tenant, asked, cap).withColumn("self_ms", F.round(F.col("self_us") / 1000, 2)))
+    brief = F.struct("span_id", "service_name", "span_name", "start_time", "duration_ms", "self_ms", "status_code", "status_message")
+    first = F.struct((F.col("parent_span_id") != "").alias("child"), "start_time", "span_id", brief.alias("v"))
+    slow = F.struct((-F.col("duration_ms")).alias("less"), "start_time", "span_id", brief.alias("v"))
+    failed = F.when(F.col("status_code") == ERROR, F.struct("start_time", "span_id", brief.alias("v")))
+    by_trace = spans.groupBy("trace_id").agg(*_time_stats(), F.first("span_total").alias("span_total"), F.min(first).alias("r"), F.collect_list(slow).alias("slow"), F.collect_list(failed).alias("failed"))
+    by_trace = by_trace.select(
+        "trace_id", "span_total", "kept", "start_time", "duration_ms", "error_count", F.col("r.v").alias("root"), F.col("r.child").alias("root_missing"),
+        F.when(F.col("r.child"), F.lit(0.0)).otherwise(F.col("r.v.self_ms")).alias("untraced_ms"),
+        _values(F.filter("slow", lambda x: x["span_id"] != F.col("r.span_id")), limits.slowest).alias("slowest"), _values(F.col("failed"), limits.errors).alias("errors"),
     )
-    groups = span_groups(spans, root)
-    own_logs = trace_logs(logs, ids, tenant)
-    severities = log_severities(own_logs)
-    facets = [
-        span_counts(traces, ids, tenant),
-        trace_times(spans),
-        root_row,
-        _listed(span_services(spans).withColumn("less", -F.col("spans")), ["less", "service_name"], ["service_name", "spans", "errors"], "services"),
-        groups.groupBy("trace_id").agg(F.count(F.lit(1)).alias("groups_total")),
-        _listed(groups.where(F.col("place") <= limits.groups), ["place"], ["service_name", "span_name", "count", "total_ms", "self_ms", "max_ms", "errors"], "groups"),
-        _listed(slowest_spans(spans, root, limits.slowest), ["place"], brief, "slowest"),
-        _listed(error_spans(spans, limits.errors), ["place"], brief, "errors"),
-        severities.groupBy("trace_id").agg(F.sum("n").alias("log_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("by_severity")),
-        _listed(log_problems(own_logs, limits.problems), ["place"], ["timestamp", "service_name", "severity_text", "body", "span_id"], "problems"),
-    ]
-    out = ids.select("trace_id", "pos")
-    for facet in facets:
+    rooted = spans.withColumn("root_id", F.min(first).over(Window.partitionBy("trace_id"))["span_id"])
+    named = rooted.groupBy("trace_id", "service_name", "span_name").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("status_code") == ERROR).alias("all_errors"), *_group_stats(F.col("span_id") != F.col("root_id")))
+    figures = F.struct("service_name", "span_name", "count", "total_ms", "self_ms", "max_ms", "errors")
+    group = F.when(F.col("count") > 0, F.struct((-F.col("self_ms")).alias("a"), (-F.col("total_ms")).alias("b"), (-F.col("count")).alias("c"), "service_name", "span_name", figures.alias("v")))
+    services = named.groupBy("trace_id", "service_name").agg(F.sum("all").alias("spans"), F.sum("all_errors").alias("errors"), F.collect_list(group).alias("g"))
+    service = F.struct((-F.col("spans")).alias("less"), "service_name", F.struct("service_name", "spans", "errors").alias("v"))
+    by_group = services.groupBy("trace_id").agg(F.collect_list(service).alias("s"), F.flatten(F.collect_list("g")).alias("g"))
+    by_group = by_group.select("trace_id", _values(F.col("s")).alias("services"), F.size("g").cast("long").alias("groups_total"), _values(F.col("g"), limits.groups).alias("groups"))
+
+    own_logs = trace_logs(logs, asked, tenant).select("trace_id", "timestamp", "service_name", "severity_text", "severity_number", "body", "span_id")
+    counted = log_severities(own_logs).groupBy("trace_id").agg(F.sum("n").alias("log_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("by_severity"))
+    problem = F.struct("place", F.struct("timestamp", "service_name", "severity_text", "body", "span_id").alias("v"))
+    problems = log_problems(own_logs, limits.problems).groupBy("trace_id").agg(_values(F.collect_list(problem)).alias("problems"))
+
+    out = asked
+    for facet in (by_trace, by_group, counted, problems):
         out = out.join(facet, "trace_id", "left")
     zero = F.lit(0).cast("long")
     out = out.withColumns(
@@ -160,12 +198,16 @@ def trace_summaries(traces: DataFrame, logs: DataFrame, ids: DataFrame, tenant:
 
 def depths(spans: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
     """trace_id, span_id, depth: steps up the parent chain, at most ``cap``. Each round
-    doubles the steps that a span knows, so a chain takes few joins."""
-    known = spans.select("trace_id", F.col("span_id").alias("key")).distinct()
-    up = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("at")).join(known.withColumnRenamed("key", "at").withColumn("has", F.lit(True)), ["trace_id", "at"], "left")
+    doubles the steps that a span knows and is written; rounds end when every span has
+    reached its topmost one, so a chain takes few joins."""
+    known = spans.select("trace_id", F.col("span_id").alias("at")).distinct().withColumn("has", F.lit(True))
+    up = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("at")).join(known, ["trace_id", "at"], "left")
     jump = up.select("trace_id", "span_id", F.when(F.col("has"), F.col("at")).alias("at"), F.when(F.col("has"), 1).otherwise(0).alias("depth"))
     steps = 1
     while steps < cap:
+        jump = written(jump)
+        if jump.where("at is not null").isEmpty():
+            break
         above = jump.select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
         jump = jump.join(above, ["trace_id", "at"], "left").select("trace_id", "span_id", F.col("further").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         steps *= 2
@@ -174,6 +216,7 @@ def depths(spans: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
 
 def waterfall(spans: DataFrame) -> DataFrame:
     """Offset and width of each span in percent of its trace, and its depth."""
+    spans = written(spans.select("trace_id", "span_id", "parent_span_id", "span_name", "start_time", "end_time"))
     w = Window.partitionBy("trace_id")
     first, last = F.min("start_time").over(w), F.max("end_time").over(w)
     placed = spans.withColumn("_first", first).withColumn("_total", F.greatest(last - first, F.lit(1)))

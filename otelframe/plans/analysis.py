@@ -17,8 +17,9 @@ from otelframe.functions.units import from_ms, to_ms
 from otelframe.functions.window import MINUTE, Range, TimeWindow
 from otelframe.operators import compare, exemplars, metrics, search, series, traces
 from otelframe.plans.suite import register
-from otelframe.sources import store
+from otelframe.sources import otlp, store
 from otelframe.sources.fixtures import oracle, signals
+from otelframe.sources.shared import new_folder
 
 
 class Query(NamedTuple):
@@ -63,17 +64,120 @@ def _(s, spark):
     return s["traces"].where("parent_span_id <> ''").groupBy("service_name").agg(F.round(F.sum(stored(v)), 4).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("s13_scan_counts", "select 'traces' as signal, count(*) as n, count(distinct service_name) as services from traces union all select 'logs', count(*), count(distinct service_name) from logs union all select 'metrics', count(*), count(distinct service_name) from metrics")
+def _stored(s, *names: str) -> str:
+    """The signals appended to a store of their own in the shared folder."""
+    root = new_folder(s["traces"].sparkSession)
+    for name in names:
+        store.append(s[name], root, name)
+    return root
+
+
+@query("s13_scan_counts", "select 'traces' as signal, count(*) as n, count(distinct service_name) as services, cast(sum(length(attributes)) as bigint) as chars from traces union all select 'logs', count(*), count(distinct service_name), cast(sum(length(attributes)) as bigint) from logs union all select 'metrics', count(*), count(distinct service_name), cast(sum(length(attributes)) as bigint) from metrics")
 def _(s, spark):
-    parts = [df.agg(F.lit(n).alias("signal"), F.count(F.lit(1)).alias("n"), F.count_distinct("service_name").alias("services")) for n, df in s.items()]
+    root = _stored(s, *s)
+    parts = [store.scan(spark, root, n).agg(F.lit(n).alias("signal"), F.count(F.lit(1)).alias("n"), F.count_distinct("service_name").alias("services"), F.sum(F.length("attributes")).alias("chars")) for n in s]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s14_pruned_scan", f"select service_name, count(*) as n, max(timestamp) as newest from logs where timestamp >= {EVENTS.start} group by service_name")
+@query("s14_pruned_scan", f"select service_name, count(*) as n, max(timestamp) as newest from logs where {TENANT} and timestamp >= {EVENTS.start} group by service_name")
+def _(s, spark):
+    pruned = store.windowed(spark, _stored(s, "logs"), "logs", EVENTS, ACME)
+    return pruned.where(EVENTS.holds("timestamp")).groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest"))
+
+
+@query("s16_compacted_scan", "select cast(epoch_us(date_trunc('day', make_timestamp(timestamp))) as bigint) as day, count(*) as n, count(distinct body) as bodies, 1 as files from logs group by 1")
+def _(s, spark):
+    root = _stored(s, "logs")
+    store.compact(spark, root, "logs", store.partitions(spark, root, "logs"))
+    day = F.expr("(timestamp div 86400000000) * 86400000000").alias("day")
+    rows = store.scan(spark, root, "logs").groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("body").alias("bodies"))
+    files = store.partitions(spark, root, "logs").select(F.unix_micros(F.to_timestamp(F.col("date").cast("string"))).alias("day"), F.col("files").cast("int").alias("files"))
+    return rows.join(files, "day")
+
+
+@query("s19_retained_scan", "select count(*) as n, min(timestamp) as oldest from logs where timestamp >= (1704931200000000 - 5 * 86400000000)")
+def _(s, spark):
+    root = _stored(s, "logs")
+    store.retain(spark, root, "5d", EVENTS_AT)
+    return store.scan(spark, root, "logs").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"))
+
+
+# ---- export requests, made from the signals ----
+
+
+def _pairs(column: str):
+    """A JSON object of strings as a typed attribute list."""
+    entries = F.map_entries(F.from_json(column, "map<string,string>"))
+    return F.transform(entries, lambda e: F.struct(e["key"], F.struct(e["value"].alias("stringValue")).alias("value")))
+
+
+def _nanos(column: str):
+    return F.concat(F.col(column).cast("string"), F.lit("000"))
+
+
+def _requests_of(rows: DataFrame, outer: str, middle: str, inner: str, record) -> DataFrame:
+    """One export request for each row."""
+    scoped = F.array(F.struct(F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version")).alias("scope"), F.array(record).alias(inner)))
+    resource = F.struct(F.struct(_pairs("resource_attributes").alias("attributes")).alias("resource"), scoped.alias(middle))
+    return rows.select(F.to_json(F.struct(F.array(resource).alias(outer))).alias("value"))
+
+
+@query("s01_flatten_traces", f"select trace_id, span_id, parent_span_id, service_name, span_name, span_kind, start_time, end_time, round(duration_ms, 3) as duration_ms, status_code, status_message, {js('attributes', 'part')} as part, {js('attributes', 'http.route')} as route, {js('resource_attributes', 'tenant.id')} as tenant, 'lib' as scope_name from traces")
+def _(s, spark):
+    record = F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id"), F.base64(F.encode("span_id", "utf-8")).alias("spanId"), F.base64(F.encode("parent_span_id", "utf-8")).alias("parentSpanId"), F.col("span_name").alias("name"),
+        F.when(F.col("span_kind") == "SPAN_KIND_SERVER", F.lit("2")).otherwise(F.col("span_kind")).alias("kind"), _nanos("start_time").alias("startTimeUnixNano"), _nanos("end_time").alias("endTimeUnixNano"),
+        _pairs("attributes").alias("attributes"), F.struct(F.col("status_code").alias("code"), F.col("status_message").alias("message")).alias("status"),
+    )
+    rows = otlp.flatten_traces(_requests_of(s["traces"], "resourceSpans", "scopeSpans", "spans", record))
+    text = lambda c: F.decode(F.unhex(c), "utf-8").alias(c)
+    return rows.select(
+        "trace_id", text("span_id"), text("parent_span_id"), "service_name", "span_name", "span_kind", "start_time", "end_time", F.round("duration_ms", 3).alias("duration_ms"), "status_code", "status_message",
+        attr("attributes", "part").alias("part"), attr("attributes", "http.route").alias("route"), attr("resource_attributes", "tenant.id").alias("tenant"), "scope_name",
+    )
+
+
+@query("s02_flatten_logs", f"select timestamp, observed_timestamp, trace_id, severity_number, severity_text, body, service_name, {js('attributes', 'k')} as k from logs")
+def _(s, spark):
+    record = F.struct(
+        _nanos("timestamp").alias("timeUnixNano"), _nanos("observed_timestamp").alias("observedTimeUnixNano"), F.col("trace_id").alias("traceId"), F.col("severity_number").alias("severityNumber"),
+        F.col("severity_text").alias("severityText"), F.struct(F.col("body").alias("stringValue")).alias("body"), _pairs("attributes").alias("attributes"),
+    )
+    rows = otlp.flatten_logs(_requests_of(s["logs"], "resourceLogs", "scopeLogs", "logRecords", record))
+    return rows.select("timestamp", "observed_timestamp", "trace_id", "severity_number", "severity_text", "body", "service_name", attr("attributes", "k").alias("k"))
+
+
+@query("s03_flatten_metrics", f"select metric_name, metric_unit, metric_type, timestamp, start_timestamp, round(value_double, 6) as value_double, count, round(sum, 6) as sum, bucket_counts, {js('attributes', 'event_type')} as event_type, is_monotonic, aggregation_temporality, json_extract_string(nullif(exemplars, ''), '$[0].trace_id') as exemplar from metrics")
 def _(s, spark):
-    dated = s["logs"].withColumn("date", store.date_of("timestamp"))
-    pruned = dated.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(EVENTS.start - store.SLACK))))
-    return pruned.where(F.col("timestamp") >= EVENTS.start).groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest"))
+    point = [_nanos("timestamp").alias("timeUnixNano"), _nanos("start_timestamp").alias("startTimeUnixNano"), _pairs("attributes").alias("attributes")]
+    numbers = F.array(F.struct(*point, F.col("value_double").alias("asDouble")))
+    seen = F.transform(F.from_json(F.when(F.col("exemplars") == "", "[]").otherwise(F.col("exemplars")), exemplars.EXEMPLARS), lambda e: F.struct(e["time_unix_nano"].cast("string").alias("timeUnixNano"), e["trace_id"].alias("traceId"), e["value"].alias("asDouble")))
+    buckets = F.array(F.struct(
+        *point, F.col("count").cast("string").alias("count"), "sum", "min", "max", F.from_json("bucket_counts", "array<string>").alias("bucketCounts"),
+        F.from_json("explicit_bounds", "array<double>").alias("explicitBounds"), seen.alias("exemplars"),
+    ))
+    kind = lambda k, v: F.when(F.col("metric_type") == k, v)
+    temporality = F.col("aggregation_temporality").alias("aggregationTemporality")
+    record = F.struct(
+        F.col("metric_name").alias("name"), F.col("metric_unit").alias("unit"), kind("gauge", F.struct(numbers.alias("dataPoints"))).alias("gauge"),
+        kind("sum", F.struct(numbers.alias("dataPoints"), F.col("is_monotonic").alias("isMonotonic"), temporality)).alias("sum"),
+        kind("histogram", F.struct(buckets.alias("dataPoints"), temporality)).alias("histogram"),
+    )
+    rows = otlp.flatten_metrics(_requests_of(s["metrics"], "resourceMetrics", "scopeMetrics", "metrics", record))
+    return rows.select(
+        "metric_name", "metric_unit", "metric_type", "timestamp", "start_timestamp", F.round("value_double", 6).alias("value_double"), "count", F.round("sum", 6).alias("sum"), "bucket_counts",
+        attr("attributes", "event_type").alias("event_type"), "is_monotonic", "aggregation_temporality", F.get_json_object("exemplars", "$[0].trace_id").alias("exemplar"),
+    )
+
+
+@query("s10_stamped_tenants", f"select {js('resource_attributes', 'tenant.id')} as sent, case when service_name = 'svc-1' then 'globex' else {js('resource_attributes', 'tenant.id')} end as tenant, count(*) as n from logs where service_name in ('svc-0', 'svc-1') or (service_name = 'svc-2' and {TENANT}) group by 1, 2")
+def _(s, spark):
+    """svc-0 sends for all tenants, svc-1 for one, svc-2 for some; other senders have no key."""
+    keys = s["logs"].where("service_name in ('svc-0', 'svc-1', 'svc-2')").select(F.col("service_name").alias("sender_key")).distinct()
+    keys = keys.withColumn("tenants", F.expr("case sender_key when 'svc-0' then array() when 'svc-1' then array('globex') else array('acme', 'nobody') end"))
+    sent = attr("resource_attributes", "tenant.id")
+    accepted, _ = otlp.stamp_tenants(s["logs"].withColumn("sender_key", F.col("service_name")).withColumn("sent", sent), keys)
+    return accepted.groupBy("sent", sent.alias("tenant")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s21_finite_results", "select span_name, case when n > 7000 then null else round(total, 4) end as total, n from (select span_name, sum(duration_ms) as total, count(*) as n from traces group by span_name)")
@@ -141,18 +245,19 @@ def _(s, spark):
 
 # ---- lookups ----
 
-TRACE_77 = f"{77:032x}"
+#: A trace of the tenant at every scale.
+TRACE_109 = f"{109:032x}"
 
 
-@query("q01_lookup_trace", f"select span_id, parent_span_id, start_time, duration_ms, status_code from traces where trace_id = '{TRACE_77}' and {TENANT} order by start_time, span_id limit 1000")
+@query("q01_lookup_trace", f"select span_id, parent_span_id, start_time, duration_ms, status_code from traces where trace_id = '{TRACE_109}' and {TENANT} order by start_time, span_id limit 1000")
 def _(s, spark):
-    return search.lookup_trace(s["traces"], TRACE_77, ACME).select("span_id", "parent_span_id", "start_time", "duration_ms", "status_code")
+    return search.lookup_trace(s["traces"], TRACE_109, ACME).select("span_id", "parent_span_id", "start_time", "duration_ms", "status_code")
 
 
 @query("q04_browse_errors", "select trace_id, span_id, duration_ms from traces where service_name = 'supplier-4' and status_code = 'STATUS_CODE_ERROR' order by start_time desc, trace_id, span_id limit 300")
 def _(s, spark):
-    found = search.browse(s["traces"].orderBy("trace_id", "span_id"), "start_time", {"service_name": "supplier-4"}, 10_000)
-    return found.where("status_code = 'STATUS_CODE_ERROR'").orderBy(F.desc("start_time"), "trace_id", "span_id").limit(300).select("trace_id", "span_id", "duration_ms")
+    found = search.browse(s["traces"], "start_time", {"service_name": "supplier-4", "status": "error"}, 300)
+    return found.select("trace_id", "span_id", "duration_ms")
 
 
 @query("q05_raw_sql", "select service_name, status_code, count(*) as n from traces group by 1, 2")
@@ -278,6 +383,15 @@ histogram_query("a06b_histogram_max", "event.value", "max", "select round(max(ma
 histogram_query("a07_histogram_count", "event.value", "count", f"select {EVENT}, round(cast(sum(dc) as double), 4) as value from inc group by 1", "attr.event_type")
 histogram_query("a07b_histogram_sum", "event.value", "sum", f"select {EVENT}, round(sum(ds), 4) as value from inc group by 1", "attr.event_type")
 histogram_query("a07c_histogram_avg", "event.value", "avg", "select round(sum(ds) / sum(dc), 4) as value from inc")
+
+
+@query("a05_type_dispatch", histogram_sql("event.delta", f"select {EVENT}, round(cast(sum(dc) as double), 4) as value from inc group by 1"))
+def _(s, spark):
+    """The latest point tells that this is a histogram; nothing is passed in."""
+    rows = metrics.query_metric(s["metrics"], ACME, "event.delta", "count", EVENTS, "attr.event_type")
+    return rows.withColumn("value", F.round("value", 4))
+
+
 histogram_query("a08_histogram_step", "event.value", "count", f"select {HOUR} as time, round(cast(sum(dc) as double), 4) as value from inc group by 1", step="1h")
 histogram_query("a08b_step_by_type", "event.value", "sum", f"select {HALF_DAY} as time, {EVENT}, round(sum(ds), 4) as value from inc group by 1, 2", "attr.event_type", "6h")
 histogram_query("a08c_mid_series_window", "event.value", "count", f"select {EVENT}, round(cast(sum(dc) as double), 4) as value from inc group by 1", "attr.event_type", window=TimeWindow(EVENTS_AT, 20 * 60, 2 * 60))
@@ -332,8 +446,7 @@ CAPPED = "select *, row_number() over (partition by trace_id order by start_time
 def _(s, spark):
     ids = s["traces"].select("trace_id").distinct()
     every = s["traces"].withColumn("resource_attributes", F.lit('{"tenant.id":"acme"}'))
-    kept = traces.capped_spans(every, ids, ACME, 3).join(traces.span_counts(every, ids, ACME), "trace_id")
-    return kept.select("trace_id", "span_id", "span_total", (F.col("span_total") > 3).alias("truncated"))
+    return traces.capped_spans(every, ids, ACME, 3).select("trace_id", "span_id", "span_total", (F.col("span_total") > 3).alias("truncated"))
 
 
 @query("w05_values_per_key", f"select key, value, n, count(*) over (partition by key) as values from (select 'line.status' as key, {js(_a, 'line.status')} as value, count(*) as n from traces group by 1, 2 union all select 'http.route', {js(_a, 'http.route')}, count(*) from traces group by 1, 2) where value is not null")
@@ -398,43 +511,42 @@ timed as (select o.*, r.root_id, r.root_missing, greatest(0, o.end_time - o.star
 _E = "status_code = 'STATUS_CODE_ERROR'"
 
 
-def _own(s) -> tuple[DataFrame, DataFrame]:
-    ids = s["traces"].select("trace_id").distinct()
-    return ids, traces.self_times(traces.capped_spans(s["traces"], ids, ACME))
+def _own(s) -> DataFrame:
+    return traces.timed_spans(s["traces"], ACME)
 
 
 @query("t01_capped_spans", f"select trace_id, count(*) as kept, max(span_total) as span_total, max(span_total) > count(*) as truncated from (select * from (select *, row_number() over (partition by trace_id order by start_time, span_id) as rn, count(*) over (partition by trace_id) as span_total from traces where {TENANT}) where rn <= 4) group by 1")
 def _(s, spark):
     ids = s["traces"].select("trace_id").distinct()
-    kept = traces.capped_spans(s["traces"], ids, ACME, 4).groupBy("trace_id").agg(F.count(F.lit(1)).alias("kept"))
-    return kept.join(traces.span_counts(s["traces"], ids, ACME), "trace_id").withColumn("truncated", F.col("span_total") > F.col("kept"))
+    kept = traces.capped_spans(s["traces"], ids, ACME, 4).groupBy("trace_id").agg(F.count(F.lit(1)).alias("kept"), F.max("span_total").alias("span_total"))
+    return kept.withColumn("truncated", F.col("span_total") > F.col("kept"))
 
 
 @query("t02_roots", SUMMARY + "select trace_id, root_id, root_missing from rooted")
 def _(s, spark):
-    return traces.roots(_own(s)[1])
+    return traces.roots(_own(s))
 
 
 @query("t03_self_times", SUMMARY + "select trace_id, span_id, cast(self_us as bigint) as self_us from timed")
 def _(s, spark):
-    return _own(s)[1].select("trace_id", "span_id", "self_us")
+    return _own(s).select("trace_id", "span_id", "self_us")
 
 
 @query("t04_untraced", SUMMARY + "select trace_id, case when root_missing then 0 else round(self_us / 1000, 2) end as untraced_ms from timed where span_id = root_id")
 def _(s, spark):
-    spans = _own(s)[1]
+    spans = _own(s)
     rooted = spans.join(traces.roots(spans), "trace_id").where("span_id = root_id")
     return rooted.select("trace_id", F.when(F.col("root_missing"), F.lit(0.0)).otherwise(F.round(F.col("self_us") / 1000, 2)).alias("untraced_ms"))
 
 
 @query("t05_trace_times", SUMMARY + f"select trace_id, min(start_time) as start_time, count(*) filter (where {_E}) as error_count, round((max(end_time) - min(start_time)) / 1000, 2) as duration_ms from own group by 1")
 def _(s, spark):
-    return traces.trace_times(_own(s)[1]).drop("kept")
+    return traces.trace_times(_own(s)).drop("kept")
 
 
 @query("t06_trace_services", SUMMARY + f"select trace_id, service_name, count(*) as spans, count(*) filter (where {_E}) as errors from own group by 1, 2")
 def _(s, spark):
-    return traces.span_services(_own(s)[1])
+    return traces.span_services(_own(s))
 
 
 GROUPS = f"""grp as (select trace_id, service_name, span_name, count(*) as count, round(sum(duration_ms), 2) as total_ms, round(sum(self_us) / 1000, 2) as self_ms,
@@ -443,19 +555,19 @@ GROUPS = f"""grp as (select trace_id, service_name, span_name, count(*) as count
 
 @query("t07_span_groups", SUMMARY + f", {GROUPS} select *, row_number() over (partition by trace_id order by self_ms desc, total_ms desc, count desc, service_name, span_name) as place from grp")
 def _(s, spark):
-    spans = _own(s)[1]
+    spans = _own(s)
     return traces.span_groups(spans, traces.roots(spans))
 
 
 @query("t08_slowest_spans", SUMMARY + "select trace_id, span_id, place from (select *, row_number() over (partition by trace_id order by duration_ms desc, start_time, span_id) as place from timed where span_id <> root_id) where place <= 3")
 def _(s, spark):
-    spans = _own(s)[1]
+    spans = _own(s)
     return traces.slowest_spans(spans, traces.roots(spans), 3).select("trace_id", "span_id", "place")
 
 
 @query("t09_error_spans", SUMMARY + f"select trace_id, span_id, place from (select *, row_number() over (partition by trace_id order by start_time, span_id) as place from own where {_E}) where place <= 10")
 def _(s, spark):
-    return traces.error_spans(_own(s)[1], 10).select("trace_id", "span_id", "place")
+    return traces.error_spans(_own(s), 10).select("trace_id", "span_id", "place")
 
 
 LOGS = f"logs where {TENANT} and trace_id in (select trace_id from traces)"
@@ -562,6 +674,35 @@ def _(s, spark):
     return compare.compare_spans(s["traces"], ACME, SPANS, kind="client", exact=True, sample=False, limit=50).rows.drop("also")
 
 
+SERVERS = f""", scope as (select *, duration_ms >= quantile_cont(duration_ms, 0.95) over () as slow from traces where {TENANT} and {SPANS_SQL} and span_kind = 'SPAN_KIND_SERVER'),
+sizes as (select count(*) filter (where slow) as slow_n, count(*) filter (where not slow) as rest_n from scope),
+pairs as (
+  select slow, 'span_name' as key, span_name as value from scope union all select slow, 'status_code', status_code from scope
+  union all select slow, 'http.route', {js(_a, 'http.route')} from scope union all select slow, 'cust', {js(_a, 'cust')} from scope
+  union all select slow, 'resource.service.name', {js(_r, 'service.name')} from scope union all select slow, 'resource.tenant.id', {js(_r, 'tenant.id')} from scope),
+counted as (select key, value, count(*) filter (where slow) as a, count(*) filter (where not slow) as b, count(*) over (partition by key) as k from pairs where value is not null and value <> '' group by 1, 2),
+shares as (select key, value, round(100.0e0 * a / slow_n, 1) as slow_pct, round(100.0e0 * b / rest_n, 1) as rest_pct from counted, sizes where k <= 50 and a + b >= 5)
+"""
+
+
+@query("c09_twin_facts", SERVERS + """, twin as (select n.* from shares n join shares r on r.key = 'http.route' and n.key = 'span_name' and n.value = r.value and n.slow_pct = r.slow_pct and n.rest_pct = r.rest_pct)
+select s.key, s.value, s.slow_pct, s.rest_pct, round(s.slow_pct - s.rest_pct, 1) as diff, case when t.value is null or s.key <> 'http.route' then '' else 'span_name=' || t.value end as also
+from shares s left join twin t on s.value = t.value where s.key <> 'span_name' or t.value is null
+order by abs(round(s.slow_pct - s.rest_pct, 1)) desc, diff desc, s.key, s.value limit 50""")
+def _(s, spark):
+    """Root spans are named by their route: one fact under two keys."""
+    found = compare.compare_spans(s["traces"], ACME, SPANS, kind="server", exact=True, sample=False, limit=50).rows
+    return found.withColumn("also", F.array_join("also", ";"))
+
+
+@query("c05_sampled_sizes", SCOPE + "select slow_n, rest_n, true as sampled, true as bounded from sizes")
+def _(s, spark):
+    """Sizes are true ones although both groups are sampled, to about 40 spans each."""
+    done = compare.compare_spans(s["traces"], ACME, SPANS, kind="client", exact=True, cap=40, limit=50)
+    shares = done.rows.agg(F.coalesce(F.bool_and((F.col("slow_pct") <= 100) & (F.col("rest_pct") <= 100)), F.lit(True)).alias("bounded"))
+    return done.sizes.select("slow_n", "rest_n", "sampled").join(F.broadcast(shares))  # one row each
+
+
 # ---- derived series ----
 
 REQUESTS = f"metrics where {TENANT} and metric_name = 'event.requests' and {EVENTS_SQL}"
@@ -640,7 +781,7 @@ def _(s, spark):
 @query("d12_group_share", SUMMARY + f""", {GROUPS}, times as (select trace_id, round((max(end_time) - min(start_time)) / 1000, 2) as d from own group by 1)
 select trace_id, service_name, span_name, round(case when d > 0 then least(100, greatest(0, self_ms / d * 100)) else 0 end, 4) as share_pct from grp join times using (trace_id)""")
 def _(s, spark):
-    spans = _own(s)[1]
+    spans = _own(s)
     done = traces.group_share(traces.span_groups(spans, traces.roots(spans)), traces.trace_times(spans))
     return done.select("trace_id", "service_name", "span_name", F.round("share_pct", 4).alias("share_pct"))
 

@@ -13,6 +13,8 @@ TRACE = "lpad(lower(hex(77)), 32, '0')"
 ERRORS = "count(*) filter (where status_code = 'STATUS_CODE_ERROR')"
 #: The last hour, five minutes and so on are counted back from here (1997-06-01 UTC).
 AS_OF = 865_123_200_000_000
+#: A time of day at which spans are there (2001-07-11 01:00 UTC), for the last hour.
+HOUR_END = 994_813_200_000_000
 DAY = 24 * 60 * MINUTE
 _j = "json_extract_string({c}, '$.\"{k}\"')"
 _g = "get_json_object({c}, \"$['{k}']\")"
@@ -47,7 +49,7 @@ COOKBOOK: dict[str, str | tuple[str, str]] = {
     "k16_monotonic_counters": "select metric_name, attributes, value_double, timestamp from metrics where is_monotonic = true order by timestamp desc, attributes limit 20",
     "k17_error_spans_with_logs": "select l.timestamp, l.severity_text, l.body, t.span_name, t.duration_ms from traces t join logs l on t.trace_id = l.trace_id and t.span_id = l.span_id where t.status_code = 'STATUS_CODE_ERROR' order by l.timestamp desc, l.body limit 20",
     "k18_services_with_errors": "select t.service_name, count(distinct t.trace_id) as error_traces, count(distinct l.trace_id) as error_logs from traces t left join logs l on t.trace_id = l.trace_id and l.severity_text = 'ERROR' where t.status_code = 'STATUS_CODE_ERROR' group by t.service_name",
-    "k19a_last_hour": f"select service_name, count(*) as spans from traces where start_time >= {AS_OF - 60 * MINUTE} and start_time < {AS_OF} group by service_name",
+    "k19a_last_hour": f"select service_name, count(*) as spans from traces where start_time >= {HOUR_END - 60 * MINUTE} and start_time < {HOUR_END} group by service_name",
     "k19b_date_range": (
         "select service_name, count(*) as spans from traces where start_time >= unix_micros(timestamp'1997-05-01 00:00:00') and start_time < unix_micros(timestamp'1997-06-01 00:00:00') group by service_name",
         "select service_name, count(*) as spans from traces where start_time >= epoch_us(timestamp '1997-05-01 00:00:00') and start_time < epoch_us(timestamp '1997-06-01 00:00:00') group by service_name",

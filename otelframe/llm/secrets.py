@@ -260,7 +260,7 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]", f
     without a span are unchanged (a null text stays null). All columns are kept."""
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").alias("text"))
-    found = find_secrets(boxed, "text", [F.col("row"), F.col("text")], fdr)
+    found = find_secrets(boxed, "text", [F.col("row")], fdr).withColumn("text", F.col("row").getField(text_column))
     # pieces of text between spans, in order: a span that begins before the last end only extends it
     step = (
         "aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), "

@@ -21,6 +21,8 @@ from otelframe.llm.common import documents, map_texts
 
 #: n-grams in a profile and in a document's own list, and the longest n-gram.
 PROFILE, LONGEST = 400, 4
+#: Groups of tasks that rank a language's n-grams before all are ranked; results do not depend on it.
+SLICES = 16
 #: Languages are few by nature; more distinct labels than this are an input error.
 MOST_LANGUAGES = 500
 #: Code points taken at a time when a text is counted (bounds memory).
@@ -105,9 +107,12 @@ def learn(rows: DataFrame, text_column: str = "text", lang_column: str = "lang",
 
     rows = rows.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("text is not null and lang is not null")
     counts = map_texts(rows, ["text", "lang"], "lang string, gram long, n long", count, at_once=20_000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    # a bound on the rank itself lets each task drop the rest of its rows before they travel
-    top = counts.withColumn("rank", place).where(F.col("rank") <= profile)
+    # a bound on the rank itself lets each task drop the rest of its rows before they travel;
+    # tasks are ranked in SLICES groups first, so the last ranking meets few rows of a language
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))
+    sliced = counts.withColumn("slice", F.spark_partition_id() % SLICES)
+    best = sliced.withColumn("rank", rank("lang", "slice")).where(F.col("rank") <= profile).drop("rank")
+    top = best.withColumn("rank", rank("lang")).where(F.col("rank") <= profile)
     return top.select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 

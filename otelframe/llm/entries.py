@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from otelframe.llm import audio, bpe, exact_dedup, jaccard, language, lines, packing, passages, secrets, suffixes, token_store
+from otelframe.llm import audio, bpe, conversations, exact_dedup, fill_middle, jaccard, language, lines, packing, passages, secrets, suffixes, token_store
 
 
 def queries() -> dict:
@@ -18,9 +18,11 @@ def queries() -> dict:
         "op8_line_dedup_short": lines.op8_line_dedup_short,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
         "op12_suffix_dedup": suffixes.op12_suffix_dedup,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_short": lines.OP8_SHORT_SQL, "op12_suffix_dedup": suffixes.OP12_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op8_line_dedup": lines.OP8_SQL, "op8_line_dedup_short": lines.OP8_SHORT_SQL, "op12_suffix_dedup": suffixes.OP12_SQL, "op13_fill_middle": fill_middle.OP13_SQL}

@@ -488,10 +488,9 @@ def _keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, lengths, data = _read_block(row)
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        change = np.zeros(len(data) + 1, np.int64)
-        for blob in row["found"] or []:
-            begin, end = np.frombuffer(blob, _I8).reshape(2, -1)
-            change += np.bincount(begin, minlength=len(change)) - np.bincount(end, minlength=len(change))
+        found = [np.frombuffer(blob, _I8).reshape(2, -1) for blob in row["found"] or []]
+        begin, end = np.concatenate([np.zeros((2, 0), _I8), *found], axis=1)
+        change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
         gone = np.cumsum(change[:-1]) > 0
         # edges of runs; a run also ends where its document does
         edge = np.concatenate([gone[:1], gone[1:] != gone[:-1], gone[-1:]]) if len(gone) else np.zeros(1, bool)

@@ -13,9 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otelframe.functions.attrs import AttrFilter, attr_condition, group_key, group_keys, tenant_is
+from otelframe.functions.attrs import AttrFilter, attr_condition, group_key, group_keys
 from otelframe.functions.window import TimeWindow, bucket_start, step_of
-from otelframe.operators.search import latest
+from otelframe.operators.search import of_tenant
 
 NUMBER = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -27,7 +27,7 @@ SERIES = ["attributes", "resource_attributes", "start_timestamp", "explicit_boun
 def metric_scope(metrics: DataFrame, tenant: str, metric_name: str, window: TimeWindow, filters: Iterable[AttrFilter] = ()) -> DataFrame:
     if not metric_name:
         raise ValueError("metric_name is required")
-    found = metrics.where(tenant_is(tenant) & (F.col("metric_name") == metric_name) & window.holds("timestamp"))
+    found = of_tenant(metrics, tenant).where((F.col("metric_name") == metric_name) & window.holds("timestamp"))
     for f in filters:
         found = found.where(attr_condition(f))
     return found
@@ -50,7 +50,7 @@ def query_metric(
     keys = group_keys(group_by)
     scope = metric_scope(metrics, tenant, metric_name, window, filters)
     if metric_type is None:
-        metric_type = scope.transform(lambda d: latest(d, tenant, metric_name, "metric_type")).first()[0]
+        metric_type = scope.agg(F.max_by("metric_type", F.struct("timestamp", "metric_type"))).first()[0]
     time = [bucket_start("timestamp", size).alias("time")] if size else []
     names = (["time"] if size else []) + keys
     if metric_type == "summary":

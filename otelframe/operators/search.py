@@ -1,4 +1,8 @@
-"""Searches, lookups and discovery over the signal tables."""
+"""Searches, lookups and discovery over the signal tables.
+
+All take a frame of a signal's rows: any, or one of the store, pruned to a window's days
+(``store.windowed``) or a trace's days (``store.of_traces``) and with its stored tenant.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,10 @@ from otelframe.functions.attrs import AttrFilter, attr, attr_condition, span_con
 from otelframe.functions.window import Range, TimeWindow, limited
 
 
+#: Column of the stored tenant.
+STORED_TENANT = "tenant"
+
+
 def _all(conditions: Iterable[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -18,19 +26,29 @@ def _all(conditions: Iterable[Column]) -> Column:
     return out
 
 
+def of_tenant(rows: DataFrame, tenant: str) -> DataFrame:
+    """One tenant's rows. Where the rows carry the stored tenant (``store.scan`` with
+    ``keep_tenant``) that column decides, reaches the files and is left out then; else it
+    is read from the resource attributes."""
+    condition = tenant_is(tenant)  # a blank tenant is an error either way
+    if STORED_TENANT in rows.columns:
+        return rows.where(F.col(STORED_TENANT) == tenant).drop(STORED_TENANT)
+    return rows.where(condition)
+
+
 def span_scope(traces: DataFrame, tenant: str, service: str = "", filters: Iterable[AttrFilter] = (), duration: Range = Range()) -> DataFrame:
     """Spans of a tenant under a service, filters and a duration range."""
-    conditions = [tenant_is(tenant), *[span_condition(f) for f in filters], duration.holds("duration_ms")]
+    conditions = [*[span_condition(f) for f in filters], duration.holds("duration_ms")]
     if service:
         conditions.append(F.col("service_name") == service)
-    return traces.where(_all(conditions))
+    return of_tenant(traces, tenant).where(_all(conditions))
 
 
 def lookup_trace(traces: DataFrame, trace_id: str, tenant: str, limit: int | None = None) -> DataFrame:
     """All spans of a trace, by start time."""
     if not trace_id:
         raise ValueError("trace_id is required")
-    found = traces.where((F.col("trace_id") == trace_id) & tenant_is(tenant))
+    found = of_tenant(traces, tenant).where(F.col("trace_id") == trace_id)
     return found.orderBy("start_time", "span_id").limit(limited(limit, 1000, 10_000))
 
 
@@ -43,7 +61,7 @@ def search_spans(traces: DataFrame, tenant: str, window: TimeWindow, service: st
 def search_logs(logs: DataFrame, tenant: str, window: TimeWindow, service: str = "", trace_id: str = "", severity: str = "", body: str = "", filters: Iterable[AttrFilter] = (), limit: int | None = None) -> DataFrame:
     """Newest logs first. With a trace id and no ``since`` (0) the window has no start.
     Severity is compared without case; ``%`` and ``_`` in ``body`` are wildcards."""
-    conditions = [tenant_is(tenant), *[attr_condition(f) for f in filters]]
+    conditions = [attr_condition(f) for f in filters]
     if trace_id and not window.since:
         if window.until:
             conditions.append(F.col("timestamp") < window.end)
@@ -57,7 +75,7 @@ def search_logs(logs: DataFrame, tenant: str, window: TimeWindow, service: str =
         conditions.append(F.upper("severity_text") == severity.upper())
     if body:
         conditions.append(F.col("body").ilike(f"%{body}%"))
-    return logs.where(_all(conditions)).orderBy(F.desc("timestamp"), "body", "trace_id").limit(limited(limit, 100, 1000))
+    return of_tenant(logs, tenant).where(_all(conditions)).orderBy(F.desc("timestamp"), "body", "trace_id").limit(limited(limit, 100, 1000))
 
 
 def browse(signal: DataFrame, time_column: str, equal: dict[str, str], limit: int | None = None) -> DataFrame:
@@ -87,10 +105,10 @@ def list_tenants(traces: DataFrame, logs: DataFrame, metrics: DataFrame) -> Data
 
 def list_values(signal: DataFrame, tenant: str, column: str) -> DataFrame:
     """Distinct non-empty values of a column: services of traces or of logs, metric names."""
-    return signal.where(tenant_is(tenant)).where(F.col(column) != "").select(column).distinct().orderBy(column)
+    return of_tenant(signal, tenant).where(F.col(column) != "").select(column).distinct().orderBy(column)
 
 
 def latest(metrics: DataFrame, tenant: str, metric_name: str, column: str) -> DataFrame:
     """Unit or type of the newest point of a metric."""
-    found = metrics.where(tenant_is(tenant) & (F.col("metric_name") == metric_name))
+    found = of_tenant(metrics, tenant).where(F.col("metric_name") == metric_name)
     return found.agg(F.max_by(column, F.struct("timestamp", column)).alias(column))

@@ -7,13 +7,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otelframe.functions.attrs import tenant_is
+from otelframe.operators.search import of_tenant
 from otelframe.sources.shared import written
 
 MAX_SPANS = 5000
 ERROR = "STATUS_CODE_ERROR"
 WARN_NUMBER, BODY_CHARS = 13, 300
 MAX_DEPTH = 50
+#: Groups in which the spans of a trace above the cap are ranked first.
+SLICES = 64
 SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service_name", "span_name", "start_time", "end_time", "duration_ms", "status_code", "status_message"]
 
 
@@ -37,14 +39,20 @@ def trace_ids(spark, ids: list[str]) -> DataFrame:
 def capped_spans(traces: DataFrame, ids: DataFrame, tenant: str, cap: int = MAX_SPANS) -> DataFrame:
     """The first ``cap`` spans of each asked trace by start and id, with the trace's true
     size ``span_total``."""
-    own = traces.where(tenant_is(tenant)).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
+    own = of_tenant(traces, tenant).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
     return _capped(own, cap)
 
 
 def _capped(own: DataFrame, cap: int) -> DataFrame:
-    trace = Window.partitionBy("trace_id")
-    numbered = own.withColumns({"rn": F.row_number().over(trace.orderBy("start_time", "span_id")), "span_total": F.count(F.lit(1)).over(trace)})
-    return numbered.where(F.col("rn") <= cap).drop("rn")
+    """Sizes are counted before they travel. Only traces above the cap are ranked, first in
+    SLICES groups of their spans, so that no task sorts more than SLICES * cap of them."""
+    sizes = own.groupBy("trace_id").agg(F.count(F.lit(1)).alias("span_total"))
+    sized = own.join(sizes, "trace_id")
+    order = [F.col("start_time"), F.col("span_id")]
+    large = sized.where(F.col("span_total") > cap).withColumn("_slice", F.pmod(F.xxhash64("span_id", "start_time"), F.lit(SLICES)))
+    for keys in (["trace_id", "_slice"], ["trace_id"]):
+        large = large.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= cap)
+    return sized.where(F.col("span_total") <= cap).unionByName(large.drop("_slice", "_rn"))
 
 
 def roots(spans: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def self_times(spans: DataFrame) -> DataFrame:
 def timed_spans(traces: DataFrame, tenant: str, ids: DataFrame | None = None, cap: int = MAX_SPANS) -> DataFrame:
     """Capped spans of the asked traces (all of the tenant's without ``ids``), with their
     self times. The capped spans are written once, as three sides of joins read them."""
-    own = traces.where(tenant_is(tenant)).select(*SPAN_COLUMNS)
+    own = of_tenant(traces, tenant).select(*SPAN_COLUMNS)
     if ids is not None:
         own = own.join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
     return self_times(written(_capped(own, cap)))
@@ -122,7 +130,7 @@ def _time_stats() -> list[Column]:
 
 
 def trace_logs(logs: DataFrame, ids: DataFrame, tenant: str) -> DataFrame:
-    return logs.where(tenant_is(tenant)).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
+    return of_tenant(logs, tenant).join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
 
 
 def _severity() -> Column:
@@ -199,9 +207,11 @@ def trace_summaries(traces: DataFrame, logs: DataFrame, ids: DataFrame, tenant:
 def depths(spans: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
     """trace_id, span_id, depth: steps up the parent chain, at most ``cap``. Each round
     doubles the steps that a span knows and is written; rounds end when every span has
-    reached its topmost one, so a chain takes few joins."""
-    known = spans.select("trace_id", F.col("span_id").alias("at")).distinct().withColumn("has", F.lit(True))
-    up = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("at")).join(known, ["trace_id", "at"], "left")
+    reached its topmost one, so a chain takes few joins. Of rows with one span id the least
+    parent counts, so that each id has one depth."""
+    once = spans.groupBy("trace_id", "span_id").agg(F.min("parent_span_id").alias("at"))
+    known = once.select("trace_id", F.col("span_id").alias("at"), F.lit(True).alias("has"))
+    up = once.select("trace_id", "span_id", "at").join(known, ["trace_id", "at"], "left")
     jump = up.select("trace_id", "span_id", F.when(F.col("has"), F.col("at")).alias("at"), F.when(F.col("has"), 1).otherwise(0).alias("depth"))
     steps = 1
     while steps < cap:

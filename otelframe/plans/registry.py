@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from otelframe.plans import analysis, cookbook
+from otelframe.plans import analysis, cookbook, stored  # noqa: F401  stored adds its queries to those of analysis
 from otelframe.plans.suite import register, run_sql
 from otelframe.sources.fixtures import signals
 

@@ -2,19 +2,27 @@
 
 Input is a DataFrame with one request a row as JSON text (column ``value``, as the
 text source gives it, batch or stream). Attribute values are typed; they become JSON
-text with sorted keys, so that equal attribute sets have equal text.
+text with sorted keys, so that equal attribute sets have equal text. Lines that are no
+requests are told apart by ``split``, with the cause.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from otelframe.functions.attrs import TENANT_KEY, stored
 from otelframe.schemas import conform
 
 _ANY = "stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string"
-#: Levels of arrays and key-value lists that are read inside a value.
+#: Levels of arrays and key-value lists that are read by expressions; deeper ones are made
+#: plain before.
 DEPTH = 6
 # arrays and lists are text at first, and parsed level by level
 _VALUE = f"struct<{_ANY}, arrayValue: string, kvlistValue: string>"
@@ -44,6 +52,9 @@ REQUESTS = {
     "logs": f"resourceLogs array<struct<{_RESOURCE}, scopeLogs: array<struct<{_SCOPE}, logRecords: array<struct<{_LOG}>>>>>>",
     "metrics": f"resourceMetrics array<struct<{_RESOURCE}, scopeMetrics: array<struct<{_SCOPE}, metrics: array<struct<{_METRIC}>>>>>>",
 }
+#: The one key of a request.
+OUTER = {"traces": "resourceSpans", "logs": "resourceLogs", "metrics": "resourceMetrics"}
+_BAD = "_bad"
 # Names of enumerated numbers.
 KINDS = ["SPAN_KIND_UNSPECIFIED", "SPAN_KIND_INTERNAL", "SPAN_KIND_SERVER", "SPAN_KIND_CLIENT", "SPAN_KIND_PRODUCER", "SPAN_KIND_CONSUMER"]
 STATUS = ["STATUS_CODE_UNSET", "STATUS_CODE_OK", "STATUS_CODE_ERROR"]
@@ -92,16 +103,71 @@ def _plain(v: Column) -> Column:
 
 
 def _entries(pairs: Column) -> Column:
-    """Attributes by key, the last of equal keys only."""
+    """Attributes by key, the last of equal keys only: sorted by key and place, each is
+    compared with the one after it."""
     pairs = F.coalesce(pairs, F.expr(f"cast(array() as {_KV})"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
-    return F.array_sort(last)
+    ranked = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["key"].alias("key"), i.alias("nth"), x["value"].alias("value"))))
+    last = F.zip_with(ranked, F.slice(ranked, F.lit(2), F.size(ranked)), lambda x, after: F.when(after.isNull() | ~after["key"].eqNullSafe(x["key"]), F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    return F.array_compact(last)
+
+
+# ---- values below the levels that expressions read ----
+
+
+def _plain_value(v: dict) -> object:
+    """A typed value without its types."""
+    if "stringValue" in v:
+        return v["stringValue"]
+    if "intValue" in v:
+        return int(v["intValue"])
+    if "doubleValue" in v:
+        d = float(v["doubleValue"])
+        return 0 if not math.isfinite(d) else int(d) if d == int(d) and abs(d) < 1e7 else d
+    if "boolValue" in v:
+        return bool(v["boolValue"])
+    if "bytesValue" in v:
+        return base64.b64decode(v["bytesValue"]).hex()
+    if "arrayValue" in v:
+        return [_plain_value(x) for x in (v["arrayValue"] or {}).get("values") or []]
+    if "kvlistValue" in v:
+        return {p["key"]: _plain_value(p.get("value") or {}) for p in sorted((v["kvlistValue"] or {}).get("values") or [], key=lambda p: p["key"])}
+    return None
+
+
+def _plain_from(node: object, level: int) -> object:
+    """``node`` with the lists that lie ``DEPTH`` lists deep (``level`` above it) made plain."""
+    if isinstance(node, list):
+        return [_plain_from(x, level) for x in node]
+    if not isinstance(node, dict):
+        return node
+    for kind in ("arrayValue", "kvlistValue"):
+        if kind in node:
+            return {kind: _plain_value(node)} if level >= DEPTH else node | {kind: _plain_from(node[kind], level + 1)}
+    return {k: _plain_from(x, level) for k, x in node.items()}
+
+
+@F.pandas_udf(StringType())
+def _plain_lines(lines: pd.Series) -> pd.Series:
+    def one(line: str | None) -> str | None:
+        try:
+            return None if line is None else json.dumps(_plain_from(json.loads(line), 0), ensure_ascii=False)
+        except (ValueError, TypeError, KeyError, AttributeError, RecursionError):
+            return line  # no request: told as such later
+
+    return lines.map(one, na_action="ignore")
+
+
+def plain_below(requests: DataFrame) -> DataFrame:
+    """``requests`` whose values nest at most as deep as expressions read them (DEPTH); what
+    lies deeper is plain JSON already. Only lines with that many lists go to Python."""
+    deep = F.size(F.split("value", '"(?:arrayValue|kvlistValue)"')) - 1 > DEPTH
+    return requests.withColumn("value", F.coalesce(_plain_lines(F.when(deep, F.col("value"))), F.col("value")))
 
 
 def value_json(v: Column, depth: int = DEPTH) -> Column:
     """JSON of a typed value, arrays and key-value lists included. An array is read like a
     list of pairs without keys, so that the expression grows with ``depth`` and not with
-    its power; what nests deeper keeps the text in which it was sent."""
+    its power; what nests deeper is plain JSON already (``plain_below``)."""
     if not depth:
         return F.coalesce(_plain(v), v["arrayValue"], v["kvlistValue"], F.lit("null"))
     items = F.from_json(v["arrayValue"], f"struct<values: array<{_VALUE}>>")["values"]
@@ -161,12 +227,37 @@ def exemplars_json(exemplars: Column) -> Column:
     return _objects(exemplars, lambda e: [("filtered_attributes", _some(e["filteredAttributes"])), ("span_id", _quoted(hex_id(e["spanId"]))), ("time_unix_nano", _zero(e["timeUnixNano"])), ("trace_id", _quoted(hex_id(e["traceId"]))), ("value", value(e))])
 
 
-def _exploded(requests: DataFrame, signal: str, outer: str, middle: str, inner: str) -> DataFrame:
+def cause(signal: str, column: str = "value") -> Column:
+    """Why a line is refused as a request of the signal, null where it is taken: ``empty``,
+    ``not JSON``, ``not an object``, ``no resourceSpans`` (or Logs, Metrics), ``wrong
+    types``. An empty object is a request without rows."""
+    outer, text = OUTER[signal], F.col(column)
+    parsed = F.from_json(text, f"{REQUESTS[signal]}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD})
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    fields = F.json_object_keys(text)
+    taken = parsed[_BAD].isNull() & parsed[outer].isNotNull()
+    # the cheap test comes first; a line is looked at again only where it fails
+    return (
+        F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(taken, F.lit(None)).when(value.isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object")
+        .when(F.size(fields) == 0, F.lit(None)).when(~F.coalesce(F.array_contains(fields, outer), F.lit(False)), f"no {outer}").otherwise("wrong types")
+    )
+
+
+def split(requests: DataFrame, signal: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) lines; both have all columns of ``requests``, rejected ones
+    their ``signal`` and ``cause`` too. Each line is in one of the two."""
+    judged = requests.withColumn("_cause", cause(signal))
+    rejected = judged.where("_cause is not null").select(*requests.columns, F.lit(signal).alias("signal"), F.col("_cause").alias("cause"))
+    return judged.where("_cause is null").drop("_cause"), rejected
+
+
+def _exploded(requests: DataFrame, signal: str, outer: str, middle: str, inner: str, keep: tuple[str, ...]) -> DataFrame:
     """One row per innermost record (column r) with resource attributes and scope."""
-    parsed = requests.select(F.from_json("value", REQUESTS[signal]).alias("q"))
-    resources = parsed.select(F.explode(f"q.{outer}").alias("o"))
-    scopes = resources.select(F.col("o.resource.attributes").alias("ra"), F.explode(f"o.{middle}").alias("m"))
-    return scopes.select("ra", F.col("m.scope").alias("scope"), F.explode(f"m.{inner}").alias("r"))
+    parsed = plain_below(requests).select(*keep, F.from_json("value", REQUESTS[signal]).alias("q"))
+    resources = parsed.select(*keep, F.explode(f"q.{outer}").alias("o"))
+    scopes = resources.select(*keep, F.col("o.resource.attributes").alias("ra"), F.explode(f"o.{middle}").alias("m"))
+    return scopes.select(*keep, "ra", F.col("m.scope").alias("scope"), F.explode(f"m.{inner}").alias("r"))
 
 
 def _common() -> list[Column]:
@@ -178,34 +269,37 @@ def _common() -> list[Column]:
     ]
 
 
-def flatten_traces(requests: DataFrame) -> DataFrame:
-    """Span rows; a span that ends before it starts has a negative duration."""
+def flatten_traces(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Span rows, with the columns ``keep`` of their request; a span that ends before it
+    starts has a negative duration."""
     start, end = F.col("r.startTimeUnixNano").cast("decimal(20,0)"), F.col("r.endTimeUnixNano").cast("decimal(20,0)")
-    rows = _exploded(requests, "traces", "resourceSpans", "scopeSpans", "spans").select(
-        hex_id(F.col("r.traceId")).alias("trace_id"), hex_id(F.col("r.spanId")).alias("span_id"), hex_id(F.col("r.parentSpanId")).alias("parent_span_id"),
+    rows = _exploded(requests, "traces", "resourceSpans", "scopeSpans", "spans", keep).select(
+        *keep, hex_id(F.col("r.traceId")).alias("trace_id"), hex_id(F.col("r.spanId")).alias("span_id"), hex_id(F.col("r.parentSpanId")).alias("parent_span_id"),
         F.coalesce("r.traceState", F.lit("")).alias("trace_state"), F.coalesce("r.name", F.lit("")).alias("span_name"), enum(F.col("r.kind"), KINDS).alias("span_kind"),
         micros(start).alias("start_time"), micros(end).alias("end_time"), ((end - start).cast("double") / 1e6).alias("duration_ms"),
         enum(F.col("r.status.code"), STATUS).alias("status_code"), F.coalesce("r.status.message", F.lit("")).alias("status_message"),
         attributes_json(F.col("r.attributes")).alias("attributes"), events_json(F.col("r.events")).alias("events"), links_json(F.col("r.links")).alias("links"), *_common(),
     )
-    return conform(rows, "traces")
+    return conform(rows, "traces", keep)
 
 
-def flatten_logs(requests: DataFrame) -> DataFrame:
-    rows = _exploded(requests, "logs", "resourceLogs", "scopeLogs", "logRecords").select(
-        micros(F.col("r.timeUnixNano")).alias("timestamp"), micros(F.col("r.observedTimeUnixNano")).alias("observed_timestamp"),
+def flatten_logs(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Log rows, with the columns ``keep`` of their request."""
+    rows = _exploded(requests, "logs", "resourceLogs", "scopeLogs", "logRecords", keep).select(
+        *keep, micros(F.col("r.timeUnixNano")).alias("timestamp"), micros(F.col("r.observedTimeUnixNano")).alias("observed_timestamp"),
         hex_id(F.col("r.traceId")).alias("trace_id"), hex_id(F.col("r.spanId")).alias("span_id"),
         F.coalesce(F.col("r.severityNumber").try_cast("int"), F.lit(0)).alias("severity_number"), F.coalesce("r.severityText", F.lit("")).alias("severity_text"),
         body_text(F.col("r.body")).alias("body"), attributes_json(F.col("r.attributes")).alias("attributes"), F.coalesce("r.flags", F.lit(0)).alias("flags"),
         F.coalesce("r.eventName", F.lit("")).alias("event_name"), *_common(),
     )
-    return conform(rows, "logs")
+    return conform(rows, "logs", keep)
 
 
-def flatten_metrics(requests: DataFrame) -> DataFrame:
-    """Metric points, one branch per kind of point over the exploded metrics."""
-    base = _exploded(requests, "metrics", "resourceMetrics", "scopeMetrics", "metrics").select(
-        F.coalesce("r.name", F.lit("")).alias("metric_name"), F.coalesce("r.description", F.lit("")).alias("metric_description"), F.coalesce("r.unit", F.lit("")).alias("metric_unit"), "r", *_common()
+def flatten_metrics(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metric points, one branch per kind of point over the exploded metrics, with the
+    columns ``keep`` of their request."""
+    base = _exploded(requests, "metrics", "resourceMetrics", "scopeMetrics", "metrics", keep).select(
+        *keep, F.coalesce("r.name", F.lit("")).alias("metric_name"), F.coalesce("r.description", F.lit("")).alias("metric_description"), F.coalesce("r.unit", F.lit("")).alias("metric_unit"), "r", *_common()
     )
     names = [c for c in base.columns if c != "r"]
 
@@ -215,7 +309,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
             *names, F.lit(kind).alias("metric_type"), micros(F.col("p.timeUnixNano")).alias("timestamp"), micros(F.col("p.startTimeUnixNano")).alias("start_timestamp"),
             attributes_json(F.col("p.attributes")).alias("attributes"), F.coalesce("p.flags", F.lit(0)).alias("flags"), *more,
         )
-        return conform(rows, "metrics")
+        return conform(rows, "metrics", keep)
 
     temporality = enum(F.col("k.aggregationTemporality"), TEMPORALITY).alias("aggregation_temporality")
     exemplars = exemplars_json(F.col("p.exemplars")).alias("exemplars")

@@ -2,15 +2,19 @@
 
 Partitions are event dates (UTC), so a time-bounded scan prunes exactly; rows of any
 age may be appended, by batches and streams alike. A table is a set of plain files, so
-appends, micro-batches and maintenance can be mixed, and compaction replaces only the
-files that it has read.
+appends, micro-batches and maintenance can be mixed. Each of them is one change in the
+table's ledger (``otelframe.sources.ledger``): it happens as a whole or not at all, a
+change that broke off is finished by the next one, and scans see it as done. A batch
+that comes again is left out, also when its files have been compacted since.
 
 The tenant is a column of the stored rows (``TENANT``), so that a reader's tenant filter
-reaches the scan.
+reaches the scan. Sets of traces and names by day (``otelframe.sources.days``) are kept
+beside the rows, so that a lookup by trace id reads only that trace's days.
 """
 
 from __future__ import annotations
 
+import datetime
 import re
 import uuid
 
@@ -21,6 +25,8 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from otelframe.functions.attrs import TENANT_KEY, attr
 from otelframe.functions.window import MINUTE, TimeWindow, duration
 from otelframe.schemas import SCHEMAS, SORT_KEYS, TIME_COLUMN, conform
+from otelframe.sources import days
+from otelframe.sources.ledger import Change, Files, Ledger
 
 SLACK = 60 * MINUTE
 #: A partition with fewer rows a file than this is fragmented.
@@ -47,104 +53,151 @@ def stored(df: DataFrame, signal: str) -> DataFrame:
     return rows.hint("rebalance", "date")  # few files a day; a large day is split
 
 
-def append(df: DataFrame, root: str, signal: str) -> None:
-    """Append rows to a signal's table; Spark's committer makes them visible at once."""
-    utc(df.sparkSession)
-    stored(df, signal).write.mode("append").partitionBy("date").option("compression", "zstd").parquet(f"{root}/{signal}")
+def _write(rows: DataFrame, staged: str) -> None:
+    rows.write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(staged)
 
 
-def append_batch(df: DataFrame, root: str, signal: str, batch: str) -> None:
-    """Append a micro-batch once. It is staged first, then its files are moved into the
-    table under the batch's name; a batch that is written again replaces what an earlier
-    try of it has left in its date folders."""
-    spark = df.sparkSession
-    utc(spark)
-    name = re.sub(r"[^A-Za-z0-9-]", "-", batch)
-    staged = f"{root}/.batch-{signal}-{name}"
-    stored(df, signal).write.mode("overwrite").partitionBy("date").option("compression", "zstd").parquet(staged)
-    fs = _fs(spark, root)
-    days = {f.rsplit("/", 2)[1] for f in _files(spark, staged)}
-    for found in _files(spark, f"{root}/{signal}", days):
-        if f"/batch-{name}-" in found:  # of a try that broke off
-            fs.delete(_path(spark, found), False)
-    _move(spark, staged, f"{root}/{signal}", f"batch-{name}")
-    _delete(spark, staged)
+def _listed(spark: SparkSession, path: str, names: set[str] | None = None) -> list[str]:
+    """Data files of a table's date folders, or of those in ``names``."""
+    found = Files(spark, path).matching(f"{path}/date=*/*.parquet")
+    return sorted(f for f in found if names is None or f.rsplit("/", 2)[1] in names)
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def _staged(df: DataFrame, ledger: Ledger, root: str, signal: str, name: str) -> Change:
+    """Write rows to a change's folder, and add their keys to the sets of the table."""
+    spark, staged = df.sparkSession, ledger.stage(name)
+    _write(stored(df, signal), staged)
+    files = _listed(spark, staged)
+    if files:
+        days.add(spark.read.schema(_stored_schema(signal)).parquet(staged), root, signal)
+    return Change(name, staged, [[f, f"{root}/{signal}/{f.rsplit('/', 2)[1]}/{name}-{n:05d}.zstd.parquet"] for n, f in enumerate(files)], [])
 
 
-def _fs(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+def _commit(ledger: Ledger, change: Change) -> None:
+    ledger.record(change)
+    ledger.finish(change)
+
+
+def append(df: DataFrame, root: str, signal: str) -> None:
+    """Append rows to a signal's table; they become visible at once."""
+    utc(df.sparkSession)
+    ledger = Ledger(df.sparkSession, root, signal)
+    _commit(ledger, _staged(df, ledger, root, signal, f"append-{uuid.uuid4().hex}"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    return _fs(spark, path).exists(_path(spark, path))
+def append_batch(df: DataFrame, root: str, signal: str, batch: str) -> bool:
+    """Append a micro-batch once. ``batch`` is the stream's name, ``-`` and the batch's
+    number, which grows. False if that batch, or a later one of its stream, is in the table:
+    then nothing is written. A try that broke off is finished or begun again."""
+    spark = df.sparkSession
+    utc(spark)
+    name = re.sub(r"[^A-Za-z0-9-]", "-", batch)
+    stream, _, number = name.rpartition("-")
+    if not stream or not number.isdigit():
+        stream, number = name, "0"
+    ledger = Ledger(spark, root, signal)
+    ledger.recover()
+    if ledger.last(stream) >= int(number):
+        return False
+    change = _staged(df, ledger, root, signal, f"batch-{name}")
+    _commit(ledger, change._replace(batch=stream, number=int(number)))
+    return True
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    _fs(spark, path).delete(_path(spark, path), True)
+def _stored_schema(signal: str) -> StructType:
+    return StructType([*SCHEMAS[signal].fields, StructField(TENANT, StringType()), StructField("date", DateType())])
 
 
-def _files(spark: SparkSession, path: str, days: set[str] | None = None) -> list[str]:
-    """Data files of the date folders of a table, or of those in ``days``."""
-    fs = _fs(spark, path)
-    if not fs.exists(_path(spark, path)):
-        return []
-    folders = [s.getPath() for s in fs.listStatus(_path(spark, path)) if s.getPath().getName().startswith("date=")]
-    folders = [d for d in folders if days is None or d.getName() in days]
-    return [f.getPath().toString() for d in folders for f in fs.listStatus(d) if f.getPath().getName().endswith(".parquet")]
+def _move(ledger: Ledger, change: Change) -> None:
+    """Publish a compaction."""
+    _commit(ledger, change)
 
 
-def _move(spark: SparkSession, staged: str, table: str, name: str) -> None:
-    """Move staged files into the table's date folders under names of their own."""
-    fs = _fs(spark, table)
-    for n, source in enumerate(sorted(_files(spark, staged))):
-        folder = f"{table}/{source.rsplit('/', 2)[1]}"
-        fs.mkdirs(_path(spark, folder))
-        if not fs.rename(_path(spark, source), _path(spark, f"{folder}/{name}-{n:05d}.zstd.parquet")):
-            raise OSError(f"cannot move {source} into {folder}")
+def _place(column: str = "_metadata.file_path"):
+    """Date folder and name of a file."""
+    return F.substring_index(F.col(column), "/", -2)
 
 
 def _table(spark: SparkSession, root: str, signal: str) -> DataFrame:
-    fields = [*SCHEMAS[signal].fields, StructField(TENANT, StringType()), StructField("date", DateType())]
-    return spark.read.schema(StructType(fields)).parquet(f"{root}/{signal}")
+    """All rows, with the place of their file. While a change is open (its writer broke off,
+    or is at work), its replaced files are left out and those not yet moved are read where
+    they are staged."""
+    path, schema = f"{root}/{signal}", _stored_schema(signal)
+    files = Files(spark, root)
+    changes = Ledger(spark, root, signal).open_changes()
+    parts = []
+    if files.exists(path):
+        rows = spark.read.schema(schema).parquet(path)
+        replaced = [("/".join(f.rsplit("/", 2)[1:]),) for c in changes for f in c.replaced]
+        rows = rows.select("*", _place().alias("_file"))
+        if replaced:
+            rows = rows.join(spark.createDataFrame(replaced, "_file string"), "_file", "left_anti").select(rows.columns)
+        parts.append(rows)
+    for c in changes:
+        waiting = [source for source, target in c.moves if not files.exists(target)]
+        if waiting:
+            parts.append(spark.read.schema(schema).option("basePath", c.staged).parquet(*waiting).select("*", _place().alias("_file")))
+    if not parts:
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("_file", StringType())]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def day_names(spark: SparkSession, root: str, signal: str) -> list[str]:
+    """Days that have rows (``2024-01-31``), from the names of folders."""
+    path = f"{root}/{signal}"
+    found = {n[5:] for n in Files(spark, path).names(path) if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n)}
+    found |= {target.rsplit("/", 2)[1][5:] for c in Ledger(spark, root, signal).open_changes() for _, target in c.moves}
+    return sorted(found)
 
 
-def scan(spark: SparkSession, root: str, signal: str, since: int | None = None, until: int | None = None, tenant: str | None = None, keep_date: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, signal: str, since: int | None = None, until: int | None = None, tenant: str | None = None, keep_date: bool = False, dates: list[str] | None = None, keep_tenant: bool = False) -> DataFrame:
     """All rows of a signal under its full schema (missing columns are absent values), an
     empty table where there is none.
 
     ``since`` and ``until`` (micros) prune dates, with an hour of slack; they are no row
-    filters. ``tenant`` keeps one tenant's rows by the stored column, which reaches the
-    files. ``keep_date`` leaves the partition column in the result.
+    filters; ``dates`` are the only days read. ``tenant`` keeps one tenant's rows by the
+    stored column, which reaches the files. ``keep_date`` and ``keep_tenant`` leave the
+    partition column and the stored tenant in the result.
     """
-    schema = SCHEMAS[signal]
-    if not _exists(spark, f"{root}/{signal}"):
-        return spark.createDataFrame([], StructType([*schema.fields, StructField("date", DateType())]) if keep_date else schema)
     rows = _table(spark, root, signal)
     if since is not None:
         rows = rows.where(F.col("date") >= F.to_date(F.timestamp_micros(F.lit(since - SLACK))))
     if until is not None:
         rows = rows.where(F.col("date") <= F.to_date(F.timestamp_micros(F.lit(until + SLACK))))
+    if dates is not None:
+        rows = rows.where(F.col("date").isin([datetime.date.fromisoformat(d) for d in dates]))
     if tenant is not None:
         rows = rows.where(F.col(TENANT) == tenant)
-    return conform(rows, signal, ["date"] if keep_date else [])
+    return conform(rows, signal, ["date"] * keep_date + [TENANT] * keep_tenant)
+
+
+def of_traces(spark: SparkSession, root: str, signal: str, trace_ids: list[str], tenant: str | None = None) -> DataFrame:
+    """The rows of some traces. Only the days that hold them are read, and in these only
+    row groups that may have their ids; no time is needed."""
+    rows = scan(spark, root, signal, tenant=tenant, dates=days.of_traces(spark, root, signal, trace_ids), keep_tenant=tenant is not None)
+    return rows.where(F.col("trace_id").isin(trace_ids))
+
+
+def names(spark: SparkSession, root: str, signal: str) -> DataFrame:
+    """Distinct tenant, service_name (and metric_name) of all rows, from the day sets."""
+    live = [datetime.date.fromisoformat(d) for d in day_names(spark, root, signal)]
+    found = days.read(spark, root, signal, "names").where(F.col("date").isin(live))
+    return found.drop("date").distinct()
 
 
 def windowed(spark: SparkSession, root: str, signal: str, window: TimeWindow, tenant: str | None = None) -> DataFrame:
-    """The rows that a search or metric query over ``window`` can need: only the days of
-    the window are listed and read."""
-    return scan(spark, root, signal, window.start, window.end if window.until else None, tenant)
+    """The rows that a search or metric query over ``window`` can need, with their stored
+    tenant: only the days of the window are listed and read, and the query's tenant filter
+    reaches the files."""
+    return scan(spark, root, signal, window.start, window.end if window.until else None, tenant, keep_tenant=True)
 
 
 def partitions(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """date, files, rows of each partition."""
-    if not _exists(spark, f"{root}/{signal}"):
-        return spark.createDataFrame([], "date date, files long, rows long")
-    rows = _table(spark, root, signal).select("date", F.col("_metadata.file_path").alias("file"))
-    by_file = rows.groupBy("date", "file").agg(F.count(F.lit(1)).alias("n"))
+    by_file = _table(spark, root, signal).groupBy("date", "_file").agg(F.count(F.lit(1)).alias("n"))
     return by_file.groupBy("date").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
 
 
@@ -154,30 +207,30 @@ def fragmented(spark: SparkSession, root: str, signal: str, least: int = LEAST_F
 
 
 def compact(spark: SparkSession, root: str, signal: str, dates: DataFrame, rows_per_file: int = 5_000_000) -> None:
-    """Rewrite the partitions in ``dates`` (date) as few files, sorted by the signal's keys.
+    """Rewrite the partitions in ``dates`` (date) as few files, sorted by the signal's keys,
+    and fold the day sets.
 
-    The files of these partitions are listed first, and only they are read; their rows are
-    staged, moved into the table under new names, and then the files read are deleted. What
-    is appended in the meantime is another file and stays. A reader that lists between the
-    move and the deletion sees rows twice; maintenance of one table runs once at a time.
+    Changes that broke off are finished first. The files of these partitions are listed, and
+    only they are read; their rows are staged, and one change in the ledger replaces the files
+    read by them: at every moment a scan sees the rows once. What is appended in the meantime
+    is another file and stays. Maintenance of one table runs once at a time.
     """
     path = f"{root}/{signal}"
+    ledger = Ledger(spark, root, signal)
+    ledger.recover(maintenance=True)
     wanted = {f"date={r.date}" for r in dates.select("date").distinct().collect()}  # calendar days
-    files = _files(spark, path, wanted)
+    files = _listed(spark, path, wanted)
     if not files:
         return
-    read = _table(spark, root, signal).schema
-    rows = spark.read.schema(read).option("basePath", path).parquet(*files)
+    rows = spark.read.schema(_stored_schema(signal)).option("basePath", path).parquet(*files)
     counted = rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("pieces"))
     dealt = rows.join(F.broadcast(counted), "date").withColumn("_piece", F.pmod(F.xxhash64(*SORT_KEYS[signal]), F.col("pieces")))
     name = f"compact-{uuid.uuid4().hex}"
-    staged = f"{root}/.{name}"
-    dealt.repartition("date", "_piece").drop("_piece", "pieces").sortWithinPartitions("date", *SORT_KEYS[signal]).write.partitionBy("date").option("compression", "zstd").parquet(staged)
-    _move(spark, staged, path, name)
-    fs = _fs(spark, path)
-    for f in files:
-        fs.delete(_path(spark, f), False)
-    _delete(spark, staged)
+    staged = ledger.stage(name)
+    _write(dealt.repartition("date", "_piece").drop("_piece", "pieces").sortWithinPartitions("date", *SORT_KEYS[signal]), staged)
+    moves = [[f, f"{path}/{f.rsplit('/', 2)[1]}/{name}-{n:05d}.zstd.parquet"] for n, f in enumerate(_listed(spark, staged))]
+    _move(ledger, Change(name, staged, moves, files))
+    days.fold(spark, root, signal, day_names(spark, root, signal))
     spark.catalog.refreshByPath(path)
 
 
@@ -195,25 +248,20 @@ def compact_recent(spark: SparkSession, root: str, signal: str, as_of: int) -> N
 
 def expired(spark: SparkSession, root: str, signal: str, keep: str, as_of: int) -> list[str]:
     """Names of date folders that end before ``as_of - keep``; others are no dates."""
-    path = f"{root}/{signal}"
-    if not _exists(spark, path):
-        return []
-    names = [s.getPath().getName() for s in _fs(spark, path).listStatus(_path(spark, path))]
-    dates = [(n,) for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n)]
-    if not dates:
-        return []
-    limit = as_of - duration(keep)
-    found = spark.createDataFrame(dates, "name string").where(F.unix_micros(F.to_timestamp(F.substring("name", 6, 10))) + DAY <= limit)
-    return sorted(r.name for r in found.collect())
+    limit = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=as_of - duration(keep))
+    ends = {n: datetime.datetime.fromisoformat(n) + datetime.timedelta(days=1) for n in day_names(spark, root, signal)}
+    return [f"date={n}" for n, end in sorted(ends.items()) if end <= limit]
 
 
 def retain(spark: SparkSession, root: str, keep: str, as_of: int) -> dict[str, list[str]]:
     """Drop partitions older than ``keep`` (such as "30d") of every signal."""
     utc(spark)
-    gone = {signal: expired(spark, root, signal, keep, as_of) for signal in SCHEMAS}
-    for signal, names in gone.items():
-        for name in names:
-            _delete(spark, f"{root}/{signal}/{name}")
-        if names:
+    gone = {}
+    for signal in SCHEMAS:
+        Ledger(spark, root, signal).recover()
+        gone[signal] = expired(spark, root, signal, keep, as_of)
+        for name in gone[signal]:
+            Files(spark, root).delete(f"{root}/{signal}/{name}")
+        if gone[signal]:
             spark.catalog.refreshByPath(f"{root}/{signal}")
     return gone

@@ -167,16 +167,14 @@ def _(s, spark):
 
 # ---- streams ----
 
-#: Every seventh line is cut off, is of another signal, or is no object.
-_LINE = F.pmod("timestamp", F.lit(7))
-
-
 @query("x01_streamed_lines", """select 'row' as kind, service_name as name, count(*) as n from logs where timestamp % 7 > 2 group by 2
 union all select 'rejected', case timestamp % 7 when 0 then 'not JSON' when 1 then 'no resourceLogs' else 'not an object' end, count(*) from logs where timestamp % 7 <= 2 group by 2""")
 def _(s, spark):
-    """Lines through the stream: rows of good ones, causes of the others, each line once."""
+    """Lines through the stream: rows of good ones, causes of the others, each line once.
+    Of seven lines one is cut off, one is of another signal, and one is no object."""
     folder = new_folder(spark)
-    lines = _log_lines(s["logs"].withColumn("resource_attributes", F.concat(F.lit('{"_":"'), _LINE.cast("string"), F.lit('",'), F.substring("resource_attributes", 2, 1 << 20))))
+    kind = F.pmod("timestamp", F.lit(7)).cast("string")
+    lines = _log_lines(s["logs"].withColumn("resource_attributes", F.concat(F.lit('{"_":"'), kind, F.lit('",'), F.substring("resource_attributes", 2, 1 << 20))))
     nth = F.regexp_extract("value", r'"key":"_","value":\{"stringValue":"(\d)"', 1)
     broken = F.when(nth == "0", F.expr("left(value, length(value) - 3)")).when(nth == "1", F.lit('{"resourceSpans":[]}')).when(nth == "2", F.lit('["resourceLogs"]')).otherwise(F.col("value"))
     lines.select(broken.alias("value")).write.text(f"{folder}/in")

@@ -28,10 +28,10 @@ def _run(spark: SparkSession, name: str, sql: str, out: str | None, limit: float
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(limit, stop) if limit else None
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
     try:
         if timer:
@@ -49,7 +49,7 @@ def _run(spark: SparkSession, name: str, sql: str, out: str | None, limit: float
     finally:
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
     return name, rows, columns, error, time.time() - began
 
@@ -59,7 +59,8 @@ def run_suite(spark: SparkSession, saved: DataFrame, out: str | None = None, at_
     columns, error, seconds. Result rows go to ``out``, one folder a query, as JSON text.
     A query that fails, or takes more than ``limit`` seconds and is stopped, does not touch
     the others; each has a scheduler pool of its own (fair where
-    ``spark.scheduler.mode`` is FAIR). The suite itself is a short list, read to the driver."""
+    ``spark.scheduler.mode`` is FAIR; else a query also waits for the tasks of those before
+    it, and that time counts). The suite itself is a short list, read to the driver."""
     queries = saved.select("name", "sql").orderBy("name").collect()
     with ThreadPoolExecutor(max(1, at_once)) as threads:
         done = list(threads.map(lambda q: _run(spark, q.name, q.sql, out, limit, f"suite-{q.name}"), queries))

@@ -23,7 +23,7 @@ from otelframe.schemas import conform
 _ANY = "stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, bytesValue: string"
 #: Levels of arrays and key-value lists that are read by expressions; deeper ones are made
 #: plain before.
-DEPTH = 6
+DEPTH = 3
 # arrays and lists are text at first, and parsed level by level
 _VALUE = f"struct<{_ANY}, arrayValue: string, kvlistValue: string>"
 _KV = f"array<struct<key: string, value: {_VALUE}>>"

@@ -60,7 +60,7 @@ def test_a_batch_is_there_once_wherever_it_breaks_off(spark, tmp_path, logs):
     part = lambda k: logs.where((F.pmod("timestamp", F.lit(2)) == k) & (F.col("timestamp") < T0 + 2 * store.DAY))
     everything = sorted(r.body for r in part(0).unionByName(part(1)).collect())
     broke = 0
-    for n in range(0, 40, 2):
+    for n in range(0, 40, 3):
         root = str(tmp_path / f"r{n}")
         store.append_batch(part(0), root, "logs", "s-0")
         first = bodies(spark, root)
@@ -102,8 +102,8 @@ def test_rows_stay_wherever_a_compaction_breaks_off(spark, tmp_path, logs):
         assert bodies(spark, root) == everything and store.partitions(spark, root, "logs").where("files > 1").count() == 0
         if ended:
             break
-        n += 3
-    assert n > 6
+        n += 6
+    assert n >= 6
 
 
 def files_read(df):
@@ -255,11 +255,11 @@ def test_sketches_merge(spark):
 
 
 def test_an_endless_query_ends_alone(spark):
-    saved = [("a", "select 1 as x"), ("endless", "select count(*) as n from range(1000000000) a join range(1000000000) b on pmod(a.id * b.id, 7) = 1"), ("z", "select 2 as y, 3 as w")]
+    saved = [("a", "select 1 as x"), ("endless", "select id from range(0, 4000000000, 1, 2000) where sha2(cast(id as string), 512) = 'x'"), ("z", "select 2 as y, 3 as w")]
     began = time.time()
-    done = {r.name: r for r in run_suite(spark, spark.createDataFrame(saved, "name string, sql string"), at_once=2, limit=15).collect()}
+    done = {r.name: r for r in run_suite(spark, spark.createDataFrame(saved, "name string, sql string"), at_once=1, limit=8).collect()}
     assert done["a"].rows == done["z"].rows == 1 and done["z"].columns == ["y", "w"]
-    assert done["endless"].rows is None and done["endless"].error == "stopped after 15 s" and time.time() - began < 90
+    assert done["endless"].rows is None and done["endless"].error == "stopped after 8 s" and time.time() - began < 90
 
 
 def test_giant_traces_are_ranked_in_slices(spark):
@@ -284,7 +284,7 @@ def test_values_of_twenty_levels(spark):
     def plain(n):
         return 2.5 if not n else {f"k{n}": plain(n - 1), "z": 4} if n % 2 else [plain(n - 1), 'q"é', None]
 
-    for n in (5, 6, 7, 8, 20):
+    for n in (3, 4, 20):
         record = {"body": typed(n), "attributes": [{"key": "a", "value": typed(n)}, {"key": "b", "value": {"arrayValue": {"values": []}}}]}
         lines = spark.createDataFrame([(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record]}]}]}),)], "value string")
         row = otlp.flatten_logs(lines).first()

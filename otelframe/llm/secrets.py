@@ -13,13 +13,17 @@ whether it could be random in that alphabet:
 
 A run that no test rejects (at ALPHA with three tests) may be random, or may be
 ordinary text too short for the tests to tell. So each such run is rated on its own: by
-the likelihood ratio of its symbols under equal frequencies against the frequencies in
-the corpus's ordinary runs, those that the tests reject. An ordinary run reaches a ratio
-of r with chance 1 / r at most, so ratios are e-values, and discoveries are controlled in
-each stratum of encoding and length by the step-up rule for e-values: of m runs, the k
-best are reported if the k-th has a ratio of m / (fdr k) or more. Longer runs give larger
-ratios, so a key stands out among any number of ordinary runs, and where runs are too
-short for that none is reported. Runs are counted once, however often they occur.
+the likelihood ratio of the run under equal frequencies against a model of the corpus's
+ordinary runs; a run that a test rejects has a ratio of 0. The model takes a symbol to
+depend on its kind (upper case, lower case, digit, sign) and a kind on the one before: in
+ordinary runs kinds come in stretches, in random ones they change all the time. It is
+counted for each encoding over the corpus's distinct words below the length of candidates
+and the longer runs that the tests reject. An ordinary run reaches a ratio of r with chance
+1 / r at most, so ratios are e-values, and discoveries are controlled in each stratum of
+encoding and length by the step-up rule for e-values: of m runs, the k best are reported if
+the k-th has a ratio of m / (fdr k) or more. Longer runs give larger ratios, so a key
+stands out among any number of ordinary runs, and where runs are too short for that none is
+reported. Runs are counted once, however often they occur.
 """
 
 from __future__ import annotations
@@ -50,9 +54,13 @@ ENCODINGS = (
 )
 ALPHA = 0.01
 FDR = 0.05
-# Shares of lower case, upper case, digits and signs in ordinary runs, before
-# any run is counted, and how many symbols that belief weighs.
-LOWER_SHARE, UPPER_SHARE, DIGIT_SHARE, SIGN_SHARE, BELIEF = 0.7, 0.15, 0.1, 0.05, 64
+#: Words that the model of ordinary runs is counted over: of this form, below the length of candidates.
+WORD, BELOW = r"[A-Za-z0-9+/_-]{4,}", 20
+#: Kinds of symbols; ^ stands before a run.
+KINDS = "ULDS"
+#: Symbols and steps that what all encodings have in common weighs in the model of one, and
+#: the share of changes of kind, and its weight, that is taken before any word is counted.
+BELIEF, CHANGE, CHANGE_BELIEF = 64, 0.1, 10
 #: Ratios are taken as whole powers of e, and no larger than this one.
 MOST_POWER = 200
 BLOCK = 64
@@ -188,30 +196,82 @@ def scanned(docs: DataFrame, text_column: str, carry: list[Column]) -> DataFrame
     return materialize(rows.select("carry", *[k for k, _, _ in BASE], "tested"))
 
 
-def symbol_weights(runs: DataFrame) -> dict[str, list[float]]:
-    """For each encoding and symbol: the logarithm of its share in a random run over its
-    share in ordinary ones. At most 64 symbols an encoding reach the driver."""
-    symbols = runs.where(F.col("p") < ALPHA).select("enc", F.explode(F.filter(F.split("body", ""), lambda x: x != "")).alias("symbol"))
-    counts = {(r.enc, r.symbol): r.n for r in symbols.groupBy("enc", "symbol").agg(F.count(F.lit(1)).alias("n")).collect()}
+def symbols_of(body: Column) -> Column:
+    return F.filter(F.split(body, ""), lambda x: x != "")
+
+
+def kinds_of(body: Column) -> Column:
+    """The kind of each symbol, as a text that begins with ^."""
+    return F.concat(F.lit("^"), F.translate(body, UPPER + LOWER + DIGITS + "+/-_", "U" * 26 + "L" * 26 + "D" * 10 + "SSSS"))
+
+
+def steps_of(kinds: Column) -> Column:
+    """Pairs of neighbouring kinds."""
+    return F.transform(F.sequence(F.lit(1), F.length(kinds) - 1), lambda i: F.substring(kinds, i, F.lit(2)))
+
+
+def ordinary_counts(texts: DataFrame, runs: DataFrame) -> dict[tuple[str, str], int]:
+    """Occurrences, by encoding, of symbols and of steps (pairs of kinds, of runs with two
+    kinds or more) in ordinary runs, and of steps with one kind of letters (under "", of
+    runs with letters and digits only). Some 500 numbers reach the driver."""
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    words = words.where((F.length("w") < BELOW) & ~F.col("w").rlike("^[0-9]+$")).distinct()
+    words = words.select(inferred(F.col("w")).alias("enc"), F.translate("w", "-_", "+/").alias("body"))
+    held = words.unionByName(runs.where(F.col("p") < ALPHA).select("enc", "body")).withColumn("kinds", kinds_of(F.col("body")))
+    none = F.array().cast("array<string>")
+    steps = F.when(F.col("kinds").rlike("^.(U*|L*|D*|S*)$"), none).otherwise(steps_of(F.col("kinds")))
+    folded = F.when(F.col("kinds").rlike("D") & F.col("kinds").rlike("[UL]") & ~F.col("kinds").rlike("S"), steps_of(F.translate("kinds", "L", "U"))).otherwise(none)
+    mine = F.transform(F.concat(symbols_of(F.col("body")), steps), lambda x: F.struct(F.col("enc").alias("enc"), x.alias("token")))
+    common = F.transform(folded, lambda x: F.struct(F.lit("").alias("enc"), x.alias("token")))
+    counts = held.select(F.explode(F.concat(mine, common)).alias("x")).groupBy("x.enc", "x.token").agg(F.count(F.lit(1)).alias("n"))
+    return {(r.enc, r.token): r.n for r in counts.collect()}
+
+
+def ordinary_weights(counts: dict[tuple[str, str], int]) -> dict[str, tuple[list[float], list[float]]]:
+    """For each encoding, the logarithms that sum up to that of a run's ratio: of its
+    symbols (in the order of the alphabet), and of the steps from ^ULDS to ULDS."""
     out = {}
     for name, _, alphabet in ENCODINGS:
-        kinds = [LOWER if x in LOWER else UPPER if x in UPPER else DIGITS if x in DIGITS else "" for x in alphabet]
-        share = {LOWER: LOWER_SHARE, UPPER: UPPER_SHARE, DIGITS: DIGIT_SHARE, "": SIGN_SHARE}
-        belief = [share[k] / kinds.count(k) for k in kinds]
-        held = [counts.get((name, x), 0) + BELIEF * b / sum(belief) for x, b in zip(alphabet, belief)]
-        out[name] = [math.log(sum(held) / (len(alphabet) * h)) for h in held]
+        one_case = LOWER[0] not in alphabet
+        fold = (lambda t: t.replace("L", "U") if len(t) == 2 else t.upper()) if one_case else (lambda t: t)
+        own: dict[str, float] = {}
+        common: dict[str, float] = {}
+        for (enc, token), n in counts.items():
+            if enc == name:
+                own[fold(token)] = own.get(fold(token), 0) + n
+            # steps in common: with one kind of letters only where the alphabet has one
+            if len(token) == 1 or one_case == (enc == ""):
+                common[fold(token)] = common.get(fold(token), 0) + n
+        kind = {x: "L" if x in LOWER else "U" if x in UPPER else "D" if x in DIGITS else "S" for x in alphabet}
+        kinds = [k for k in KINDS if k in kind.values()]
+        symbols = []
+        for x in alphabet:
+            peers = [y for y in alphabet if kind[y] == kind[x]]
+            share = lambda y: (common.get(y, 0) + 1) / sum(common.get(z, 0) + 1 for z in peers)
+            q = (own.get(x, 0) + BELIEF * share(x)) / (sum(own.get(y, 0) for y in peers) + BELIEF)
+            symbols.append(-math.log(len(alphabet) * q))
+        steps = []
+        for before in "^" + KINDS:
+            first = lambda k: 1 / len(kinds) if before == "^" or len(kinds) == 1 else 1 - CHANGE if k == before else CHANGE / (len(kinds) - 1)
+            held = {k: common.get(before + k, 0) + CHANGE_BELIEF * first(k) for k in kinds}
+            belief = {k: held[k] / sum(held.values()) for k in kinds}
+            mine = {k: own.get(before + k, 0) + BELIEF * belief[k] for k in kinds}
+            steps += [-math.log(mine[k] / sum(mine.values())) if k in kinds else 0.0 for k in KINDS]
+        out[name] = (symbols, steps)
     return out
 
 
-def power_of(run: Column, weights: dict[str, list[float]]) -> Column:
+def power_of(run: Column, weights: dict[str, tuple[list[float], list[float]]]) -> Column:
     """Whole part of the logarithm of a run's likelihood ratio, MOST_POWER at most."""
-    table = _choice(run["enc"], [(name, F.array(*map(F.lit, w))) for name, w in weights.items()])
+    table, steps = (_choice(run["enc"], [(name, F.array(*map(F.lit, w[i]))) for name, w in weights.items()]) for i in (0, 1))
     alphabet = _choice(run["enc"], [(name, F.lit(a)) for name, _, a in ENCODINGS])
-    total = _sum(F.transform(F.filter(F.split(run["body"], ""), lambda x: x != ""), lambda x: F.element_at(table, F.instr(alphabet, x))))
+    total = _sum(F.transform(symbols_of(run["body"]), lambda x: F.element_at(table, F.instr(alphabet, x))))
+    place = lambda x: (F.instr(F.lit("^" + KINDS), F.substring(x, 1, 1)) - 1) * len(KINDS) + F.instr(F.lit(KINDS), F.substring(x, 2, 1))
+    total = total + _sum(F.transform(steps_of(kinds_of(run["body"])), lambda x: F.element_at(steps, place(x))))
     return F.floor(F.least(F.lit(float(MOST_POWER)), F.greatest(F.lit(-1.0), total))).cast("int")
 
 
-def thresholds(runs: DataFrame, weights: dict[str, list[float]], fdr: float = FDR) -> dict[str, int]:
+def thresholds(runs: DataFrame, weights: dict[str, tuple[list[float], list[float]]], fdr: float = FDR) -> dict[str, int]:
     """For each stratum the least power that is reported. What reaches the driver is a
     number of runs for each stratum and power: at most 62 strata an encoding."""
     passed = F.when(F.col("p") >= ALPHA, power_of(F.struct("enc", "body"), weights)).otherwise(-1)
@@ -239,7 +299,7 @@ def find_secrets(docs: DataFrame, text_column: str = "text", carry: list[Column]
     """
     found = scanned(docs, text_column, carry or [F.col("doc_id")])
     runs = materialize(found.select(F.explode("tested").alias("t")).select("t.*").groupBy("h").agg(*[F.first(c).alias(c) for c in ("enc", "cls", "body", "p")]))
-    weights = symbol_weights(runs)
+    weights = ordinary_weights(ordinary_counts(docs.select(text_or_empty(text_column).alias("text")), runs))
     least = thresholds(runs, weights, fdr)
     reported = lambda t: (t["p"] >= ALPHA) & (power_of(t, weights) >= F.coalesce(_choice(t["cls"], [(c, F.lit(n)) for c, n in sorted(least.items())]), F.lit(MOST_POWER + 1)))
     random = F.filter("tested", reported) if least else F.slice("tested", 1, 0)

@@ -222,3 +222,54 @@ def test_registered_queries_import():
 @pytest.mark.parametrize("name", ["language_id", "line_dedup", "ngram_jaccard", "secret_scan", "best_fit_packing"])
 def test_stage_names(name):
     assert name in dict(corpus_pipeline.STAGES) and jaccard is not None
+
+
+def identifiers(n, seed):
+    """Names as programs have them, of 20 characters or more: snake, camel and kebab case,
+    constants, paths, with numbers, versions and codes among the words."""
+    rng = np.random.default_rng(seed)
+    words = "user account request handler get set update config value index table column buffer stream parse token list node service client error retry timeout batch worker queue cache map key total count byte image audio model train test data report invoice order line item price stock region nation supplier".split()
+    numbers = ["2", "v3", "2024", "utf8", "x86", "h264", "01", "sha256", "b2b", "mp3"]
+    out = []
+    while len(out) < n:
+        parts = [str(rng.choice(words)) for _ in range(rng.integers(3, 7))]
+        if rng.random() < 0.4:
+            parts[rng.integers(1, len(parts))] = str(rng.choice(numbers))
+        form = rng.integers(0, 6)
+        name = (
+            "_".join(parts), "-".join(parts), "/".join(parts), "_".join(parts).upper(), parts[0] + "".join(p.title() for p in parts[1:]), "".join(p.upper() for p in parts),
+        )[form]
+        if len(name) >= 20:
+            out.append(name)
+    return out
+
+
+ALPHABETS = {"upper_hex": "0123456789ABCDEF", "base32": secrets.UPPER + "234567", "base62": secrets.UPPER + secrets.LOWER + secrets.DIGITS, "base64": secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/"}
+
+
+def recall_of_runs(spark, prose, lengths=(24, 32, 40, 64), each=20, seed=11):
+    """Share of planted random runs found, by encoding and length, and false reports."""
+    rng = np.random.default_rng(seed)
+    planted, rows = {}, [(i, t) for i, t in enumerate(prose)]
+    for name, alphabet in ALPHABETS.items():
+        for n in lengths:
+            for _ in range(each):
+                planted[len(rows)] = name, n
+                rows.append((len(rows), "the value " + "".join(rng.choice(list(alphabet), n)) + " was sent"))
+    names = identifiers(20_000, seed)
+    rows += [(len(rows) + i, "call " + " and ".join(names[k : k + 10]) + " now") for i, k in enumerate(range(0, len(names), 10))]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("exists(spans, s -> s.kind_no = 3)").collect()
+    hits, false = {}, 0
+    for r in found:
+        if r.doc_id in planted:
+            hits[planted[r.doc_id]] = hits.get(planted[r.doc_id], 0) + 1
+        else:
+            false += 1
+    return {k: hits.get(k, 0) / each for k in sorted(set(planted.values()))}, false
+
+
+def test_recall_of_random_runs_by_encoding_and_length(spark, texts):
+    recall, false = recall_of_runs(spark, texts.values())
+    assert false == 0
+    for (name, n), share in recall.items():
+        assert share >= (0.9 if n >= 32 else 0.7), recall

@@ -129,8 +129,11 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_column: st
             ends = cuts(ids)
             parts = [payload(ids[a:b]) for a, b in zip([0, *ends], ends)]
             names = [name_of(p) for p in parts]
-            fresh = [k for k, x in enumerate(names) if x not in seen and names.index(x) == k]
-            seen.update(names)
+            fresh = []
+            for k, x in enumerate(names):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(k)
             out["n_tokens"].append(len(ids))
             out["root"].append(merkle(names))
             out["chunk_ids"].append(names)
@@ -147,10 +150,13 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 0, id_column: st
     write_parquet(fresh.groupBy("chunk_id").agg(F.first("data").alias("data")), store.chunks)
 
     recipes = staged.select("doc_id", "n_tokens", "root", "chunk_ids", "ends")
-    ranged = materialize(recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "n_tokens", "root").withColumn("part", F.spark_partition_id()))
+    # rows that are equal in all of these are interchangeable, and their number spreads them
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("root"), F.col("row")]
+    recipes = recipes.withColumn("row", F.monotonically_increasing_id())
+    ranged = materialize(recipes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "root")
+    within = Window.partitionBy("part").orderBy(*order)
     counted = ranged.withColumn("inside", F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     counted = counted.withColumn("range", ((F.row_number().over(within) - 1) / RANGE).cast("int"))
     placed = counted.join(F.broadcast(before), "part").select("part", "range", (F.col("before") + F.col("inside")).alias("start"), "doc_id", "n_tokens", "chunk_ids", "ends", "root")

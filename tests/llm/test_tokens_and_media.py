@@ -296,3 +296,25 @@ def test_audio_edges(edge, empty):
     same = {(r.n_bytes, r.payload_sha256): r.feature for r in rows}
     assert all(same[r.n_bytes, r.payload_sha256] == r.feature for r in rows)
     assert audio.described(audio.features(audio.store_media(empty))).count() == 0
+
+
+def test_packing_is_the_same_in_each_run(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i % 700, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 200, 3000))], "id long, piece int, start long, length long, ids_crc32 long").repartition(5, "id")
+    runs = [sorted(map(tuple, packing.pack(rows, capacity=256, block_pieces=500).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+
+
+def test_equal_documents_of_the_store_spread_over_ranges(spark):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # it would join so few rows again
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    rows = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "if(id < 2900, '', 'one more text') as text")
+    try:
+        store = token_store.write_store(rows, BYTES)
+    finally:
+        spark.conf.set(coalesce, before)
+    done = token_store.verify(spark, store).collect()
+    assert len(done) == 3000 and len({r.start for r in done}) == 3000
+    sizes = spark.read.parquet(store.recipes).groupBy("part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2900

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from otelframe.functions.attrs import attr
+from otelframe.functions.window import TimeWindow
 from otelframe.operators import compare, metrics, search, sketches, traces
 from otelframe.plans.analysis import (
     _E, _a, _nanos, _pairs, _r, _requests_of, _stored, ACME, EVENT, EVENTS, EVENTS_AT, GAUGE, GROUPS, LOGS, SCOPE, SPANS, SPANS_SQL, SUMMARY, TENANT, TRACE_109, histogram_sql, js, query,
@@ -306,6 +307,29 @@ def _(s, spark):
     return found.select(F.expr("unix_date(date)").cast("long").alias("day"), F.col("rows").alias("n"))
 
 
+@query("s18b_layout", "select cast(timestamp // 86400000000 as bigint) as day, count(*) as n, min(timestamp) as oldest, max(timestamp) as newest, true as counted from logs group by 1")
+def _(s, spark):
+    """Rows and range of times of each day, from the footers of two appends."""
+    root = new_folder(spark)
+    for k in (0, 1):
+        store.append(s["logs"].where(F.pmod("timestamp", F.lit(2)) == k), root, "logs")
+    found = store.layout(spark, root, "logs")
+    return found.select(F.expr("unix_date(date)").cast("long").alias("day"), F.col("rows").alias("n"), "oldest", "newest", F.expr("row_groups >= files and bytes > 0").alias("counted"))
+
+
+QUARTER = TimeWindow(EVENTS_AT, 18 * 60, 12 * 60)
+
+
+@query("s14b_quarter_of_a_day", f"select service_name, count(*) as n, min(timestamp) as oldest, max(timestamp) as newest from logs where {TENANT} and timestamp >= {QUARTER.start} and timestamp < {QUARTER.end} group by service_name")
+def _(s, spark):
+    """Six hours of a table to which each quarter of the days was appended by itself."""
+    root = new_folder(spark)
+    for k in range(4):
+        store.append(s["logs"].where((F.col("timestamp") % store.DAY) / F.lit(store.DAY // 4) >= k).where((F.col("timestamp") % store.DAY) / F.lit(store.DAY // 4) < k + 1), root, "logs")
+    found = store.within(spark, root, "logs", QUARTER, ACME)
+    return found.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+
+
 @query("a15_refused_aggregations", histogram_sql("event.delta", """select kind, agg, kind = 'summary' or agg in ('p50', 'buckets', 'median') as refused, (select count(*) from pts) as points
 from (values ('exponential_histogram'), ('summary')) k(kind), (values ('count'), ('avg'), ('p50'), ('buckets'), ('median')) a(agg)"""))
 def _(s, spark):

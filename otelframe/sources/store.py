@@ -25,7 +25,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from otelframe.functions.attrs import TENANT_KEY, attr
 from otelframe.functions.window import MINUTE, TimeWindow, duration
 from otelframe.schemas import SCHEMAS, SORT_KEYS, TIME_COLUMN, conform
-from otelframe.sources import days
+from otelframe.sources import days, footers
 from otelframe.sources.ledger import Change, Files, Ledger
 
 SLACK = 60 * MINUTE
@@ -195,6 +195,51 @@ def windowed(spark: SparkSession, root: str, signal: str, window: TimeWindow, te
     return scan(spark, root, signal, window.start, window.end if window.until else None, tenant, keep_tenant=True)
 
 
+def row_groups(spark: SparkSession, root: str, signal: str, names: set[str] | None = None) -> DataFrame:
+    """file, row_group, rows, bytes, least, most, date of a table's published files (of the
+    date folders ``names`` only), from their footers."""
+    found = footers.read(spark, _listed(spark, f"{root}/{signal}", names), TIME_COLUMN[signal])
+    return found.withColumn("date", F.to_date(F.regexp_extract("file", "date=([0-9-]+)", 1)))
+
+
+def layout(spark: SparkSession, root: str, signal: str) -> DataFrame:
+    """date, files, row_groups, rows, bytes, oldest, newest of each partition. Only footers
+    are read."""
+    by_day = row_groups(spark, root, signal).groupBy("date")
+    return by_day.agg(
+        F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("row_groups"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.min("least").alias("oldest"), F.max("most").alias("newest")
+    )
+
+
+def within(spark: SparkSession, root: str, signal: str, window: TimeWindow, tenant: str | None = None, slack: int = 0) -> DataFrame:
+    """The rows of a window, with their stored tenant. Of the window's days only the files
+    are read whose footers say that they may hold such a time, and of these only such row
+    groups, as the time filter reaches the reader.
+
+    Metric queries that look at the points before a window pass their ``slack`` (micros).
+    The names of one window's files reach the driver, as they do for any scan. While a
+    change is open the days are read whole.
+    """
+    utc(spark)
+    start, end = window.start - slack, window.end + slack if window.until else None
+    path, column = f"{root}/{signal}", TIME_COLUMN[signal]
+    name = lambda at: (datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=at)).date().isoformat()
+    if Ledger(spark, root, signal).open_changes():
+        rows = scan(spark, root, signal, start, end, tenant, keep_tenant=True)
+    else:
+        held = {f"date={d}" for d in day_names(spark, root, signal) if name(start) <= d and (end is None or d <= name(end))}
+        near = footers.overlapping(row_groups(spark, root, signal, held), start, end) if held else None
+        files = sorted(r.file for r in near.select("file").distinct().collect()) if held else []
+        reader = spark.read.schema(_stored_schema(signal))
+        rows = reader.option("basePath", path).parquet(*files) if files else spark.createDataFrame([], _stored_schema(signal))
+        # on the file's own column, so that it reaches the row groups
+        rows = rows.where(F.col(column) >= start)
+        rows = rows if end is None else rows.where(F.col(column) < end)
+        rows = conform(rows if tenant is None else rows.where(F.col(TENANT) == tenant), signal, [TENANT])
+    inside = F.col(column) >= start
+    return rows.where(inside if end is None else inside & (F.col(column) < end))
+
+
 def partitions(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """date, files, rows of each partition."""
     by_file = _table(spark, root, signal).groupBy("date", "_file").agg(F.count(F.lit(1)).alias("n"))

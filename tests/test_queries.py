@@ -7,7 +7,7 @@ from otelframe.plans import registry
 from otelframe.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["k02_error_rate_by_service", "p04_attr_not_equals", "a08c_mid_series_window", "a13b_histogram_p95_by_type", "t03_self_times", "t07_span_groups", "e01_exemplars", "c08_shares", "d07_distribution"]
+SOME = ["k02_error_rate_by_service", "p04_attr_not_equals", "a08c_mid_series_window", "a13b_histogram_p95_by_type", "t03_self_times", "t07_span_groups", "e01_exemplars", "c08_shares", "d07_distribution", "s14b_quarter_of_a_day", "s18b_layout"]
 
 
 def test_every_query_has_an_oracle():

@@ -289,3 +289,38 @@ def test_values_of_twenty_levels(spark):
         lines = spark.createDataFrame([(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record]}]}]}),)], "value string")
         row = otlp.flatten_logs(lines).first()
         assert json.loads(row.attributes) == {"a": plain(n), "b": []} and json.loads(row.body) == plain(n)
+
+
+def test_a_window_reads_a_fraction_of_a_days_files(spark, tmp_path):
+    """24 appends of an hour each: one hour is in one file, its rows equal a full scan's."""
+    root, hour = str(tmp_path), store.DAY // 24
+    start = T0 - T0 % store.DAY
+    rows = spark.range(2400).select((F.lit(start) + F.col("id") * (hour // 100)).alias("timestamp"), F.concat(F.lit("b"), "id").alias("body"), F.lit('{"tenant.id":"acme"}').alias("resource_attributes"))
+    for k in range(24):
+        store.append(rows.where(F.expr(f"body >= 'b' and (timestamp - {start}) div {hour} = {k}")), root, "logs")
+    window = TimeWindow(start + 10 * hour, 120, 60)
+    found = store.within(spark, root, "logs", window, "acme")
+    want = sorted(r.body for r in store.scan(spark, root, "logs").where(window.holds("timestamp")).collect())
+    assert sorted(r.body for r in found.collect()) == want and len(want) == 100
+    assert len(found.inputFiles()) == 1 and len(store.scan(spark, root, "logs").inputFiles()) == 24
+    assert store.within(spark, root, "logs", window, "globex").count() == 0
+    assert len(store.within(spark, root, "logs", window, slack=hour).inputFiles()) == 3
+    assert store.within(spark, root, "logs", TimeWindow(start - 40 * store.DAY, 60, 1)).count() == 0
+    assert store.within(spark, root, "logs", TimeWindow(start + store.DAY, 60)).count() == 100  # without an upper bound
+    day = store.layout(spark, root, "logs").first()
+    assert (day.files, day.row_groups, day.rows, day.oldest, day.newest) == (24, 24, 2400, start, start + 2399 * (hour // 100))
+    store.compact(spark, root, "logs", store.partitions(spark, root, "logs"))
+    assert sorted(r.body for r in store.within(spark, root, "logs", window, "acme").collect()) == want
+    assert store.layout(spark, root, "logs").first().files == 1
+
+
+def test_a_window_is_whole_while_a_change_is_open(spark, tmp_path, logs):
+    root = str(tmp_path)
+    store.append(logs.where("timestamp % 2 = 0"), root, "logs")
+    window = TimeWindow(T0 + 2 * store.DAY, 24 * 60, 1)
+    want = logs.where(window.holds("timestamp"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Ledger, "finish", lambda self, change: None)
+        store.append(logs.where("timestamp % 2 = 1"), root, "logs")
+    assert sorted(r.body for r in store.within(spark, root, "logs", window).collect()) == sorted(r.body for r in want.collect())
+    assert store.within(spark, str(tmp_path / "none"), "logs", window).count() == 0

@@ -1,4 +1,6 @@
-"""Histogram increments, merges and quantiles against hand-computed values."""
+"""Histogram increments, merges and quantiles against plain Python over random series."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,25 +24,64 @@ def frame(spark, rows):
     return conform(spark.createDataFrame(rows, ddl), "metrics")
 
 
-@pytest.fixture(scope="module")
-def two_routes(spark):
-    c = CUMULATIVE
-    return frame(
-        spark,
-        [
-            point("/cart", c, 200, 75, 8, 64, "[4,3,1]"),  # before the window
-            point("/cart", c, 200, 55, 20, 160, "[10,7,3]"),
-            point("/cart", c, 200, 25, 32, 300, "[14,12,6]"),
-            point("/cart", c, 200, 15, 45, 420, "[20,17,8]"),
-            point("/cart", c, 20, 12, 3, 12, "[2,1,0]"),
-            point("/cart", c, 20, 6, 8, 40, "[5,2,1]"),
-            point("/pay", DELTA, 30, 29, 5, 35, "[3,2,0]"),
-            point("/pay", DELTA, 29, 28, 2, 90, "[0,1,1]"),
-            point("/r", c, 150, 33, 70, 700, "[70,0,0]", name="reset"),
-            point("/r", c, 150, 21, 4, 11, "[3,1,0]", name="reset"),
-            point("/cart", c, 150, 18, 777, 777, "[777,0,0]", tenant="other"),
-        ],
-    ).cache()
+BOUNDS = [5, 20, 80, 400]
+
+
+def drawn(seed):
+    """Random series of eight routes, a third of them deltas, and the increments within the
+    window that they stand for: (route, minutes before NOW, buckets, sum). Of a cumulative
+    series the first point of the window is the base and stands for none, also where there
+    are points before the window; it restarts once or never."""
+    rng, rows, increments = random.Random(seed), [], []
+    for i in range(8):
+        route = f"/r{i}"
+        times = sorted(rng.sample(range(1, 60), rng.randint(4, 12)), reverse=True)
+        if i % 3 == 0:
+            for at in times:
+                part, total = [rng.randint(0, 9) for _ in range(5)], rng.randint(1, 900)
+                rows.append(point(route, DELTA, at + 1, at, sum(part), total, str(part), bounds=str(BOUNDS)))
+                increments.append((route, at, part, total))
+            continue
+        held, held_sum, start = [rng.randint(40, 60) for _ in range(5)], 5000, 300
+        rows.append(point(route, CUMULATIVE, start, rng.randint(65, 85), sum(held), held_sum, str(held), bounds=str(BOUNDS)))
+        restart = rng.choice([None, *times])
+        for at in times:
+            part, total = [rng.randint(0, 4) for _ in range(5)], rng.randint(1, 90)
+            if at == restart:
+                held, held_sum, start = [0] * 5, 0, at
+            held, held_sum = [x + y for x, y in zip(held, part)], held_sum + total
+            rows.append(point(route, CUMULATIVE, start, at, sum(held), held_sum, str(held), bounds=str(BOUNDS)))
+            if at != times[0]:
+                increments.append((route, at, part, total))
+    rows += [point(f"/r{i}", DELTA, 31, 30, 50, 50, "[50,0,0,0,0]", tenant="other", bounds=str(BOUNDS)) for i in range(8)]
+    rows += [point("/r1", DELTA, 31, 30, 50, 50, "[50,0,0,0,0]", name="size", bounds=str(BOUNDS))]
+    return rows, increments
+
+
+@pytest.fixture(scope="module", params=[4, 19])
+def series(request, spark):
+    rows, increments = drawn(request.param)
+    return frame(spark, rows).cache(), increments
+
+
+def by_route(increments):
+    """Buckets and sum of each route, and of all together under None."""
+    out = {}
+    for route, _, part, total in increments:
+        for key in (route, None):
+            held, so_far = out.get(key, ([0] * 5, 0))
+            out[key] = [x + y for x, y in zip(held, part)], so_far + total
+    return out
+
+
+def quantile(buckets, q):
+    """Linear within a bucket, the last bound above it."""
+    rank, before = q * sum(buckets), 0
+    for low, high, n in zip([0, *BOUNDS], BOUNDS, buckets):
+        if n and before + n >= rank:
+            return low + (high - low) * (rank - before) / n
+        before += n
+    return BOUNDS[-1]
 
 
 def values(df, key="attr.http.route"):
@@ -51,35 +92,38 @@ def ask(frame, agg, group="attr.http.route", **more):
     return query_metric(frame, "acme", more.pop("name", "latency"), agg, more.pop("window", WINDOW), group, **more)
 
 
-def test_counts_and_sums(two_routes):
-    assert values(ask(two_routes, "count")) == {"/cart": 12 + 13 + 8, "/pay": 7}
-    assert values(ask(two_routes, "sum")) == {"/cart": 140 + 120 + 40, "/pay": 125}
-    assert values(ask(two_routes, "count", ""), None) == {None: 40}
-    assert values(ask(two_routes, "avg"))["/pay"] == pytest.approx(125 / 7)
-
-
-def test_reset_counts_whole(two_routes):
-    assert values(ask(two_routes, "count", "", name="reset"), None) == {None: 4}
-    assert values(ask(two_routes, "sum", "", name="reset"), None) == {None: 11}
+def test_counts_sums_and_averages(series):
+    rows, increments = series
+    want = by_route(increments)
+    total = want.pop(None)
+    assert values(ask(rows, "count")) == {k: sum(b) for k, (b, _) in want.items()}
+    assert values(ask(rows, "sum")) == {k: t for k, (_, t) in want.items()}
+    assert values(ask(rows, "avg")) == pytest.approx({k: t / sum(b) for k, (b, t) in want.items()})
+    assert values(ask(rows, "count", ""), None) == {None: sum(total[0])}
+    assert values(ask(rows, "sum", "", name="size"), None) == {None: 50}
 
 
-def test_quantiles(two_routes):
-    p50 = values(ask(two_routes, "p50"))  # from 15, 12, 6 and 3, 3, 1 in buckets to 10, 100 and above
-    assert p50["/cart"] == pytest.approx(10 + 90 * 1.5 / 12)
-    assert p50["/pay"] == pytest.approx(10 + 90 * 0.5 / 3)
-    assert values(ask(two_routes, "p50", ""), None)[None] == pytest.approx(10 + 90 * 2 / 15)
-    assert values(ask(two_routes, "p99"))["/cart"] == 100
+@pytest.mark.parametrize("agg, q", [("p50", 0.5), ("p95", 0.95)])
+def test_quantiles(series, agg, q):
+    rows, increments = series
+    want = {k: quantile(b, q) for k, (b, _) in by_route(increments).items()}
+    total = want.pop(None)
+    assert values(ask(rows, agg)) == pytest.approx(want)
+    assert values(ask(rows, agg, ""), None)[None] == pytest.approx(total)
 
 
-def test_buckets(two_routes):
-    rows = {(r["attr.http.route"], r["le"]): r["value"] for r in ask(two_routes, "buckets").collect()}
-    assert rows == {("/cart", 10.0): 15, ("/cart", 100.0): 12, ("/cart", None): 6, ("/pay", 10.0): 3, ("/pay", 100.0): 3, ("/pay", None): 1}
+def test_buckets(series):
+    rows, increments = series
+    want = {(k, float(e) if e else None): n for k, (b, _) in by_route(increments).items() if k for e, n in zip([*BOUNDS, None], b) if n}
+    got = {(r["attr.http.route"], r["le"]): r["value"] for r in ask(rows, "buckets").collect() if r["value"]}
+    assert got == want
 
 
-def test_steps_add_up_to_the_window(two_routes):
-    steps = ask(two_routes, "count", "", step="5m")
-    assert steps.agg(F.sum("value")).first()[0] == 40
+def test_steps_add_up_to_the_window(series):
+    rows, increments = series
+    steps = ask(rows, "count", "", step="5m")
     assert steps.columns == ["time", "value"]
+    assert steps.agg(F.sum("value")).first()[0] == sum(sum(part) for _, _, part, _ in increments)
 
 
 def test_baseline_gives_a_zero_row_and_no_bucket(spark):
@@ -100,19 +144,20 @@ def test_bad_bounds_are_left_out(spark):
     assert values(ask(rows, "p50"))["/x"] == pytest.approx(5.0)
 
 
-def test_invalid_input(two_routes, spark):
+def test_invalid_input(series, spark):
+    rows, _ = series
     with pytest.raises(ValueError):
-        ask(two_routes, "median")
+        ask(rows, "median")
     with pytest.raises(ValueError):
-        query_metric(two_routes, " ", "latency", "count", WINDOW)
+        query_metric(rows, " ", "latency", "count", WINDOW)
     with pytest.raises(ValueError):
-        ask(two_routes, "count", "span_name")
+        ask(rows, "count", "span_name")
     with pytest.raises(ValueError):
-        ask(two_routes, "count", "", step="1ms")
+        ask(rows, "count", "", step="1ms")
     with pytest.raises(ValueError):
-        ask(two_routes, "p50", metric_type="exponential_histogram")
+        ask(rows, "p50", metric_type="exponential_histogram")
     with pytest.raises(ValueError):
-        ask(two_routes, "avg", metric_type="summary")
+        ask(rows, "avg", metric_type="summary")
     empty = spark.createDataFrame([], METRIC_SCHEMA)
     assert ask(empty, "buckets", "").count() == 0
     assert ask(empty, "count").count() == 0

@@ -20,21 +20,16 @@ shingles on the diagonal of the common shingle are compared as sets, and those w
 Jaccard similarity of 0.8 or more are joined into maximal passages.
 
 In a family of variants of one passage the first holder of a name is rarely the variant
-that is similar enough. Its holders are aligned with it, though, and the places where they
-differ from it fall into runs. Two stretches of 50 words with similarity 0.8 differ by one
-edit (or by a few words at their ends), so stretches that touch no passage found so far are
-joined once more by
-their contents with one run put back to what the first holder has, and by the place of that
-run: whoever shares such a key differs in that run only, and the first one is as good as any
-(``neighbourhood``). Words put in or left out part a stretch from the first holder up to its
-end, so the contents before a run, and those after one, are keys as well, with the place of
-the run; and what differs at the ends of a stretch is put back at once. That takes a few keys a stretch, however large the family is.
-Stretches take part of which a third or more agrees with the first holder: with one edit on
-both sides 36 of 46 places agree, the larger part of them on one diagonal.
-
-``exhaustive=True`` is the exact way for the rest: stretches still uncovered are then
-compared with all earlier holders of their names. It takes a comparison for each pair of
-such holders.
+that is similar enough. All holders are aligned with it, though, so those that lie at one
+cell of its places are compared with each other, as far as they have stretches that no
+passage found so far contains (``neighbourhood``). A cell's values are counted in arrays, for
+all its starts at once: the common shingles of two stretches are those that stand first in
+both, exactly as in the verification. Each stretch is sought until one earlier document has it; cells
+with many documents are dealt over several groups.
+
+``exhaustive=True`` compares stretches still uncovered with all earlier holders of their
+names, also those that the first holder has at another place. It takes a comparison for each
+pair of such holders.
 """
 
 from __future__ import annotations
@@ -61,8 +56,10 @@ NEAR, WHOLE = 80, 100
 #: the first holder and one of the other may lie side by side.
 DAMAGE = shingles.WORDS
 LONGEST = 2 * DAMAGE
-#: Stretches with keys are chosen in cells of so many starts.
-CELL = 16
+#: Documents at one first holder meet in cells of so many starts; beyond so many of them the
+#: seekers of a cell are dealt over several groups.
+CELL, SLICE = 32, 2048
+PASSAGE = ["id", "copy", "source_id", "source_copy", "start_word", "end_word", "source_start"]
 #: Stretches that travel are cut at multiples of this, so that few differ.
 GRID = 64
 #: Shingles that are taken at a time, and the bits that hold a place among them.
@@ -376,35 +373,27 @@ def verified(pairs: DataFrame, parts: DataFrame, least: int) -> DataFrame:
 
 
 def apart(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """``pairs`` with ``seeks``: the starts in [at, until] of stretches that touch no passage
-    of ``found``; pairs without any are left out."""
+    """``pairs`` with ``cells`` and ``masks``: the cells of CELL places of the other document
+    that hold starts in [at, until] of stretches that no passage of ``found`` contains, and
+    these starts as bits; pairs without any are left out."""
     spans = found.groupBy("id", "copy").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     width, columns = least + shingles.WORDS - 1, pairs.columns
 
-    def union(batch: dict) -> dict:
-        out: dict[str, list] = {"opens": [], "ends": []}
-        for spans in batch["spans"]:
-            spans = np.array(sorted((x["start_word"], x["end_word"]) for x in spans), np.int64)
-            reach = np.maximum.accumulate(spans[:, 1])
-            first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
-            out["opens"].append(spans[first, 0].tolist())
-            out["ends"].append(reach[np.append(first[1:], len(spans)) - 1].tolist())
-        return out | {k: batch[k] for k in ("id", "copy")}
-
-    known = map_texts(spans, ["id", "copy", "spans"], "id long, copy long, opens array<int>, ends array<int>", union)
-
     def free(batch: dict) -> dict:
-        seeks = []
-        for at, until, opens, ends in zip(batch["at"], batch["until"], batch["opens"], batch["ends"]):
+        cells, masks = [], []
+        for at, until, d, spans in zip(batch["at"], batch["until"], batch["d"], batch["spans"]):
             s = np.arange(at, until + 1)
-            if opens:
-                next_open = np.append(opens, _LAST)[np.searchsorted(ends, s, "right")]
-                s = s[next_open >= s + width]
-            seeks.append(s.tolist())
-        return {k: batch[k] for k in columns} | {"seeks": seeks}
+            if spans:
+                known = np.array(sorted((x["start_word"], x["end_word"]) for x in spans), np.int64)
+                reach = np.concatenate(([-1], np.maximum.accumulate(known[:, 1])))
+                s = s[reach[np.searchsorted(known[:, 0], s, "right")] < s + width]
+            cell, first = np.unique((s + d) // CELL, return_index=True)
+            cells.append(cell.tolist())
+            masks.append(np.add.reduceat(1 << ((s + d) % CELL), first).tolist() if len(s) else [])
+        return {k: batch[k] for k in columns} | {"cells": cells, "masks": masks}
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return map_texts(pairs.join(known, ["id", "copy"], "left"), [*columns, "opens", "ends"], f"{ddl}, seeks array<int>", free).where(F.size("seeks") > 0)
+    return map_texts(pairs.join(spans, ["id", "copy"], "left"), [*columns, "spans"], f"{ddl}, cells array<int>, masks array<long>", free).where(F.size("cells") > 0)
 
 
 def contents(values: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -468,47 +457,122 @@ def hood_keys(mine: np.ndarray, theirs: np.ndarray, place: int, first: int, last
     return np.concatenate(keys), np.concatenate(starts), np.concatenate(roles)
 
 
-def neighbourhood(pairs: DataFrame, parts: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Pairs (see ``ranges``) of stretches that touch no passage of ``found`` with the first
-    earlier ones that differ from them in one run. ``pairs`` are aligned with the first
-    holders of their names; only stretches at places of these where one seeks take part.
-    """
-    place = ["id", "copy", "o_id", "o_copy", "d", "a", "b", "x", "y", "at", "until"]
-    seeking = materialize(apart(pairs.select(*place), found, least))
-    cell = lambda c: F.floor((c + F.col("d")) / CELL)
-    cells = seeking.select("o_id", "o_copy", F.explode(F.array_distinct(F.transform("seeks", cell))).alias("cell")).distinct()
-    spread = pairs.select(*place, F.explode(F.sequence(cell(F.col("at")), cell(F.col("until")))).alias("cell"))
-    celled = spread.join(cells, ["o_id", "o_copy", "cell"], "left_semi").groupBy(*place).agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    celled = celled.join(seeking, place, "left").withColumn("seeks", F.coalesce("seeks", F.array().cast("array<int>")))
-    names = ["id", "copy", "o_id", "o_copy", "d", "a", "x", "at", "until", "cells", "seeks", "mine", "theirs"]
+def compared(rows: list[tuple[int, int, int, int, int, bytes]], least: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """Passages (as ``verified`` gives them) among the members of one cell, for the starts that
+    are sought. Members are id, copy, place (in the cell, of the first shingle), start (its
+    place in the document), mask (starts sought) and part, by id and copy. A member is
+    compared with the earlier documents, first ones first, until its starts are covered."""
+    values = [np.frombuffer(r[5], "<u4") for r in rows]
+    distinct, codes = np.unique(np.concatenate(values), return_inverse=True)
+    width, s = CELL + least - 1, np.arange(CELL)
+    place = np.arange(width)
+    inside = (s <= place[:, None]) & (place[:, None] < s + least)
+    table = np.full((len(rows), width), len(distinct), np.int64)  # no shingle: the last code
+    before = np.full((len(rows), width), width, np.int64)  # place of the previous equal one
+    sizes, whole = np.zeros((len(rows), CELL), np.int64), np.zeros((len(rows), CELL), bool)
+    at = 0
+    for i, (r, v) in enumerate(zip(rows, values)):
+        here = slice(r[2], r[2] + len(v))
+        table[i, here] = codes[at : at + len(v)]
+        previous = _previous(v)
+        before[i, here] = np.where(previous < 0, -1, previous + r[2])
+        sizes[i] = (inside & (before[i][:, None] < s)).sum(axis=0)
+        whole[i, r[2] : r[2] + len(v) - least + 1] = True
+        at += len(v)
+    low, high = np.full(len(distinct) + 1, 2 * width), np.full(len(distinct) + 1, -1)
+    bits, few = 1 << s, -(-NEAR * least // WHOLE)  # of the larger set, where no value repeats
+    first = 0
+    for i, (doc, copy, start_place, start, mask, _) in enumerate(rows):
+        if rows[first][:2] != (doc, copy):
+            first = i
+        if not mask or not first:
+            continue
+        here = place[start_place : start_place + len(values[i])]
+        mine = table[i, here]
+        low[mine[::-1]], high[mine] = here[::-1], here  # first and last place of each value
+        plain = bool((low[mine] == high[mine]).all())
+        some = np.flatnonzero((high[table[:first]] >= 0).sum(axis=1) >= few)
+        while mask and len(some):
+            now, some = some[:512], some[512:]
+            # each value of the others counts for the starts of which it stands first in the
+            # stretch, and mine from its first place to its last one: none too few
+            lo = np.maximum(np.maximum(low[table[now]], place) - least + 1, np.maximum(before[now] + 1, 0))
+            hi = np.minimum(np.minimum(high[table[now]], place), CELL - 1)
+            counts, of = lo <= hi, np.arange(0, len(now) * (CELL + 1), CELL + 1)[:, None]
+            change = np.bincount((of + lo)[counts], minlength=of.size * (CELL + 1)) - np.bincount((of + hi + 1)[counts], minlength=of.size * (CELL + 1))
+            common = np.cumsum(change.reshape(-1, CELL + 1), axis=1)[:, :CELL]
+            near = ((WHOLE * common >= NEAR * (sizes[i] + sizes[now] - common)) & whole[now] & whole[i]) @ bits
+            for j, covered in zip(now.tolist(), near.tolist()):
+                if not covered & mask:
+                    continue
+                o_doc, o_copy, o_place, o_start = rows[j][:4]
+                starts = np.flatnonzero(covered >> s & 1)
+                if not plain:  # where a value of mine repeats, it may lie between its places
+                    exact = similar_starts(values[i], values[j], start_place - o_place, least) + start_place
+                    starts, covered = exact, int(bits[exact].sum())
+                    if not covered & mask:
+                        continue
+                mask &= ~covered
+                for a, b in joined_runs(starts, least):
+                    yield doc, copy, o_doc, o_copy, start + a - start_place, start + b - start_place + shingles.WORDS - 1, o_start + a - o_place
+                if not mask:
+                    break
+        low[mine], high[mine] = 2 * width, -1
 
-    def rows(batch: dict) -> dict:
-        out: dict[str, list] = {k: [np.empty(0, t)] for k, t in (("key", np.int64), ("id", np.int64), ("copy", np.int64), ("start", np.int32), ("role", np.int8))}
-        for doc, copy, o_id, o_copy, d, a, x, at, until, cells, seeks, mine, theirs in zip(*(batch[k] for k in names)):
-            m, t, cells = np.frombuffer(mine, "<u4"), np.frombuffer(theirs, "<u4"), np.array(cells, np.int64)
-            head = shingles.mix(np.array([o_id], np.int64).view(np.uint64) * np.uint64(shingles.odd(3)) + np.array([o_copy], np.int64).view(np.uint64))
-            for row in np.split(cells, np.flatnonzero(np.diff(cells) > 1) + 1):  # neighbouring cells at once
-                lo = max(at, x - d, int(row[0]) * CELL - d)
-                hi = min(until, a + len(m) - least, x + len(t) - d - least, int(row[-1]) * CELL + CELL - 1 - d)
+
+def neighbourhood(pairs: DataFrame, parts: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Passages (as ``verified`` gives them) of stretches that no passage of ``found`` contains.
+    ``pairs`` are aligned with the first holders of their names. Documents that lie at one
+    cell of a first holder are compared with each other, where one of them seeks."""
+    pair, group = ["id", "copy", "o_id", "o_copy", "d"], ["o_id", "o_copy", "cell"]
+    seeking = materialize(apart(pairs.select(*pair, "at", "until"), found, least))
+    cell = lambda c: F.floor((F.col(c) + F.col("d")) / CELL).cast("int")
+    sought = seeking.select("o_id", "o_copy", F.explode("cells").alias("cell")).distinct()
+    spread = pairs.select(*pair, F.explode(F.sequence(cell("at"), cell("until"))).alias("cell"))
+    several = spread.join(sought, group, "left_semi").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*group))).where("n > 1")
+    celled = several.groupBy(*pair).agg(F.collect_list(F.struct("cell", "n")).alias("among"))
+    mine = parts.select("id", "copy", F.col("x").alias("a"), F.col("y").alias("b"), F.col("part").alias("mine"))
+    joined = pairs.select(*pair, "a", "b", "at", "until").join(celled, pair).join(seeking.select(*pair, "cells", "masks"), pair, "left").join(mine, ["id", "copy", "a", "b"])
+    names = [*pair, "a", "at", "until", "among", "cells", "masks", "mine"]
+    member = "o_id long, o_copy long, cell int, slice int, id long, copy long, place int, start int, mask long, part binary"
+
+    def members(batch: dict) -> dict:
+        out: dict[str, list] = {p.split()[0]: [] for p in member.split(", ")}
+        for doc, copy, o_id, o_copy, d, a, at, until, among, cells, masks, mine in zip(*(batch[k] for k in names)):
+            mask = dict(zip(cells or (), masks or ()))
+            for c, n in ((x["cell"], x["n"]) for x in among):
+                lo, hi = max(at, c * CELL - d), min(until, c * CELL + CELL - 1 - d, a + len(mine) // 4 - least)
                 if hi < lo:
                     continue
-                n = hi - lo + least
-                key, start, role = hood_keys(m[lo - a : lo - a + n], t[lo + d - x : lo + d - x + n], lo + d, 0, hi - lo, least)
-                start = start + lo
-                seeker = np.isin(start, seeks)
-                use = seeker | (role != 2)
-                n = int(use.sum())
-                for k, v in (("key", shingles.mix(key + head).view(np.int64)[use]), ("id", np.full(n, doc, np.int64)), ("copy", np.full(n, copy, np.int64)), ("start", start[use].astype(np.int32)), ("role", np.where(seeker, role, 1)[use].astype(np.int8))):
-                    out[k].append(v)
-        return {k: np.concatenate(v) for k, v in out.items()}
+                part = mine[4 * (lo - a) : 4 * (hi - a + least)]
+                slices = -(-n // SLICE)  # a hot cell's seekers are dealt, its holders are in all slices
+                for k in range(slices):
+                    for column, v in zip(out.values(), (o_id, o_copy, c, k, doc, copy, lo + d - c * CELL, lo, mask.get(c, 0) if k == copy % slices else 0, part)):
+                        column.append(v)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in PASSAGE]
+
+        def given() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k.endswith(("id", "copy")) else pa.int32()) for k, v in zip(PASSAGE, out)], names=PASSAGE)
+            for v in out:
+                v.clear()
+            return batch
+
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, held in itertools.groupby(rows, key=lambda r: r[:4]):
+            held = [r[4:] for r in held]
+            if len(held) > 1 and any(r[4] for r in held):
+                for row in compared(held, least):
+                    for column, v in zip(out, row):
+                        column.append(v)
+            if len(out[0]) >= 10_000:
+                yield given()
+        yield given()
 
-    hoods = materialize(map_texts(side_by_side(celled, parts), names, "key long, id long, copy long, start int, role byte", rows, at_once=500))
-    who = F.struct("id", "copy", "start")
-    firsts = hoods.where("role <> 2").groupBy("key").agg(F.min(who).alias("o"))
-    firsts = firsts.select(dealt_anew("key").alias("key"), F.col("o.id").alias("o_id"), F.col("o.copy").alias("o_copy"), F.col("o.start").alias("o_c"))
-    later = F.struct("o_id", "o_copy") < F.struct("id", "copy")
-    met = hoods.where("role <> 1").join(firsts, "key").where(later)
-    return ranges(met.select("id", "copy", "o_id", "o_copy", "o_c", F.col("start").alias("a"), F.col("start").alias("b"), F.col("start").alias("c")))
+    dealt = map_texts(joined, names, member, members, at_once=500).repartition(*group, "slice").sortWithinPartitions(*group, "slice", "id", "copy", "start")
+    return dealt.mapInArrow(run, "id long, copy long, source_id long, source_copy long, start_word int, end_word int, source_start int")
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -551,9 +615,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         later = materialize(later)
     pairs, parts = aligned(docs, ranges(later), least)
     found = materialize(verified(pairs, parts, least))
+    if not exhaustive:
+        release(entries)
     near = materialize(neighbourhood(pairs, parts, found, least))
     release(pairs, parts)
-    found = found.unionByName(verified(*aligned(docs, near, least), least))
+    found = found.unionByName(near)
     if exhaustive:
         found = materialize(found)
         known = found.groupBy("id", "copy").agg(F.collect_set(F.struct("start_word", (F.col("end_word") - shingles.WORDS).alias("last"))).alias("known"))

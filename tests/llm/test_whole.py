@@ -230,3 +230,42 @@ def test_battery_equals_plain_statistics(spark):
         z.append(abs((c[1:] * c[:-1]).sum() / (c * c).sum()) * math.sqrt(n) if (c * c).sum() > 0 else 40)
         p = min(1, 3 * min(tail(z[0]), 2 * tail(z[1]), 2 * tail(z[2])))
         assert row.t.enc == name and abs(row.t.p - p) < 2e-3, (row.m, row.t.p, p)
+
+
+def test_compared_equals_brute_force():
+    """Of the starts sought, those that are near an earlier document's stretch at the same place."""
+    rng = np.random.default_rng(27)
+    least, width = 46, passages.CELL + 45
+    for _ in range(60):
+        head, rows = rng.integers(400 if _ % 2 else 60, size=width).astype("<u4"), []
+        for k in range(7):
+            mine = head.copy()
+            for at in rng.integers(width - 4, size=int(rng.integers(4))):
+                mine[at : at + rng.integers(1, 6)] = rng.integers(1000, 1003)
+            place = int(rng.integers(4))
+            rows.append((k, k, place, 100 * k, int(rng.integers(1, 1 << 32)), mine[place : width - int(rng.integers(4))].tobytes()))
+        sets = [{r[2] + s: set(v[s : s + least].tolist()) for s in range(len(v) - least + 1)} for r in rows for v in [np.frombuffer(r[5], "<u4")]]
+        got = {}
+        for doc, copy, o_doc, o_copy, start, end, source in passages.compared(rows, least):
+            place, o_place = start - 100 * copy + rows[copy][2], source - 100 * o_copy + rows[o_copy][2]
+            x, y = sets[copy][place], sets[o_copy][o_place]
+            assert o_doc < doc and place == o_place and 100 * len(x & y) >= 80 * len(x | y)
+            got.setdefault(copy, set()).update(range(place, place + end - 49 - start))
+        for i, r in enumerate(rows):
+            near = {s for s, x in sets[i].items() if any(100 * len(x & y[s]) >= 80 * len(x | y[s]) for o, y in zip(rows, sets) if o[0] < r[0] and s in y)}
+            assert {s for s in near if r[4] >> s & 1} <= got.get(i, set())
+
+
+def test_all_variants_in_families_are_found(spark):
+    """As above, with words put in and left out: no document with an earlier passage is missed."""
+    rng = np.random.default_rng(28)
+    families = []
+    for f in range(20):
+        base = planted(rng, 50)
+        families.append([(100 * f + i, planted(rng, 12) + edited(rng, base, ["replaced", "out", "in"][int(rng.integers(3))]) + planted(rng, 12)) for i in range(24)])
+    want = near_in_families(families)
+    got = passage_pairs(spark, {d: " ".join(w) for members in families for d, w in members})
+    assert got <= want
+    later, found = {d for d, _ in want}, {d for d, _ in got}
+    print(len(later), len(found))
+    assert len(later) > 100 and len(found) >= 0.97 * len(later)

@@ -23,10 +23,9 @@ from otelframe.llm.tokens import default_vocabulary, with_end
 
 #: Pieces that one task packs together, about.
 BLOCK_PIECES = 8_000
-#: Bins of one fill, and further fills, that are scored before the best is taken; None
-#: scores all that fit. Bins of one fill differ only in documents and cost, and fuller ones
-#: come first, as the token term weighs most.
-SCORED_BINS, SCORED_FILLS = 16, 3
+#: Bins of one fill, and further fills, that are scored before the best is taken, fuller ones
+#: first; None scores all that fit.
+SCORED_BINS, SCORED_FILLS = None, None
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -64,6 +63,8 @@ def best_fit(
     piece that alone breaks the cost capacity gets a bin of its own."""
     if rule not in ("norm", "dot"):
         raise ValueError(f"unknown rule {rule!r}")
+    if scored_bins is None and scored_fills is None:
+        return best_of_all(lengths, capacity, max_docs, max_cost, weights, rule)
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     most_bins, most_fills = scored_bins or np.inf, np.inf if scored_fills is None else scored_fills
     free: list[list[int]] = []  # of each bin: tokens, documents, cost
@@ -113,6 +114,43 @@ def best_fit(
     return bins, offsets
 
 
+def best_of_all(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """``best_fit`` over all open bins that fit, scored at once; of equal scores the first
+    bin wins."""
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    if len(lengths) and (longest := int(lengths.max())) > capacity:
+        raise ValueError(f"piece of {longest} tokens exceeds {capacity}")
+    room = np.empty((3, len(lengths)), np.int64)  # of each listed bin: tokens, documents, cost
+    number = np.empty(len(lengths), np.int64)
+    listed = opened = closed = 0
+    wt, wd, wc = weights
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[i])
+        cost = size * size
+        t, d, c = room[:, :listed]
+        fit = np.flatnonzero((t >= size) & (c >= cost))
+        if len(fit):
+            t, d, c = t[fit], d[fit], c[fit]
+            if rule == "dot":
+                score = -(wt * size / capacity * t / capacity + wd / max_docs * d / max_docs + wc * size * size / max_cost * c / max_cost)
+            else:
+                score = wt * ((t - size) / capacity) ** 2 + wd * ((d - 1) / max_docs) ** 2 + wc * ((c - cost) / max_cost) ** 2
+            at = int(fit[np.argmin(score)])
+        else:
+            at, listed, opened = listed, listed + 1, opened + 1
+            room[:, at], number[at] = (capacity, max_docs, max_cost), opened - 1
+        bins[i], offsets[i] = number[at], capacity - room[0, at]
+        room[:, at] -= (size, 1, cost)
+        if room[:, at].min() <= 0:
+            room[0, at] = -1  # takes no more
+            closed += 1
+            if closed > 64 and 2 * closed > listed:
+                keep = np.flatnonzero(room[0, :listed] > 0)
+                listed, closed = len(keep), 0
+                room[:, :listed], number[:listed] = room[:, keep], number[keep]
+    return bins, offsets
+
+
 def _packed(pieces: DataFrame, capacity: int, max_docs: int, max_cost: int, **how) -> DataFrame:
     """Pieces with a column ``block`` get sequence_id, offset and fill."""
 

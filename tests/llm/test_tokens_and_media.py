@@ -318,3 +318,26 @@ def test_equal_documents_of_the_store_spread_over_ranges(spark):
     assert len(done) == 3000 and len({r.start for r in done}) == 3000
     sizes = spark.read.parquet(store.recipes).groupBy("part").count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2900
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_takes_the_best_of_all_open_bins(rule):
+    """No open bin that fits scores better than the one a piece goes to."""
+    rng = np.random.default_rng(9)
+    lengths, capacity, max_docs, max_cost, weights = rng.integers(1, 300, 1500), 1024, 40, 300_000, (1.0, 0.5, 0.5)
+    bins, offsets = packing.best_fit(lengths, capacity, max_docs, max_cost, weights=weights, rule=rule)
+    room = []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        fit = [b for b, (t, d, c) in enumerate(room) if t >= n and d >= 1 and c >= n * n and min(t, d, c) > 0]
+        if not fit:
+            assert bins[i] == len(room)
+            room.append([capacity, max_docs, max_cost])
+        else:
+            free, full = np.array([room[b] for b in fit], float), np.array([capacity, max_docs, max_cost], float)
+            need = np.array([n, 1, n * n]) / full
+            score = ((free / full - need) ** 2 @ weights) if rule == "norm" else -(free / full * need @ weights)
+            assert bins[i] in fit and score[fit.index(bins[i])] <= score.min() + 1e-12
+        b = int(bins[i])
+        assert offsets[i] == capacity - room[b][0]
+        room[b] = [x - y for x, y in zip(room[b], (n, 1, n * n))]

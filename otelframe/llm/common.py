@@ -62,7 +62,8 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else None
         if path:
-            write_parquet(table.sparkSession.createDataFrame([], table.schema), path)
+            none = (F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema)
+            write_parquet(table.sparkSession.range(0, 0, 1, 1).select(*none), path)
 
 
 def dealt_anew(column: str = "gram") -> Column:

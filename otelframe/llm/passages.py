@@ -143,51 +143,64 @@ def blocks(texts: list, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield given()
 
 
-def repeated_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """key: of windows in two different texts or more, told by their hashes ``copy``."""
-
-    def rows(batch: dict) -> dict:
-        copies = np.array(batch["copy"], np.int64)
-        keys, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for s, owner, first in blocks(batch["text"], least):
-            w = compact_windows(s, owner, least)
-            keys.append(w["key"])
-            of.append(copies[first[w["owner"], 0]])
-        key, copy = np.concatenate(keys), np.concatenate(of)
-        order = np.argsort(key)
-        key, copy = key[order], copy[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
-        ends = lambda f: f.reduceat(copy, starts) if len(starts) else copy
-        return {"key": key[starts], "low": ends(np.minimum), "high": ends(np.maximum)}
-
-    some = map_texts(docs, ["copy", "text"], "key long, low long, high long", rows)
-    return some.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
-
-
 def whole_copies(docs: DataFrame) -> DataFrame:
     """id, copy, source_id, source_copy, words: documents whose text an earlier one has."""
     who = F.struct("id", "copy")
-    keyed = docs.select("id", "copy", F.xxhash64("text", F.octet_length("text")).alias("h"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
-    firsts = keyed.groupBy("h").agg(F.min(who).alias("o"), F.max(who).alias("last"), F.max("words").alias("words")).where("o.id <> last.id or o.copy <> last.copy")
+    keyed = docs.select("id", "copy", F.xxhash64("text", F.octet_length("text")).alias("h"), "text")
+    counted = map_texts(keyed, keyed.columns, "words int", lambda batch: {"words": [shingles.n_words(t) for t in batch["text"]]}, keep=("id", "copy", "h"))
+    firsts = counted.groupBy("h").agg(F.min(who).alias("o"), F.max(who).alias("last"), F.max("words").alias("words")).where("o.id <> last.id or o.copy <> last.copy")
     firsts = firsts.select(dealt_anew("h").alias("h"), F.col("o.id").alias("source_id"), F.col("o.copy").alias("source_copy"), "words")
-    return keyed.drop("words").join(firsts, "h").where("id <> source_id or copy <> source_copy").drop("h").distinct()
+    return keyed.drop("text").join(firsts, "h").where("id <> source_id or copy <> source_copy").drop("h").distinct()
 
 
 def windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, id, copy, a, b, c of all windows, places in the document."""
+    """key, id, copy, a, b, c, told of the windows, places in the document. Of equal texts of a
+    batch the first one counts, the others are copies. ``told`` is 0 where the batch has the
+    key in one text only, 1 for the first window of another key and 2 for the rest of its windows."""
     kinds = {"key": np.int64, "id": np.int64, "copy": np.int64, "a": np.int32, "b": np.int32, "c": np.int32}
 
     def rows(batch: dict) -> dict:
         ids, copies = np.array(batch["id"], np.int64), np.array(batch["copy"], np.int64)
+        order = np.lexsort((ids, copies))
+        first_ones = np.sort(order[np.concatenate(([True], np.diff(copies[order]) != 0))[: len(order)]])
+        ids, copies = ids[first_ones], copies[first_ones]
         out: dict[str, list] = {k: [np.empty(0, t)] for k, t in kinds.items()}
-        for s, owner, first in blocks(batch["text"], least):
+        for s, owner, first in blocks([batch["text"][k] for k in first_ones], least):
             w = compact_windows(s, owner, least)
             text, shift = first[w["owner"]].T
             for k, v in (("key", w["key"]), ("id", ids[text]), ("copy", copies[text]), *((k, w[k] - shift) for k in "abc")):
                 out[k].append(v.astype(kinds[k]))
-        return {k: np.concatenate(v) for k, v in out.items()}
+        made = {k: np.concatenate(v) for k, v in out.items()}
+        return made | {"told": told_of(made["key"], made["copy"])}
 
-    return map_texts(docs, ["id", "copy", "text"], "key long, id long, copy long, a int, b int, c int", rows)
+    return map_texts(docs, ["id", "copy", "text"], "key long, id long, copy long, a int, b int, c int, told byte", rows)
+
+
+def key_runs(key: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each run of equal keys, and whether it has several texts."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+    if not len(starts):
+        return starts, np.empty(0, bool)
+    return starts, np.minimum.reduceat(copy, starts) < np.maximum.reduceat(copy, starts)
+
+
+def told_of(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """0 for keys of one ``of`` only; for others 1 where the key comes first, and 2 elsewhere."""
+    order = np.argsort(key, kind="stable")
+    starts, several = key_runs(key[order], of[order])
+    told = np.zeros(len(order), np.int8)
+    told[order] = np.repeat(2 * several.astype(np.int8), np.diff(np.append(starts, len(order))))
+    told[order[starts[several]]] = 1
+    return told
+
+
+def shared_windows(found: DataFrame) -> DataFrame:
+    """key, id, copy, a, b, c: those of ``windows`` whose key two different texts or more have.
+    Windows of a key meet in one task, but those that know it from their batch (``told`` 2) go anywhere."""
+    placed = found.withColumn("place", F.when(F.col("told") == 2, F.xxhash64("id", "a", "key")).otherwise(F.col("key")))
+    same = Window.partitionBy("place")
+    told = placed.withColumns({"low": F.min("copy").over(same), "high": F.max("copy").over(same), "any": F.max("told").over(same)})
+    return told.where("low < high or any > 0").select("key", "id", "copy", "a", "b", "c")
 
 
 def overlaps(key: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
@@ -232,20 +245,28 @@ def overlaps(key: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, c:
 
 def named_overlaps(shared: DataFrame) -> DataFrame:
     """name, id, copy, a, b, c: the named overlaps of the windows of each document."""
-    of_doc = shared.groupBy("id", "copy").agg(F.collect_list(F.struct("key", "a", "b", "c")).alias("w"))
-    ddl = "name long, id long, copy long, a int, b int, c int"
+    names = ["name", "id", "copy", "a", "b", "c"]
+
+    def named(table: pa.Table, doc: np.ndarray) -> pa.RecordBatch:
+        found = overlaps(table["key"].to_numpy(), doc, *(table[k].to_numpy().astype(np.int64) for k in "abc"))
+        firsts = np.flatnonzero(np.diff(doc, prepend=-1))
+        of = [table[k].to_numpy()[firsts][found["doc"]] for k in ("id", "copy")]
+        return pa.RecordBatch.from_arrays([pa.array(found["name"]), *map(pa.array, of), *(pa.array(found[k], pa.int32()) for k in "abc")], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            lists = batch.column("w")
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            found = overlaps(*(x.to_numpy(zero_copy_only=False) for x in flat.flatten()[:1]), doc, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten()[1:]))
-            places = [pa.array(found[k], pa.int32()) for k in "abc"]
-            of = pa.array(found["doc"])
-            yield pa.RecordBatch.from_arrays([pa.array(found["name"]), batch.column("id").take(of), batch.column("copy").take(of), *places], names=["name", "id", "copy", "a", "b", "c"])
+        held: list[pa.RecordBatch] = []  # the last document so far
+        for batch in itertools.chain(batches, [None]):
+            if not (held if batch is None else batch.num_rows):
+                continue
+            table = pa.Table.from_batches(held + ([batch] if batch else []))
+            new = np.any([np.diff(table[k].to_numpy()) != 0 for k in ("id", "copy")], axis=0)
+            doc = np.concatenate(([0], np.cumsum(new)))
+            until = int(np.searchsorted(doc, doc[-1])) if batch else len(doc)
+            held = table.slice(until).to_batches()
+            if until:
+                yield named(table.slice(0, until), doc[:until])
 
-    return of_doc.mapInArrow(run, ddl)
+    return shared.repartition("id", "copy").sortWithinPartitions("id", "copy").mapInArrow(run, "name long, id long, copy long, a int, b int, c int")
 
 
 def ranges(met: DataFrame) -> DataFrame:
@@ -291,33 +312,56 @@ def _previous(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_starts(mine: np.ndarray, other: np.ndarray, d: int, least: int = LEAST) -> np.ndarray:
-    """Starts s for which the sets of mine[s : s + least] and other[s + d : s + d + least]
-    have a Jaccard similarity of 0.8 or more. Each distinct entry of a set is counted for
-    the range of s in which it stands first."""
-    first, last = max(0, -d), min(len(mine), len(other) - d) - least
-    if last < first:
-        return np.empty(0, np.int64)
-    before_mine, before_other = _previous(mine), _previous(other)
-
-    def counted(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        lo, hi = np.maximum(lo, first), np.minimum(hi, last)
+def similar_in(mine: list[np.ndarray], other: list[np.ndarray], d: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """pair, start: of each pair k the starts s for which the sets of mine[k][s : s + least]
+    and other[k][s + d : s + d + least] have a Jaccard similarity of 0.8 or more. Each distinct
+    entry of a set is counted for the range of s in which it stands first."""
+    sizes, other_sizes = (np.array([len(v) for v in side], np.int64) for side in (mine, other))
+    first = np.maximum(0, -d)
+    last = np.minimum(sizes, other_sizes - d) - least
+    room = np.maximum(last - first + 2, 0)
+    room[last < first] = 0
+    base, at_mine, at_other = (np.cumsum(v) - v for v in (room, sizes, other_sizes))
+    if not room.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # p and q: the pair of each entry, i and j: its place there; entries of different pairs are different
+    p, q = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes)), other_sizes)
+    i, j = np.arange(len(p)) - at_mine[p], np.arange(len(q)) - at_other[q]
+    entries = np.concatenate((*mine, *other)).astype(np.uint64) | np.concatenate((p, q)).astype(np.uint64) << np.uint64(32)
+    codes = np.unique(entries, return_inverse=True)[1]
+    codes_mine, codes_other = codes[: len(p)], codes[len(p) :]
+
+    def before(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        previous = _previous(codes)
+        return np.where(previous < 0, -1, previous - at)
+
+    before_mine, before_other = before(codes_mine, at_mine[p]), before(codes_other, at_other[q])
+
+    def counted(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        lo, hi = np.maximum(lo, first[pair]), np.minimum(hi, last[pair])
         some = lo <= hi
-        size = last - first + 2
-        change = np.bincount(lo[some] - first, minlength=size) - np.bincount(hi[some] + 1 - first, minlength=size)
-        return np.cumsum(change)[:-1]
+        line = (base - first)[pair[some]]
+        return np.cumsum(np.bincount(line + lo[some], minlength=room.sum()) - np.bincount(line + hi[some] + 1, minlength=room.sum()))
 
-    i, j = np.arange(len(mine)), np.arange(len(other))
-    n_mine = counted(np.maximum(i - least + 1, before_mine + 1), i)
-    n_other = counted(np.maximum(j - least + 1, before_other + 1) - d, j - d)
+    n_mine = counted(p, np.maximum(i - least + 1, before_mine + 1), i)
+    n_other = counted(q, np.maximum(j - least + 1, before_other + 1) - d[q], j - d[q])
     # of equal entries only those can both stand first of which one is the next after the other
-    after = _next_at(mine, other, i + d)
-    back = _next_at(other, mine, j - d + 1)
-    x = np.concatenate((i[after >= 0], back[back >= 0]))
-    y = np.concatenate((after[after >= 0], j[back >= 0]))
-    lo = np.maximum(np.maximum(x - least + 1, before_mine[x] + 1), np.maximum(y - least + 1, before_other[y] + 1) - d)
-    common = counted(lo, np.minimum(x, y - d))
-    return np.flatnonzero(WHOLE * common >= NEAR * (n_mine + n_other - common)) + first
+    after = _next_at(codes_mine, codes_other, at_other[p] + np.maximum(i + d[p], 0))
+    back = _next_at(codes_other, codes_mine, at_mine[q] + np.maximum(j - d[q] + 1, 0))
+    x = np.concatenate((np.flatnonzero(after >= 0), back[back >= 0]))
+    y = np.concatenate((after[after >= 0], np.flatnonzero(back >= 0)))
+    lo = np.maximum(np.maximum(i[x] - least + 1, before_mine[x] + 1), np.maximum(j[y] - least + 1, before_other[y] + 1) - d[p[x]])
+    common = counted(p[x], lo, np.minimum(i[x], j[y] - d[p[x]]))
+    near = WHOLE * common >= NEAR * (n_mine + n_other - common)
+    near[(base + room)[room > 0] - 1] = False  # the place after the last start
+    found = np.flatnonzero(near)
+    pair = np.repeat(np.arange(len(sizes)), room)[found]
+    return pair, found - base[pair] + first[pair]
+
+
+def similar_starts(mine: np.ndarray, other: np.ndarray, d: int, least: int = LEAST) -> np.ndarray:
+    """The same for one pair."""
+    return similar_in([mine], [other], np.array([d]), least)[1]
 
 
 def joined_runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -355,19 +399,28 @@ def verified(pairs: DataFrame, parts: DataFrame, least: int) -> DataFrame:
     names = ["id", "copy", "o_id", "o_copy", "d", "a", "x", "at", "until", "mine", "theirs"]
 
     def rows(batch: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("id", "copy", "source_id", "source_copy", "start_word", "end_word", "source_start")}
-        for doc, copy, o_id, o_copy, d, a, x, at, until, mine, theirs in zip(*(batch[k] for k in names)):
-            first, n = 4 * (at - a), 4 * (until - at + least)
-            same = 4 * (at + d - x)
-            if same >= 0 and mine[first : first + n] == theirs[same : same + n]:  # no need to look at sets
-                starts = np.arange(at, at + len(mine[first : first + n]) // 4 - least + 1)
+        doc, copy, o_id, o_copy, d, a, x, at, until = (np.array(batch[k], np.int64) for k in names[:-2])
+        same, sets, ends = [], [], until.copy()
+        for k, (mine, theirs) in enumerate(zip(batch["mine"], batch["theirs"])):
+            first, n, there = 4 * (at[k] - a[k]), 4 * (until[k] - at[k] + least), 4 * (at[k] + d[k] - x[k])
+            piece = mine[first : first + n]
+            if there >= 0 and piece == theirs[there : there + n]:  # no need to look at sets
+                ends[k] = at[k] + len(piece) // 4 - least
+                same.append(k)
             else:
-                starts = similar_starts(np.frombuffer(mine, "<u4"), np.frombuffer(theirs, "<u4"), d + a - x, least) + a
-                starts = starts[(starts >= at) & (starts <= until)]
-            for start, end in joined_runs(starts, least):
-                for k, v in zip(out, (doc, copy, o_id, o_copy, start, end + shingles.WORDS - 1, start + d)):
-                    out[k].append(v)
-        return out
+                sets.append(k)
+        sets, same = np.array(sets, np.int64), np.array(same, np.int64)
+        pair, start = similar_in(*([np.frombuffer(batch[k][i], "<u4") for i in sets] for k in ("mine", "theirs")), (d + a - x)[sets], least)
+        pair = sets[pair]
+        start = start + a[pair]
+        inside = (start >= at[pair]) & (start <= until[pair])
+        pair, start = pair[inside], start[inside]
+        opens = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(start) > least)))[: len(pair)])
+        closes = np.append(opens[1:], len(pair))[: len(opens)] - 1
+        same = same[ends[same] >= at[same]]
+        k = np.concatenate((pair[opens], same))
+        start, end = np.concatenate((start[opens], at[same])), np.concatenate((start[closes], ends[same])) + least + shingles.WORDS - 1
+        return dict(zip(PASSAGE, (doc[k], copy[k], o_id[k], o_copy[k], start, end, start + d[k])))
 
     return map_texts(both, names, "id long, copy long, source_id long, source_copy long, start_word int, end_word int, source_start int", rows, at_once=500)
 
@@ -379,21 +432,30 @@ def apart(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     spans = found.groupBy("id", "copy").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     width, columns = least + shingles.WORDS - 1, pairs.columns
 
-    def free(batch: dict) -> dict:
-        cells, masks = [], []
-        for at, until, d, spans in zip(batch["at"], batch["until"], batch["d"], batch["spans"]):
-            s = np.arange(at, until + 1)
-            if spans:
-                known = np.array(sorted((x["start_word"], x["end_word"]) for x in spans), np.int64)
-                reach = np.concatenate(([-1], np.maximum.accumulate(known[:, 1])))
-                s = s[reach[np.searchsorted(known[:, 0], s, "right")] < s + width]
-            cell, first = np.unique((s + d) // CELL, return_index=True)
-            cells.append(cell.tolist())
-            masks.append(np.add.reduceat(1 << ((s + d) % CELL), first).tolist() if len(s) else [])
-        return {k: batch[k] for k in columns} | {"cells": cells, "masks": masks}
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            at, until, d = (batch.column(k).to_numpy().astype(np.int64) for k in ("at", "until", "d"))
+            room = until - at + 2  # all starts of all pairs on one line
+            base = np.cumsum(room) - room
+            known = batch.column("spans")
+            of = np.repeat(np.arange(len(at)), known.value_lengths().fill_null(0).to_numpy())
+            start, end = (v.to_numpy().astype(np.int64) for v in known.flatten().flatten())
+            lo, hi = np.maximum(start, at[of]), np.minimum(end - width, until[of])  # starts of stretches within the span
+            some, line = lo <= hi, (base - at)[of]
+            change = np.bincount((line + lo)[some], minlength=room.sum()) - np.bincount((line + hi + 1)[some], minlength=room.sum())
+            open_ = np.cumsum(change) == 0
+            open_[base + room - 1] = False
+            s = np.flatnonzero(open_)
+            pair = np.repeat(np.arange(len(at)), room)[s]
+            place = s - base[pair] + at[pair] + d[pair]
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(place // CELL) != 0)))[: len(s)])
+            masks = np.add.reduceat(1 << place % CELL, first) if len(first) else place
+            offsets = pa.array(np.searchsorted(pair[first], np.arange(len(at) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((place[first] // CELL, pa.int32()), (masks, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), *lists], names=[*columns, "cells", "masks"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return map_texts(pairs.join(spans, ["id", "copy"], "left"), [*columns, "spans"], f"{ddl}, cells array<int>, masks array<long>", free).where(F.size("cells") > 0)
+    return pairs.join(spans, ["id", "copy"], "left").select(*columns, "spans").mapInArrow(free, f"{ddl}, cells array<int>, masks array<long>").where(F.size("cells") > 0)
 
 
 def contents(values: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -458,66 +520,97 @@ def hood_keys(mine: np.ndarray, theirs: np.ndarray, place: int, first: int, last
 
 
 def compared(rows: list[tuple[int, int, int, int, int, bytes]], least: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-    """Passages (as ``verified`` gives them) among the members of one cell, for the starts that
+    """``compared_cells`` of one cell."""
+    return compared_cells([rows], least)
+
+
+def compared_cells(cells: list[list[tuple[int, int, int, int, int, bytes]]], least: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """Passages (as ``verified`` gives them) among the members of each cell, for the starts that
     are sought. Members are id, copy, place (in the cell, of the first shingle), start (its
     place in the document), mask (starts sought) and part, by id and copy. A member is
-    compared with the earlier documents, first ones first, until its starts are covered."""
+    compared with the earlier documents, first ones first, until its starts are covered:
+    with 8 at once, then 16, and so on, for all members of all cells."""
+    rows = [r for cell in cells for r in cell]
+    members = np.array([len(cell) for cell in cells])
+    cell = np.repeat(np.arange(len(cells)), members)
+    begin = (np.cumsum(members) - members)[cell]
+    until = begin.copy()  # members before it are of earlier documents
+    for i, r in enumerate(rows):
+        until[i] = until[i - 1] if i > begin[i] and rows[i - 1][:2] == r[:2] else i
+    shift, sought = np.array([r[2] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
     values = [np.frombuffer(r[5], "<u4") for r in rows]
-    distinct, codes = np.unique(np.concatenate(values), return_inverse=True)
+    lengths = np.array([len(v) for v in values])
+    entry = np.cumsum(lengths) - lengths  # the first entry of each member
+    member = np.repeat(np.arange(len(rows)), lengths)
+    at = np.arange(len(member)) - entry[member] + shift[member]
+    distinct, codes = np.unique(np.concatenate(values).astype(np.uint64) | cell[member].astype(np.uint64) << np.uint64(32), return_inverse=True)
+    edges = np.searchsorted(distinct, np.arange(len(cells) + 1, dtype=np.uint64) << np.uint64(32))
+    kinds = np.diff(edges)[cell]  # values of the member's cell, and the code of no value
+    own = codes - edges[cell[member]]
     width, s = CELL + least - 1, np.arange(CELL)
     place = np.arange(width)
-    inside = (s <= place[:, None]) & (place[:, None] < s + least)
-    table = np.full((len(rows), width), len(distinct), np.int64)  # no shingle: the last code
+    table = np.repeat(kinds, width).reshape(-1, width)
+    table[member, at] = own
     before = np.full((len(rows), width), width, np.int64)  # place of the previous equal one
-    sizes, whole = np.zeros((len(rows), CELL), np.int64), np.zeros((len(rows), CELL), bool)
-    at = 0
-    for i, (r, v) in enumerate(zip(rows, values)):
-        here = slice(r[2], r[2] + len(v))
-        table[i, here] = codes[at : at + len(v)]
-        previous = _previous(v)
-        before[i, here] = np.where(previous < 0, -1, previous + r[2])
-        sizes[i] = (inside & (before[i][:, None] < s)).sum(axis=0)
-        whole[i, r[2] : r[2] + len(v) - least + 1] = True
-        at += len(v)
-    low, high = np.full(len(distinct) + 1, 2 * width), np.full(len(distinct) + 1, -1)
+    previous = _previous(codes + member * len(distinct))
+    before[member, at] = np.where(previous < 0, -1, at[previous])
+
+    def counted(of: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+        """For each of n rows and each start, how many [lo, hi] of the row hold it."""
+        some = lo <= hi
+        of = (of * (CELL + 1))[some]
+        change = np.bincount(of + lo[some], minlength=n * (CELL + 1)) - np.bincount(of + hi[some] + 1, minlength=n * (CELL + 1))
+        return np.cumsum(change.reshape(-1, CELL + 1), axis=1)[:, :CELL]
+
+    sizes = counted(member, np.maximum(at - least + 1, before[member, at] + 1), np.minimum(at, CELL - 1), len(rows))
+    whole = (shift[:, None] <= s) & (s <= (shift + lengths - least)[:, None])
     bits, few = 1 << s, -(-NEAR * least // WHOLE)  # of the larger set, where no value repeats
-    first = 0
-    for i, (doc, copy, start_place, start, mask, _) in enumerate(rows):
-        if rows[first][:2] != (doc, copy):
-            first = i
-        if not mask or not first:
-            continue
-        here = place[start_place : start_place + len(values[i])]
-        mine = table[i, here]
-        low[mine[::-1]], high[mine] = here[::-1], here  # first and last place of each value
-        plain = bool((low[mine] == high[mine]).all())
-        some = np.flatnonzero((high[table[:first]] >= 0).sum(axis=1) >= few)
-        while mask and len(some):
-            now, some = some[:512], some[512:]
-            # each value of the others counts for the starts of which it stands first in the
-            # stretch, and mine from its first place to its last one: none too few
-            lo = np.maximum(np.maximum(low[table[now]], place) - least + 1, np.maximum(before[now] + 1, 0))
-            hi = np.minimum(np.minimum(high[table[now]], place), CELL - 1)
-            counts, of = lo <= hi, np.arange(0, len(now) * (CELL + 1), CELL + 1)[:, None]
-            change = np.bincount((of + lo)[counts], minlength=of.size * (CELL + 1)) - np.bincount((of + hi + 1)[counts], minlength=of.size * (CELL + 1))
-            common = np.cumsum(change.reshape(-1, CELL + 1), axis=1)[:, :CELL]
-            near = ((WHOLE * common >= NEAR * (sizes[i] + sizes[now] - common)) & whole[now] & whole[i]) @ bits
-            for j, covered in zip(now.tolist(), near.tolist()):
-                if not covered & mask:
-                    continue
-                o_doc, o_copy, o_place, o_start = rows[j][:4]
-                starts = np.flatnonzero(covered >> s & 1)
-                if not plain:  # where a value of mine repeats, it may lie between its places
-                    exact = similar_starts(values[i], values[j], start_place - o_place, least) + start_place
-                    starts, covered = exact, int(bits[exact].sum())
-                    if not covered & mask:
+    seekers = np.flatnonzero((sought != 0) & (until > begin))
+    # so many seekers at once that what is known of their values, and their pairs, stay small
+    load = np.cumsum(np.maximum((kinds + 1)[seekers] >> 5, (until - begin)[seekers]))
+    for some in np.split(seekers, np.flatnonzero(np.diff(load >> 15)) + 1):
+        known = np.cumsum((kinds + 1)[some]) - (kinds + 1)[some]
+        low, high = np.full((kinds + 1)[some].sum(), 2 * width), np.full((kinds + 1)[some].sum(), -1)
+        seeker = np.repeat(np.arange(len(some)), lengths[some])
+        mine = np.arange(len(seeker)) - (np.cumsum(lengths[some]) - lengths[some] - entry[some])[seeker]
+        key = known[seeker] + own[mine]
+        low[key[::-1]], high[key] = at[mine][::-1], at[mine]  # first and last place of each value
+        plain = np.bincount(seeker, low[key] != high[key], len(some)) == 0
+        n = (until - begin)[some]
+        k = np.repeat(np.arange(len(some)), n)
+        j = np.arange(len(k)) - (np.cumsum(n) - n - begin[some])[k]
+        alike = [(high[known[k[x : x + 4096], None] + table[j[x : x + 4096]]] >= 0).sum(axis=1) >= few for x in range(0, len(k), 4096)]
+        chosen = np.flatnonzero(np.concatenate(alike)) if alike else np.empty(0, np.int64)
+        k, j = k[chosen], j[chosen]
+        turn = np.arange(len(k)) - np.searchsorted(k, k)
+        done, take = 0, 8
+        while len(k):
+            now = np.flatnonzero(turn < done + take)
+            for x in range(0, len(now), 4096):
+                a, b = k[now[x : x + 4096]], j[now[x : x + 4096]]
+                i = some[a]
+                # each value of the others counts for the starts of which it stands first in the
+                # stretch, and mine from its first place to its last one: none too few
+                where = known[a, None] + table[b]
+                lo = np.maximum(np.maximum(low[where], place) - least + 1, np.maximum(before[b] + 1, 0))
+                common = counted(np.repeat(np.arange(len(a)), width).reshape(-1, width), lo, np.minimum(np.minimum(high[where], place), CELL - 1), len(a))
+                near = ((WHOLE * common >= NEAR * (sizes[i] + sizes[b] - common)) & whole[b] & whole[i]) @ bits
+                hits = np.flatnonzero(near & sought[i])
+                rough = hits[~plain[a[hits]]]
+                if len(rough):  # where a value of mine repeats, it may lie between its places
+                    pair, start = similar_in([values[y] for y in i[rough]], [values[y] for y in b[rough]], shift[i[rough]] - shift[b[rough]], least)
+                    near[rough] = 0
+                    np.add.at(near, rough[pair], bits[start + shift[i[rough[pair]]]])
+                for y, o, covered in zip(i[hits].tolist(), b[hits].tolist(), near[hits].tolist()):
+                    if not covered & int(sought[y]):
                         continue
-                mask &= ~covered
-                for a, b in joined_runs(starts, least):
-                    yield doc, copy, o_doc, o_copy, start + a - start_place, start + b - start_place + shingles.WORDS - 1, o_start + a - o_place
-                if not mask:
-                    break
-        low[mine], high[mine] = 2 * width, -1
+                    sought[y] &= ~covered
+                    (doc, copy, _, start), (o_doc, o_copy, _, o_start) = rows[y][:4], rows[o][:4]
+                    for first, end in joined_runs(np.flatnonzero(covered >> s & 1), least):
+                        yield doc, copy, o_doc, o_copy, start + first - int(shift[y]), start + end - int(shift[y]) + shingles.WORDS - 1, o_start + first - int(shift[o])
+            left = np.flatnonzero((turn >= done + take) & (sought[some[k]] != 0))
+            k, j, turn = k[left], j[left], turn[left]
+            done, take = done + take, 2 * take
 
 
 def neighbourhood(pairs: DataFrame, parts: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -561,12 +654,17 @@ def neighbourhood(pairs: DataFrame, parts: DataFrame, found: DataFrame, least: i
             return batch
 
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        for _, held in itertools.groupby(rows, key=lambda r: r[:4]):
+        cells, n = [], 0
+        for _, held in itertools.chain(itertools.groupby(rows, key=lambda r: r[:4]), [(None, ())]):
             held = [r[4:] for r in held]
             if len(held) > 1 and any(r[4] for r in held):
-                for row in compared(held, least):
+                cells.append(held)
+                n += len(held)
+            if cells and (n >= 512 or not held):
+                for row in compared_cells(cells, least):
                     for column, v in zip(out, row):
                         column.append(v)
+                cells, n = [], 0
             if len(out[0]) >= 10_000:
                 yield given()
         yield given()
@@ -601,12 +699,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     docs = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text")).where("text is not null")
     # copies of a whole text are told at once, and only its first document goes on
     copies = materialize(whole_copies(docs).where(F.col("words") >= least + shingles.WORDS - 1))
-    several = materialize(repeated_keys(docs, least))
-    # no sort of the many rows: the keys are the smaller side
-    met = windows(docs, least).join(several.hint("shuffle_hash"), "key", "left_semi")
-    shared = materialize(met.join(copies.select("id", "copy").hint("shuffle_hash"), ["id", "copy"], "left_anti"))
+    shared = materialize(shared_windows(windows(docs, least)).join(copies.select("id", "copy").hint("shuffle_hash"), ["id", "copy"], "left_anti"))
     entries = materialize(named_overlaps(shared))
-    release(several, shared)
+    release(shared)
     who = F.struct("id", "copy")
     heads = entries.groupBy("name").agg(F.min(F.struct("id", "copy", "a", "c")).alias("o"), F.max(who).alias("last")).where("o.id <> last.id or o.copy <> last.copy")
     heads = heads.select(dealt_anew("name").alias("name"), F.col("o.id").alias("o_id"), F.col("o.copy").alias("o_copy"), F.col("o.c").alias("o_c"))

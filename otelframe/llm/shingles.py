@@ -78,6 +78,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def n_words(text: str | None) -> int:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    space = np.concatenate(([True], _SPACE[raw]))
+    return int(np.count_nonzero(space[:-1] & ~space[1:]))
+
+
 def sequence(text: str | None, words: int = WORDS) -> np.ndarray:
     """Hashes of the shingles in order; a text with fewer words has its whole sequence
     as one shingle, a text without words none."""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from otelframe.llm import lines, passages, secrets
+from otelframe.llm import lines, passages, secrets, shingles
 from otelframe.sources import otlp
 
 SF = "/root/testdata/sf0.001"
@@ -269,3 +269,60 @@ def test_all_variants_in_families_are_found(spark):
     later, found = {d for d, _ in want}, {d for d, _ in got}
     print(len(later), len(found))
     assert len(later) > 100 and len(found) >= 0.97 * len(later)
+
+
+def test_windows_are_taken_once(spark):
+    """Each text is read four times (two hashes, windows, cuts), and the windows that are kept
+    are those whose key several texts have, however the texts are dealt."""
+    rng = np.random.default_rng(31)
+    base = planted(rng, 70)
+    rows = [(i, " ".join(planted(rng, 8) + edited(rng, base, ["replaced"] * (i % 3)) + planted(rng, 60))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(6)]  # copies
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeated_passages(df.mapInArrow(counted, df.schema)).count() > 30
+    assert read.value <= 4 * len(rows)
+    of_key = {}
+    for i, text in rows[:40]:
+        s = shingles.sequence(text)
+        w = passages.compact_windows(s, np.zeros(len(s), np.int64))
+        for key, *places in zip(*(w[k].tolist() for k in ("key", "a", "b", "c"))):
+            of_key.setdefault(key, set()).add((i, *places))
+    want = {(key, *w) for key, found in of_key.items() if len({w[0] for w in found}) > 1 for w in found}
+    docs = df.selectExpr("doc_id AS id", "xxhash64(text) AS copy", "text")
+    for parts in (1, 7):
+        got = passages.shared_windows(passages.windows(docs.repartition(parts))).where("id < 100").collect()
+        later = {r.key for r in got} - {w[0] for w in want}
+        assert {(r.key, r.id, r.a, r.b, r.c) for r in got if r.key not in later} >= want and not later
+
+
+def test_cells_and_pairs_at_once_equal_one_by_one():
+    rng = np.random.default_rng(32)
+    least, width, cells, pairs = 46, passages.CELL + 45, [], []
+    for n in (2, 5, 1, 40, 3, 300):
+        head, rows = rng.integers(300, size=width).astype("<u4"), []
+        for k in range(n):
+            mine = head.copy()
+            for at in rng.integers(width - 4, size=int(rng.integers(4))):
+                mine[at : at + rng.integers(1, 6)] = rng.integers(1000, 1003)
+            place = int(rng.integers(4))
+            rows.append((k // 2, k // 2, place, 100 * k, int(rng.integers(0, 1 << 32)) * int(rng.integers(2)), mine[place : width - int(rng.integers(4))].tobytes()))
+            pairs.append((mine[place:], head[: width - place], int(rng.integers(-3, 4))))
+        cells.append(rows)
+    one_by_one = sorted(r for c in cells for r in passages.compared(c, least))
+    assert one_by_one == sorted(passages.compared_cells(cells, least)) and len(one_by_one) > 100
+    pair, start = passages.similar_in([x for x, _, _ in pairs], [y for _, y, _ in pairs], np.array([d for _, _, d in pairs]), least)
+    for k, (x, y, d) in enumerate(pairs):
+        sets = [(s, set(x[s : s + least].tolist()), set(y[s + d : s + d + least].tolist())) for s in range(max(0, -d), min(len(x), len(y) - d) - least + 1)]
+        assert start[pair == k].tolist() == [s for s, u, v in sets if 100 * len(u & v) >= 80 * len(u | v)]
+
+
+def test_words_are_counted_as_the_pattern_does():
+    for text in ("", " ", "a", " a b ", "a\t\n\x0b\x0c\rb", " x y z", "\x1f a\x0eb", None):
+        assert shingles.n_words(text) == len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))

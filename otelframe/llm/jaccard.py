@@ -255,6 +255,7 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
         more = compared(docs, pairs, sets)
         if not more.isEmpty():
             labels = connected_components(more, labels)
+    release(shared)
 
     classed = sets.select("sig", "o").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     low = classed.groupBy("label").agg(F.min("o").alias("low")).select(dealt_anew("label").alias("label"), "low")

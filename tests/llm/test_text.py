@@ -211,6 +211,19 @@ def test_pipeline_equals_brute_force(spark, texts):
     assert max(used.values()) <= 1024
 
 
+def test_pipeline_takes_short_repeats(spark):
+    """A line of 50 words and two of 25 that two documents share go from the second one; a
+    near copy that holds one goes as a whole; shorter ones, and a line's first one, stay."""
+    words = lambda k, n: " ".join(f"word{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    long, two, short = words(0, 50), words(1, 25) + "\n" + words(2, 25), words(3, 49)
+    texts = {1: f"{long}\n{words(4, 60)}", 2: f"{words(5, 60)}\n{long}", 3: f"{words(6, 60)}\n{two}", 4: f"{two}\n{words(7, 60)}", 5: f"{short}\n{words(8, 60)}", 6: f"{words(9, 60)}\n{short}", 7: f"{long}\n{words(4, 60)} more"}
+    kept = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, SF)
+    want = {d: t for d, t in texts.items() if d != 7} | {2: words(5, 60), 4: words(7, 60)}
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {d: (t, len(t)) for d, t in want.items()}
+
+
 def test_registered_queries_import():
     import __spark_entry__
 

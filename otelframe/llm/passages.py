@@ -519,6 +519,21 @@ def hood_keys(mine: np.ndarray, theirs: np.ndarray, place: int, first: int, last
     return np.concatenate(keys), np.concatenate(starts), np.concatenate(roles)
 
 
+def distinct_members(rows: Iterator[tuple[int, int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Members of a cell (see ``compared_cells``) without those that seek nothing and have the
+    contents of an earlier member at the same place: what these would cover, that one has
+    covered before. So a hot cell of copies takes no more memory than its different
+    contents and its seekers."""
+    seen: set[tuple[int, bytes]] = set()
+    kept = []
+    for r in rows:
+        content = (r[2], r[5])
+        if r[4] or content not in seen:
+            kept.append(r)
+        seen.add(content)
+    return kept
+
+
 def compared(rows: list[tuple[int, int, int, int, int, bytes]], least: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
     """``compared_cells`` of one cell."""
     return compared_cells([rows], least)
@@ -549,9 +564,9 @@ def compared_cells(cells: list[list[tuple[int, int, int, int, int, bytes]]], lea
     own = codes - edges[cell[member]]
     width, s = CELL + least - 1, np.arange(CELL)
     place = np.arange(width)
-    table = np.repeat(kinds, width).reshape(-1, width)
+    table = np.repeat(kinds.astype(np.int32), width).reshape(-1, width)
     table[member, at] = own
-    before = np.full((len(rows), width), width, np.int64)  # place of the previous equal one
+    before = np.full((len(rows), width), width, np.int16)  # place of the previous equal one
     previous = _previous(codes + member * len(distinct))
     before[member, at] = np.where(previous < 0, -1, at[previous])
 
@@ -656,7 +671,7 @@ def neighbourhood(pairs: DataFrame, parts: DataFrame, found: DataFrame, least: i
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
         cells, n = [], 0
         for _, held in itertools.chain(itertools.groupby(rows, key=lambda r: r[:4]), [(None, ())]):
-            held = [r[4:] for r in held]
+            held = distinct_members(r[4:] for r in held)
             if len(held) > 1 and any(r[4] for r in held):
                 cells.append(held)
                 n += len(held)

@@ -326,3 +326,20 @@ def test_cells_and_pairs_at_once_equal_one_by_one():
 def test_words_are_counted_as_the_pattern_does():
     for text in ("", " ", "a", " a b ", "a\t\n\x0b\x0c\rb", " x y z", "\x1f a\x0eb", None):
         assert shingles.n_words(text) == len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_copies_in_a_cell_are_held_once():
+    """Members that seek nothing and repeat an earlier one's contents go, with the same passages."""
+    rng, width = np.random.default_rng(5), passages.CELL + passages.LEAST - 1
+    base, pool = rng.integers(0, 1 << 32, width, dtype=np.uint64).astype("<u4"), []
+    for _ in range(30):
+        v, first = base.copy(), int(rng.integers(0, 3))
+        for at in rng.integers(0, width - 5, rng.integers(1, 5)):
+            v[at : at + 5] = rng.integers(0, 1 << 32, 5)
+        pool.append((first, v[first : width - int(rng.integers(0, 3))].tobytes()))
+    chosen = [(i // 2 if i % 7 == 0 else i, int(rng.integers(0, 9)), pool[rng.integers(0, 30)], int(rng.integers(0, 1 << 32)) if rng.random() < 0.1 else 0) for i in range(600)]
+    rows = sorted((doc, copy, first, 100 + first, mask, part) for doc, copy, (first, part), mask in chosen)
+    few = passages.distinct_members(iter(rows))
+    assert len(few) <= 30 + sum(r[4] != 0 for r in rows) < len(rows) / 4
+    want = sorted(passages.compared(rows, passages.LEAST))
+    assert sorted(passages.compared(few, passages.LEAST)) == want and len(want) > 30
